@@ -106,13 +106,18 @@ def manifest_summary(manifest: DataFrame) -> DataFrame:
 
     Section 0 holds sizes and languages, section 1 the list of entrypoints.
     """
-    names = (
-        language_stats(manifest)
-        .groupBy("project")
-        .agg(F.expr("listagg(lang, ', ') WITHIN GROUP (ORDER BY rank)").alias("names"))
+    by_language = manifest.groupBy("project", "lang").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("tokens").alias("tokens"),
+        F.count_if("is_entrypoint").alias("entries"),
+        F.min(paths.walk_key(F.col("path"))).alias("met"),
+    )
+    facts = by_language.groupBy("project").agg(
+        F.sum("files").alias("total_files"),
+        F.sum("tokens").alias("total_tokens"),
+        F.sum("entries").alias("n_entrypoints"),
+        F.expr("listagg(lang, ', ') WITHIN GROUP (ORDER BY IF(lang IS NULL, NULL, struct(-tokens, met)))").alias("names"),
     )
-    found = manifest.groupBy("project").agg(F.count_if("is_entrypoint").alias("n_entrypoints"))
-    facts = scan_totals(manifest).join(names, "project", "left").join(found, "project")
     lines = F.concat(
         F.lit("- Files: "), F.col("total_files").cast("string"),
         F.lit("\n- Tokens: ~"), text.thousands(F.col("total_tokens")),

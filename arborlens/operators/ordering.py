@@ -71,10 +71,6 @@ def number_rows(
     return joined.select(*df.columns, out, *running)
 
 
-def assemble(parts: DataFrame, keys: Sequence[str], item: str = "item", text: str = "text") -> DataFrame:
-    """Concatenate texts in ``item`` order within ``keys``, which must end in a block of bounded size."""
-    return parts.groupBy(*keys).agg(
-        F.listagg(text, "").alias(text)
-        if item is None
-        else F.expr(f"listagg({text}, '') WITHIN GROUP (ORDER BY {item})").alias(text)
-    )
+def assemble(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Concatenate ``text`` in ``item`` order within ``keys``, which must name blocks of bounded size."""
+    return parts.groupBy(*keys).agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY item)").alias("text"))
