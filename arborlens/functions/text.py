@@ -60,15 +60,24 @@ def thousands(number: Column) -> Column:
 
 
 def fixed_point(value: Column, digits: int) -> Column:
-    """A number with fixed digits, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("decimal(30,12)"), digits))
+    """A double with fixed digits, rounded half to even on its exact binary value.
+
+    Decimal casts and ``%.1f`` round the shortest decimal form instead, which moves 1.15 to 1.2. The
+    fraction is scaled by a power of two, which is exact, and rounded in whole numbers.
+    """
+    size = F.abs(value.cast("double"))
+    whole = F.floor(size)
+    unit, scale = 2**60, 10**digits
+    bits = ((size - whole) * F.lit(float(unit))).cast("decimal(19,0)") * F.lit(scale)
+    down = F.floor(bits / F.lit(unit)).cast("bigint")
+    rest = bits - down.cast("decimal(10,0)") * F.lit(unit).cast("decimal(19,0)")
+    up = (rest > unit // 2) | ((rest == unit // 2) & (down % 2 == 1))
+    total = whole * scale + down + up.cast("bigint")
+    digits_text = F.lpad((total % scale).cast("string"), digits, "0")
+    text = F.concat(F.floor(total / scale).cast("bigint").cast("string"), F.lit("."), digits_text)
+    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def run_key(ts: Column) -> Column:
     """Run key in whole seconds."""
     return F.date_format(ts, "yyyy-MM-dd_HHmmss")
-
-
-def iso_time(ts: Column) -> Column:
-    """ISO-8601 text in UTC, for a session whose time zone is UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

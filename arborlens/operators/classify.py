@@ -107,10 +107,15 @@ def doc_rank(path: Column) -> Column:
 
 
 def find_docs(files: DataFrame) -> DataFrame:
-    """Documentation files in pattern order, by path within a pattern. Excludes do not apply."""
-    found = files.select("project", "path", doc_rank(F.col("path")).alias("rank")).where("rank IS NOT NULL")
+    """Documentation files in pattern order, by path within a pattern. Excludes do not apply.
+
+    Gives ``(project, pos, path, before)``; ``before`` counts the characters of earlier files.
+    """
+    ranked = files.withColumn("rank", doc_rank(F.col("path"))).where("rank IS NOT NULL")
+    found = ranked.select("project", "path", "rank", F.length("content").cast("bigint").alias("chars"))
     order = ["rank", paths.parts_key(F.col("path"))]
-    return number_rows(found, ["project"], order).select("project", "pos", "path")
+    numbered = number_rows(found, ["project"], order, running={"before": "chars"})
+    return numbered.select("project", "pos", "path", "before")
 
 
 def walk_order(files: DataFrame) -> DataFrame:

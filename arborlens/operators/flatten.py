@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from arborlens.functions import fixed, paths, text, tokens
 from arborlens.operators import manifest as mf
-from arborlens.operators.ordering import assemble, number_rows
-from arborlens.operators.sequence import leaf_files, number_files
+from arborlens.operators.ordering import assemble
+from arborlens.operators.sequence import leaf_files, number_files, with_sizes
 
 HEADER, ENTRYPOINTS, TREE, DOCS, SOURCE = range(5)
 PART = ["project", "section", "block", "item", "text"]
@@ -48,11 +48,11 @@ def default_projects(manifest: DataFrame) -> DataFrame:
 
 
 def default_positions(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Files of the default sequence with their positions.
+    """Files of the default sequence with positions and sizes: ``(project, pos, path, before)``.
 
     A leaf whose name holds ``*``, ``?`` or ``[`` counts as a glob here, as in any sequence.
     """
-    return number_files(leaf_files(mf.sequence_leaves(manifest), files))
+    return number_files(leaf_files(mf.sequence_leaves(manifest), files), with_sizes(files))
 
 
 def separator_line(template: Column, path: Column, count: Column, chars: Column, lang: Column) -> Column:
@@ -182,18 +182,14 @@ def _tree(positions: DataFrame, projects: DataFrame) -> DataFrame:
     return _title(shown, TREE, F.lit(fixed.TREE_TITLE)).unionByName(body).unionByName(empty)
 
 
-def _sized(order: DataFrame, files: DataFrame, block_chars: int) -> DataFrame:
-    """Cut an order ``(project, pos, path)`` into blocks by the raw size of the files.
+def _placed(order: DataFrame, block_chars: int) -> DataFrame:
+    """Cut an order ``(project, pos, path, before)`` into blocks by the raw size of earlier files.
 
-    Returns ``(project, path, block, item)``. Cleaning only shortens a text, so the raw size bounds
-    it. Only sizes are shuffled here, the texts are not.
+    Cleaning only shortens a text, so raw sizes bound a block. Blocks are known before any text is
+    shuffled.
     """
-    sizes = files.select("project", "path", F.length("content").alias("_chars"))
-    sized = order.join(sizes, ["project", "path"]).select("project", "pos", "path", "_chars")
-    placed = number_rows(sized, ["project"], ["pos"], out="item", running={"_before": "_chars"})
-    return placed.select(
-        "project", "path", F.floor(F.col("_before") / block_chars).alias("block"), "item"
-    )
+    block = F.floor(F.col("before") / block_chars).alias("block")
+    return order.select("project", "path", block, F.col("pos").alias("item"))
 
 
 def flat_docs(
@@ -203,10 +199,10 @@ def flat_docs(
     block_chars: int = SnapshotOptions.block_chars,
     token_counter: tokens.TokenCounter = tokens.estimate,
 ) -> DataFrame:
-    """Documentation section. The texts are taken as they are. ``docs(project, pos, path)``."""
+    """Documentation section. The texts are taken as they are. ``docs`` is an order."""
     shown = projects.where("include_docs").join(docs.select("project").distinct(), "project", "left_semi")
     title = F.when(F.col("trust_level") == "unverified", "\n".join(fixed.DOCS_TITLE_UNVERIFIED))
-    placed = _sized(docs.join(shown.select("project"), "project", "left_semi"), files, block_chars)
+    placed = _placed(docs.join(shown.select("project"), "project", "left_semi"), block_chars)
     content = F.col("content")
     line = F.concat(
         F.lit("--- "), "path",
@@ -232,7 +228,7 @@ def flat_sources(
 ) -> DataFrame:
     """Source section: separator and cleaned text of each file."""
     settings = projects.select("project", "strip_comments", "whitespace", "separator")
-    placed = _sized(positions, files, block_chars).join(settings, "project")
+    placed = _placed(positions, block_chars).join(settings, "project")
     cleaned = clean_files(placed.join(files, ["project", "path"]), token_counter)
     body = cleaned.select(
         "project",
@@ -261,7 +257,8 @@ def flat_parts(
     options: SnapshotOptions = SnapshotOptions(),
     token_counter: tokens.TokenCounter = tokens.estimate,
 ) -> DataFrame:
-    """All parts of all snapshots. Arguments given in ``options`` win over stored settings."""
+    """All parts of all snapshots. ``positions`` and ``docs`` are orders
+    ``(project, pos, path, before)`` of sources and documentation. Arguments given in ``options`` win over stored settings."""
     projects = projects.withColumns(
         {
             "strip_comments": F.coalesce(F.lit(options.strip_comments), "strip_comments"),

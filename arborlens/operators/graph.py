@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlens.operators.ordering import number_rows
-from arborlens.session import checkpoint_dir
+from arborlens.session import hand_over
 
 # Graphs up to this many edges are worked off in one task each; larger ones level by level.
 SMALL_GRAPH_EDGES = 200_000
@@ -79,12 +79,13 @@ def _large_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     waiting = sources.groupBy(*key).agg(F.count(F.lit(1)).alias("waits")).withColumn("best", none)
     level, placed = 0, None
     while True:
-        front = front.select(*key, F.lit(level).cast("bigint").alias("level"), "chain").checkpoint()
+        front = front.select(*key, F.lit(level).cast("bigint").alias("level"), "chain")
+        front = hand_over(front, "front")
         placed = front if placed is None else placed.unionByName(front)
         if front.isEmpty():
             break
         targets = front.select("project", F.col("path").alias("dst"), "chain")
-        told = edges.join(targets, ["project", "dst"], "left").checkpoint()
+        told = hand_over(edges.join(targets, ["project", "dst"], "left"), "told")
         edges = told.where("chain IS NULL").drop("chain")
         news = told.where("chain IS NOT NULL").groupBy("project", F.col("src").alias("path")).agg(
             F.count(F.lit(1)).alias("met"), F.max("chain").alias("chain")
@@ -94,7 +95,7 @@ def _large_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"),
             F.greatest("best", "chain").alias("best"),
         )
-        state = state.checkpoint()
+        state = hand_over(state, "state")
         front = state.where("waits = 0").withColumn("chain", next_chain(F.col("path"), F.col("best")))
         waiting = state.where("waits > 0")
         level += 1
@@ -109,9 +110,8 @@ def place_files(nodes: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH_EDG
     edge counts once, and an edge to something that is no node never opens. Files without edges
     take no part in the graph work.
     """
-    checkpoint_dir(nodes.sparkSession)
     nodes = nodes.select("project", "path")
-    edges = edges.select("project", "src", "dst").distinct().checkpoint()
+    edges = hand_over(edges.select("project", "src", "dst").distinct(), "edges")
     ends = edges.select("project", F.col("src").alias("path")).unionByName(
         edges.select("project", F.col("dst").alias("path"))
     )
@@ -122,7 +122,7 @@ def place_files(nodes: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH_EDG
     )
     linked = nodes.join(ends, ["project", "path"], "left_semi")
     sizes = edges.groupBy("project").agg(F.count(F.lit(1)).alias("_edges"))
-    large = sizes.where(F.col("_edges") > small).select("project").checkpoint()
+    large = hand_over(sizes.where(F.col("_edges") > small).select("project"), "large")
     files = linked.select("project", F.col("path").alias("src"), F.lit(None).cast("string").alias("dst"))
     rows = files.unionByName(edges).join(large, "project", "left_anti")
     placed = alone.unionByName(rows.groupBy("project").applyInPandas(_small_graph, PLACED))

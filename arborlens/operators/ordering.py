@@ -2,7 +2,7 @@
 
 A window over ``(project ORDER BY path)`` puts a whole project into one task, and one project may
 hold a third of all rows. Here the rows are range-partitioned on (key, order), so a large key is
-spread over many tasks; each row is numbered inside its own task, and the few per-task totals are
+spread over many tasks; each row is numbered inside its own task, and the few totals per task are
 then added up.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlens.session import checkpoint_dir
+from arborlens.session import hand_over
 
 
 def number_rows(
@@ -26,19 +26,17 @@ def number_rows(
     """Add ``out``, the 0-based position of each row in its key.
 
     ``running`` maps a new column to a number column: its sum over the earlier rows of the key.
-    (keys, order) must identify a row. The placement is checkpointed, because the range bounds are
+    (keys, order) must identify a row. The placement is written down, because the range bounds are
     sampled and a second evaluation may draw others; so pass the narrow columns only.
     """
     running = running or {}
     keys = list(keys)
-    checkpoint_dir(df.sparkSession)
-    placed = (
+    slots = (
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_slot", F.monotonically_increasing_id())
-        .checkpoint()
-        .withColumn("_task", F.shiftright("_slot", 33))
     )
+    placed = hand_over(slots, "slots").withColumn("_task", F.shiftright("_slot", 33))
     totals = placed.groupBy(*keys, "_task").agg(
         F.min("_slot").alias("_first"),
         F.count(F.lit(1)).alias("_rows"),

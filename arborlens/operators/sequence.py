@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from arborlens.functions import globs, paths
 from arborlens.operators.ordering import number_rows
-from arborlens.session import checkpoint_dir
+from arborlens.session import hand_over
 
 LEAF = ["project", "major", "minor", "by_path", "path"]
 
@@ -24,7 +24,6 @@ def tree_leaves(nodes: DataFrame) -> DataFrame:
     ``major`` is the list of sibling positions down to the leaf, or down to the outermost
     alphabetical group above it; ``by_path`` tells which.
     """
-    checkpoint_dir(nodes.sparkSession)
     columns = ["project", "node_id", "parent_id", "pos", "path", "name", "ord"]
     nodes = nodes.select(columns).withColumn("path", paths.normalise(F.col("path")))
     level = nodes.where("parent_id IS NULL").select(
@@ -32,7 +31,7 @@ def tree_leaves(nodes: DataFrame) -> DataFrame:
     )
     leaves = None
     while True:
-        level = level.checkpoint()
+        level = hand_over(level, "level")
         found = level.where("path IS NOT NULL").withColumn("minor", F.lit("")).select(*LEAF)
         leaves = found if leaves is None else leaves.unionByName(found)
         groups = level.where("path IS NULL AND name IS NOT NULL").select(
@@ -94,7 +93,10 @@ def glob_files(leaves: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def leaf_files(leaves: DataFrame, files: DataFrame) -> DataFrame:
-    """Replace each leaf by its files. Missing files are left out, globs may give any number."""
+    """Replace each leaf by its files: ``(project, path, place)``.
+
+    Missing files are left out, globs may give any number.
+    """
     path = F.col("path")
     plain = leaves.where(~is_glob(path)).join(
         files.select("project", "path"), ["project", "path"], "left_semi"
@@ -104,12 +106,24 @@ def leaf_files(leaves: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("project", "path", F.struct("major", "minor", tie.alias("tie")).alias("place"))
 
 
-def number_files(found: DataFrame) -> DataFrame:
-    """Keep the first place of each file and number the files: ``(project, pos, path)``."""
+def with_sizes(files: DataFrame) -> DataFrame:
+    """``(project, path, chars)``, the raw sizes a numbering can add up."""
+    return files.select("project", "path", F.length("content").cast("bigint").alias("chars"))
+
+
+def number_files(found: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Keep the first place of each file and number the files: ``(project, pos, path)``.
+
+    With ``sizes(project, path, chars)`` also ``before``, the characters of all earlier files.
+    """
     first = found.groupBy("project", "path").agg(F.min("place").alias("place"))
-    return number_rows(first, ["project"], ["place"]).select("project", "pos", "path")
+    if sizes is None:
+        return number_rows(first, ["project"], ["place"]).select("project", "pos", "path")
+    sized = first.join(sizes, ["project", "path"])
+    numbered = number_rows(sized, ["project"], ["place"], running={"before": "chars"})
+    return numbered.select("project", "pos", "path", "before")
 
 
-def resolve_sequence(nodes: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_sequence(nodes: DataFrame, files: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Files of a curated sequence, each once, in order."""
-    return number_files(leaf_files(tree_leaves(nodes), files))
+    return number_files(leaf_files(tree_leaves(nodes), files), sizes)

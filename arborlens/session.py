@@ -1,11 +1,11 @@
-"""Session settings the operators rely on, and the shared folder for cut lineage."""
+"""Session settings the operators rely on, and the shared folder for what one step hands to the next."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,7 +33,7 @@ def build_session(app: str = "arborlens", master: str | None = None, **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and hand-over tables.
+    """The shared folder for hand-over tables.
 
     A cluster names it in ``spark.checkpoint.dir``. A temporary folder is made only for a local
     master, because executors on other machines could not read it.
@@ -54,3 +54,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def hand_over(rows: DataFrame, name: str) -> DataFrame:
+    """Write a step's result to the shared folder and read it back.
+
+    This cuts the lineage and survives lost executors as a checkpoint does, and what follows also
+    gets column pruning and a known size, so that it is broadcast only when it is small.
+    """
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
