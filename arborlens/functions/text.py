@@ -43,14 +43,16 @@ def strip_comments(text: Column, lang: Column) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    space = fixed.SPACE
-    return F.regexp_replace(text, rf"\A{space}++|(?<!{space}){space}++\z", "")
+    return F.btrim(text, F.lit(fixed.SPACES))
 
 
 def collapse_whitespace(text: Column, mode: Column) -> Column:
-    """``none`` keeps the text, ``moderate`` allows three newlines, all else is aggressive."""
-    trimmed = F.regexp_replace(text, r"(?md)(?<![ \t])[ \t]++$", "")
-    tight = trim_space(F.regexp_replace(trimmed, r"\n{2,}", "\n"))
+    """``none`` keeps the text, ``moderate`` allows three newlines, all else is aggressive.
+
+    Aggressive: no white space at the end of a line, no empty line, none at either end of the text.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda line: F.rtrim(line, F.lit(" \t")))
+    tight = trim_space(F.array_join(F.filter(lines, lambda line: line != ""), "\n"))
     moderate = F.regexp_replace(text, r"\n{4,}", "\n\n\n")
     return F.when(mode == "none", text).when(mode == "moderate", moderate).otherwise(tight)
 
@@ -63,19 +65,22 @@ def fixed_point(value: Column, digits: int) -> Column:
     """A double with fixed digits, rounded half to even on its exact binary value.
 
     Decimal casts and ``%.1f`` round the shortest decimal form instead, which moves 1.15 to 1.2. The
-    fraction is scaled by a power of two, which is exact, and rounded in whole numbers.
+    fraction is scaled by a power of two, which is exact, and rounded in whole numbers; ``tail`` is
+    what is left of it below the unit.
     """
+    unit, scale = 2**48, 10**digits
     size = F.abs(value.cast("double"))
     whole = F.floor(size)
-    unit, scale = 2**60, 10**digits
-    bits = ((size - whole) * F.lit(float(unit))).cast("decimal(19,0)") * F.lit(scale)
-    down = F.floor(bits / F.lit(unit)).cast("bigint")
-    rest = bits - down.cast("decimal(10,0)") * F.lit(unit).cast("decimal(19,0)")
-    up = (rest > unit // 2) | ((rest == unit // 2) & (down % 2 == 1))
+    scaled = (size - whole) * F.lit(float(unit))
+    units = F.floor(scaled)
+    tail = (scaled - units) * scale
+    down = F.shiftright(units * scale, 48)
+    to_half = unit // 2 - (units * scale - F.shiftleft(down, 48))
+    up = (tail > to_half) | ((tail == to_half) & (down % 2 == 1))
     total = whole * scale + down + up.cast("bigint")
-    digits_text = F.lpad((total % scale).cast("string"), digits, "0")
-    text = F.concat(F.floor(total / scale).cast("bigint").cast("string"), F.lit("."), digits_text)
-    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    fraction = F.lpad((total % scale).cast("string"), digits, "0")
+    number = F.concat(F.floor(total / scale).cast("string"), F.lit("."), fraction)
+    return F.when(value < 0, F.concat(F.lit("-"), number)).otherwise(number)
 
 
 def run_key(ts: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlens.functions import fixed, paths, text
-from arborlens.operators.reports import parse_report
+from arborlens.operators.reports import parse_reports
 
 DEFAULT_PROMPT = """\
 Review the complete source code below as an independent software consultant.
@@ -145,5 +145,5 @@ def dispatch(
 
     tasks = max(1, max_concurrent // calls_per_task)
     sent = requests.repartition(tasks).mapInPandas(call, schema)
-    report = F.when(F.col("json_mode") & (F.col("status") == "complete"), parse_report(F.col("raw_response")))
-    return sent.withColumn("report", report)
+    asked = F.col("json_mode") & (F.col("status") == "complete")
+    return parse_reports(sent, F.when(asked, F.col("raw_response")))

@@ -46,38 +46,59 @@ Judge the code, not the models.
 """
 
 
-def parse_report(raw: Column) -> Column:
-    """A JSON report, or NULL unless it has the right shape.
+# The text is parsed inside ``{"d":[[ ... ]]}``: the parser stops at the end of the first value, and
+# the closing brackets, which no part of themselves can stand in for, make it see what follows.
+_PARSED = (
+    "struct<d:array<array<struct<consultation:variant,files_referenced:variant,"
+    "key_concerns:variant,key_strengths:variant>>>>"
+)
+
+
+def parse_reports(rows: DataFrame, raw: Column, out: str = "report") -> DataFrame:
+    """Add the JSON report in ``raw``, or NULL unless it is one value of the right shape.
 
     ``consultation`` must be a string. Each list may be absent (then it is empty) but must hold
-    strings only; an explicit null is not a list. Other fields are ignored.
+    strings only; an explicit null is not a list. Other fields are ignored, and of a repeated field
+    the last one counts. Each text is parsed once: the steps are columns of their own.
     """
-    parsed = F.try_parse_json(raw)
+    wrapped = F.concat(F.lit('{"d":[['), raw, F.lit("]]}"))
+    inner = F.get("_json.d", 0)
+    single = (F.size("_json.d") == 1) & (F.size(inner) == 1)
+
+    def kind(field: str) -> Column:
+        return F.schema_of_variant(f"_json.{field}")
 
-    def kind(value: Column) -> Column:
-        return F.schema_of_variant(value)
+    def texts(field: str) -> Column:
+        listed = F.try_variant_get(F.col(f"_json.{field}"), "$", "array<string>")
+        return F.when(F.col(f"_json.{field}").isNull(), F.array().cast("array<string>")).when(
+            kind(field).isin("ARRAY<STRING>", "ARRAY<VOID>"), listed
+        )
 
-    valid = kind(F.try_variant_get(parsed, "$.consultation", "variant")) == "STRING"
-    fields = [F.try_variant_get(parsed, "$.consultation", "string").alias("consultation")]
+    valid = kind("consultation") == "STRING"
     for name in LISTS:
-        value = F.try_variant_get(parsed, f"$.{name}", "variant")
-        items = F.try_variant_get(parsed, f"$.{name}", "array<variant>")
-        strings = F.forall(items, lambda item: F.coalesce(kind(item), F.lit("VOID")) == "STRING")
-        absent = value.isNull()
-        valid = valid & (absent | F.coalesce(strings, F.lit(False)))
-        listed = F.coalesce(F.try_variant_get(parsed, f"$.{name}", "array<string>"), F.array().cast("array<string>"))
-        fields.append(listed.alias(name))
-    return F.when(valid, F.struct(*fields)).cast(REPORT)
+        # NULL for a value that is no list of strings; a null among the strings is seen here.
+        valid = valid & F.coalesce(~F.exists(f"_{name}", F.isnull), F.lit(False))
+    consultation = F.try_variant_get(F.col("_json.consultation"), "$", "string").alias("consultation")
+    report = F.when(valid, F.struct(consultation, *[F.col(f"_{name}").alias(name) for name in LISTS]))
+    return (
+        rows.withColumn("_json", F.from_json(wrapped, _PARSED, {"allowSingleQuotes": "false"}))
+        .withColumn("_json", F.when(single, F.get(inner, 0)))
+        .withColumns({f"_{name}": texts(name) for name in LISTS})
+        .withColumn(out, report.cast(REPORT))
+        .drop("_json", *[f"_{name}" for name in LISTS])
+    )
 
 
 def with_reports(responses: DataFrame) -> DataFrame:
     """Parse the text of completed responses."""
-    complete = F.col("status") == "complete"
-    return responses.withColumn("report", F.when(complete, parse_report(F.col("raw_response"))))
+    return parse_reports(responses, F.when(F.col("status") == "complete", F.col("raw_response")))
 
 
 def mentions(reports: DataFrame, field: str, name: str) -> DataFrame:
-    """Distinct ``(run_id, name, model)`` for one list of the reports."""
+    """Distinct ``(run_id, name, model)`` for one list of the reports.
+
+    ``reports`` should be a written table: a test on a parsed column is pushed below the parsing.
+    """
     items = reports.where("report IS NOT NULL").select(
         "run_id", "model", F.explode(f"report.{field}").alias(name)
     )

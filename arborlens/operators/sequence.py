@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from arborlens.functions import globs, paths
 from arborlens.operators.ordering import number_rows
@@ -54,7 +55,7 @@ def is_glob(path: Column) -> Column:
     return path.rlike(r"[*?\[]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _tree_regex(patterns: pd.Series) -> pd.Series:
     return patterns.map(globs.tree_regex)
 

@@ -68,7 +68,7 @@ def exclude_filter(data):
 
 @query
 def prune_dirs(data):
-    rules = classify.ScanRules(extra_exclude=("docs/d*", "app/fr/**"))
+    rules = classify.ScanRules(extra_exclude=("cmd/*", "app/fr/**"))
     return data.files.where(~classify.in_pruned_folder(F.col("path"), rules)).select("project", "path")
 
 
@@ -260,7 +260,7 @@ def sequence_glob(data):
     numbered = ordering.number_rows(
         found.select("project", "_glob", "path", "_parts"), ["project", "_glob"], ["_parts"]
     )
-    return numbered.select("project", F.col("_glob").alias("glob"), "pos", "path")
+    return numbered.select("project", F.col("_glob").alias("pattern"), "pos", "path")
 
 
 @query
@@ -444,6 +444,12 @@ def response_json(data):
 # Reports
 
 
+def parsed(data: views.Inputs) -> DataFrame:
+    """Parsed reports as the table that a run leaves behind."""
+    reported = reports.with_reports(data.responses).select("run_id", "model", "report")
+    return hand_over(reported, "reports")
+
+
 @query
 def report_parse(data):
     report = F.col("report")
@@ -464,22 +470,22 @@ def consultation_bundle(data):
 
 @query
 def consensus_findings(data):
-    return reports.consensus_findings(reports.with_reports(data.responses))
+    return reports.consensus_findings(parsed(data))
 
 
 @query
 def finding_models(data):
-    return reports.finding_models(reports.with_reports(data.responses))
+    return reports.finding_models(parsed(data))
 
 
 @query
 def agreement_matrix(data):
-    return reports.agreement_matrix(reports.with_reports(data.responses), MODELS)
+    return reports.agreement_matrix(parsed(data), MODELS)
 
 
 @query
 def file_mentions(data):
-    return reports.file_mentions(reports.with_reports(data.responses))
+    return reports.file_mentions(parsed(data))
 
 
 # Catalogue

@@ -11,8 +11,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A JSON object that repeats a key keeps the last value, as common JSON readers do.
-    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
