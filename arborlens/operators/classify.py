@@ -107,15 +107,13 @@ def doc_rank(path: Column) -> Column:
 
 
 def find_docs(files: DataFrame) -> DataFrame:
-    """Documentation files in pattern order, by path within a pattern. Excludes do not apply.
+    """Documentation files ``(project, rank, path, place)`` of ``files(project, path)``.
 
-    Gives ``(project, pos, path, before)``; ``before`` counts the characters of earlier files.
+    They come in pattern order, by path within a pattern. Excludes do not apply.
     """
-    ranked = files.withColumn("rank", doc_rank(F.col("path"))).where("rank IS NOT NULL")
-    found = ranked.select("project", "path", "rank", F.length("content").cast("bigint").alias("chars"))
-    order = ["rank", paths.parts_key(F.col("path"))]
-    numbered = number_rows(found, ["project"], order, running={"before": "chars"})
-    return numbered.select("project", "pos", "path", "before")
+    rank = doc_rank(F.col("path"))
+    found = files.select("project", "path", rank.alias("rank")).where("rank IS NOT NULL")
+    return found.withColumn("place", F.struct("rank", paths.parts_key(F.col("path")).alias("parts")))
 
 
 def walk_order(files: DataFrame) -> DataFrame:

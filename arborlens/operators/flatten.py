@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from arborlens.functions import fixed, paths, text, tokens
 from arborlens.operators import manifest as mf
 from arborlens.operators.ordering import assemble
-from arborlens.operators.sequence import leaf_files, number_files, with_sizes
+from arborlens.operators.sequence import UNKNOWN_CHARS, leaf_files, number_files
 
 HEADER, ENTRYPOINTS, TREE, DOCS, SOURCE = range(5)
 PART = ["project", "section", "block", "item", "text"]
@@ -30,7 +30,7 @@ class SnapshotOptions:
     title: str = "CODEBASE SNAPSHOT"
     strip_comments: bool | None = None
     include_docs: bool | None = None
-    block_chars: int = 8_000_000
+    block_chars: int = UNKNOWN_CHARS
 
 
 def default_projects(manifest: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def default_positions(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
     A leaf whose name holds ``*``, ``?`` or ``[`` counts as a glob here, as in any sequence.
     """
-    return number_files(leaf_files(mf.sequence_leaves(manifest), files), with_sizes(files))
+    return number_files(leaf_files(mf.sequence_leaves(manifest), files), manifest)
 
 
 def separator_line(template: Column, path: Column, count: Column, chars: Column, lang: Column) -> Column:

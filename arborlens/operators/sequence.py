@@ -107,21 +107,29 @@ def leaf_files(leaves: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("project", "path", F.struct("major", "minor", tie.alias("tie")).alias("place"))
 
 
-def with_sizes(files: DataFrame) -> DataFrame:
-    """``(project, path, chars)``, the raw sizes a numbering can add up."""
-    return files.select("project", "path", F.length("content").cast("bigint").alias("chars"))
+# What a file of unknown size counts for: as much as a whole block of a snapshot.
+UNKNOWN_CHARS = 8_000_000
+
+
+def add_sizes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Add ``chars`` from ``sizes(project, path, chars)``, usually the manifest.
+
+    The sizes a scan has found spare another reading of the texts. They only serve to cut blocks,
+    so a file that was not scanned counts for a whole block.
+    """
+    known = rows.join(sizes.select("project", "path", "chars"), ["project", "path"], "left")
+    return known.withColumn("chars", F.coalesce("chars", F.lit(UNKNOWN_CHARS)))
 
 
 def number_files(found: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Keep the first place of each file and number the files: ``(project, pos, path)``.
 
-    With ``sizes(project, path, chars)`` also ``before``, the characters of all earlier files.
+    With ``sizes`` also ``before``, the characters of all earlier files.
     """
     first = found.groupBy("project", "path").agg(F.min("place").alias("place"))
     if sizes is None:
         return number_rows(first, ["project"], ["place"]).select("project", "pos", "path")
-    sized = first.join(sizes, ["project", "path"])
-    numbered = number_rows(sized, ["project"], ["place"], running={"before": "chars"})
+    numbered = number_rows(add_sizes(first, sizes), ["project"], ["place"], running={"before": "chars"})
     return numbered.select("project", "pos", "path", "before")
 
 

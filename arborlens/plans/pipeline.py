@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlens.functions import tokens
-from arborlens.operators import classify, fanout, flatten, reports, runs
+from arborlens.operators import classify, fanout, flatten, reports, runs, sequence
 from arborlens.operators import manifest as mf
 from arborlens.sources import sinks
 
@@ -32,7 +32,7 @@ def scan(files: DataFrame, out: str, rules: classify.ScanRules = classify.ScanRu
     spark = files.sparkSession
     sinks.write_table(classify.scan_files(files, rules), f"{out}/manifest")
     manifest = spark.read.parquet(f"{out}/manifest")
-    sinks.write_table(classify.find_docs(files), f"{out}/docs")
+    sinks.write_table(sequence.number_files(classify.find_docs(files), manifest), f"{out}/docs")
     sinks.write_table(flatten.default_projects(manifest), f"{out}/projects")
 
 

@@ -79,7 +79,7 @@ def entrypoints(data):
 
 @query
 def doc_discovery(data):
-    return classify.find_docs(data.files).select("project", "pos", "path")
+    return sequence.number_files(classify.find_docs(data.files))
 
 
 @query
@@ -183,7 +183,7 @@ class Snapshot:
 
     @property
     def docs(self) -> DataFrame:
-        return classify.find_docs(self.files)
+        return sequence.number_files(classify.find_docs(self.files), self.manifest)
 
     def parts(self) -> DataFrame:
         return flatten.flat_parts(
