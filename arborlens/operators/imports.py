@@ -56,17 +56,12 @@ def import_edges(specs: DataFrame, files: DataFrame) -> DataFrame:
     counted = specs.groupBy("project", F.col("path").alias("src"), "spec").agg(
         F.count(F.lit(1)).alias("n")
     )
-    spread = counted.select(
-        "project",
-        "src",
-        "spec",
-        "n",
-        F.posexplode(candidates(F.col("spec"), F.col("src"))).alias("rank", "path"),
-    )
+    meant = candidates(F.col("spec"), F.col("src"))
+    spread = counted.select("project", "src", "spec", "n", F.posexplode(meant).alias("rank", "path"))
     found = spread.join(files.select("project", "path"), ["project", "path"])
-    first = found.groupBy("project", "src", "spec").agg(
-        F.min_by("path", "rank").alias("dst"), F.first("n").alias("n")
-    )
+    # Only the rank is aggregated, which stays a hash aggregate; the file follows from it.
+    best = found.groupBy("project", "src", "spec", "n").agg(F.min("rank").alias("rank"))
+    first = best.withColumn("dst", F.get(meant, F.col("rank")))
     return first.where("dst <> src").groupBy("project", "src", "dst").agg(F.sum("n").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlens import schemas
-from arborlens.functions import text
+from arborlens.functions import paths, text
 from arborlens.sources.tree import TreeSource
 
 
@@ -27,16 +27,15 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "json")
 
 
-def read_consultations(spark: SparkSession, path: str) -> DataFrame:
+def read_consultations(spark: SparkSession, root: str) -> DataFrame:
     """Consultation files ``<run>/<model key>.md`` as ``(run_id, model, raw_response)``.
 
-    Texts that name the same model are one, because the file is.
+    Read as a tree: the text source leaves out empty files, which failed models leave behind.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    key = F.regexp_replace(F.url_decode(F.element_at(parts, -1)), r"\.md\z", "")
+    files = read_tree(spark, root, projects="true").where(F.col("path").rlike(r"\A[^/]+\.md\z"))
+    key = F.regexp_replace("path", r"\.md\z", "")
     return files.select(
-        F.url_decode(F.element_at(parts, -2)).alias("run_id"),
-        F.replace(key, F.lit("--"), F.lit("/")).alias("model"),
-        F.col("value").alias("raw_response"),
+        F.col("project").alias("run_id"),
+        paths.model_from_key(key).alias("model"),
+        F.col("content").alias("raw_response"),
     )

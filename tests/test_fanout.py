@@ -1,4 +1,7 @@
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from arborlens.functions import paths
@@ -39,6 +42,10 @@ def test_prompt_and_payload(spark, tmp_path):
     assert rows == {"p": (11, "Look.\n\nflat"), "q": (106, None)}
 
 
+# The client below travels to the tasks with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def client():
     def answer(request):
         kind = request["model"]

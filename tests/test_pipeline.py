@@ -1,7 +1,15 @@
+import sys
+
+from pyspark import cloudpickle
+
 from arborlens import schemas
 from arborlens.plans import pipeline
 
 
+# The client below travels to the tasks with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def client():
     def answer(request):
         if request["model"] == "m/none":
