@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from arborlens.functions import fixed, paths, text, tokens
 from arborlens.operators import manifest as mf
 from arborlens.operators.ordering import assemble
-from arborlens.operators.sequence import UNKNOWN_CHARS, leaf_files, number_files
+from arborlens.operators.sequence import UNKNOWN_CHARS
 
 HEADER, ENTRYPOINTS, TREE, DOCS, SOURCE = range(5)
 PART = ["project", "section", "block", "item", "text"]
@@ -47,14 +47,6 @@ def default_projects(manifest: DataFrame) -> DataFrame:
     )
 
 
-def default_positions(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Files of the default sequence with positions and sizes: ``(project, pos, path, before)``.
-
-    A leaf whose name holds ``*``, ``?`` or ``[`` counts as a glob here, as in any sequence.
-    """
-    return number_files(leaf_files(mf.sequence_leaves(manifest), files), manifest)
-
-
 def separator_line(template: Column, path: Column, count: Column, chars: Column, lang: Column) -> Column:
     """Fill ``{filepath} {tokens} {chars} {lang}`` in one pass; ``{{`` and ``}}`` are braces."""
     pieces = F.regexp_extract_all(template, F.lit(r"(\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}])"), F.lit(1))

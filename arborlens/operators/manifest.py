@@ -65,7 +65,7 @@ def sequence_leaves(manifest: DataFrame) -> DataFrame:
     """The default sequence as ordered leaves.
 
     ``(major, minor)`` places a leaf: entrypoints in walk order, then a group per top folder by
-    name. ``by_path`` says that files within one place are ordered by path.
+    name. ``by_path`` says that files within one place are ordered by path. ``chars`` comes along.
     """
     walk = paths.walk_key(F.col("path"))
     entry = F.col("is_entrypoint")
@@ -75,6 +75,7 @@ def sequence_leaves(manifest: DataFrame) -> DataFrame:
         F.when(entry, walk).otherwise(F.col("grp")).alias("minor"),
         (~entry).alias("by_path"),
         "path",
+        "chars",
     )
 
 
@@ -83,7 +84,7 @@ def default_sequence(manifest: DataFrame) -> DataFrame:
     leaves = sequence_leaves(manifest).withColumn(
         "section", F.when(F.col("by_path"), F.col("minor")).otherwise(F.lit("entrypoints"))
     )
-    numbered = number_rows(leaves.drop("by_path"), ["project"], ["major", "minor", "path"])
+    numbered = number_rows(leaves.drop("by_path", "chars"), ["project"], ["major", "minor", "path"])
     return numbered.select("project", "pos", "section", "path")
 
 

@@ -26,7 +26,9 @@ def rows_of_latest_run(rows: DataFrame, key: str = "project") -> DataFrame:
 def run_meta(responses: DataFrame) -> DataFrame:
     """Rollup of a run. Whatever is not complete counts as failed."""
     complete = F.col("status") == "complete"
+    cost = [F.sum("cost_usd").alias("total_cost_usd")] if "cost_usd" in responses.columns else []
     return responses.groupBy("run_id").agg(
+        *cost,
         F.count(F.lit(1)).alias("models_requested"),
         F.count_if(complete).alias("completed"),
         F.count_if(~complete).alias("failed"),
@@ -35,6 +37,14 @@ def run_meta(responses: DataFrame) -> DataFrame:
     )
 
 
+def with_totals(meta: DataFrame, responses: DataFrame, totals: DataFrame, projects: DataFrame) -> DataFrame:
+    """Add root, files and tokens of the project of each run."""
+    which = responses.groupBy("run_id").agg(F.min("project").alias("project"))
+    facts = totals.select("project", "total_files", F.col("total_tokens").alias("total_tokens_est"))
+    known = which.join(projects.select("project", "root"), "project", "left").join(facts, "project", "left")
+    return meta.join(known, "run_id")
+
+
 def run_models(responses: DataFrame) -> DataFrame:
     """Models of a run by name, repeats kept: ``(run_id, pos, model)``."""
     rows = responses.select("run_id", "model", "generation_id")

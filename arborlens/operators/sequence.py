@@ -93,18 +93,22 @@ def glob_files(leaves: DataFrame, files: DataFrame) -> DataFrame:
     return matched.select(*LEAF, "_glob")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """``(project, path, place)``: the place of a file in the order of its leaf."""
+    path = F.col("path")
+    tie = F.when(F.col("by_path"), path).otherwise(paths.parts_key(path)).alias("tie")
+    return rows.withColumn("place", F.struct("major", "minor", tie)).drop("major", "minor", "by_path")
+
+
 def leaf_files(leaves: DataFrame, files: DataFrame) -> DataFrame:
     """Replace each leaf by its files: ``(project, path, place)``.
 
     Missing files are left out, globs may give any number.
     """
-    path = F.col("path")
-    plain = leaves.where(~is_glob(path)).join(
+    plain = leaves.where(~is_glob(F.col("path"))).join(
         files.select("project", "path"), ["project", "path"], "left_semi"
     )
-    tie = F.when(F.col("by_path"), path).otherwise(paths.parts_key(path))
-    both = plain.select(*LEAF).unionByName(glob_files(leaves, files).select(*LEAF))
-    return both.select("project", "path", F.struct("major", "minor", tie.alias("tie")).alias("place"))
+    return placed(plain.select(*LEAF).unionByName(glob_files(leaves, files).select(*LEAF)))
 
 
 # What a file of unknown size counts for: as much as a whole block of a snapshot.
@@ -121,18 +125,31 @@ def add_sizes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return known.withColumn("chars", F.coalesce("chars", F.lit(UNKNOWN_CHARS)))
 
 
-def number_files(found: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+def number_files(found: DataFrame) -> DataFrame:
     """Keep the first place of each file and number the files: ``(project, pos, path)``.
 
-    With ``sizes`` also ``before``, the characters of all earlier files.
+    If ``found`` has ``chars``, also ``before``, the characters of all earlier files.
     """
-    first = found.groupBy("project", "path").agg(F.min("place").alias("place"))
-    if sizes is None:
-        return number_rows(first, ["project"], ["place"]).select("project", "pos", "path")
-    numbered = number_rows(add_sizes(first, sizes), ["project"], ["place"], running={"before": "chars"})
-    return numbered.select("project", "pos", "path", "before")
+    sized = "chars" in found.columns
+    sizes = [F.max("chars").alias("chars")] if sized else []
+    first = found.groupBy("project", "path").agg(F.min("place").alias("place"), *sizes)
+    running = {"before": "chars"} if sized else {}
+    numbered = number_rows(first, ["project"], ["place"], running=running)
+    return numbered.select("project", "pos", "path", *running)
 
 
 def resolve_sequence(nodes: DataFrame, files: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Files of a curated sequence, each once, in order."""
-    return number_files(leaf_files(tree_leaves(nodes), files), sizes)
+    """Files of a curated sequence, each once, in order; with ``before`` if ``sizes`` are given."""
+    found = leaf_files(tree_leaves(nodes), files)
+    return number_files(add_sizes(found, sizes) if sizes is not None else found)
+
+
+def default_positions(leaves: DataFrame, files: DataFrame) -> DataFrame:
+    """Files of the default sequence: ``(project, pos, path, before)``.
+
+    ``leaves`` are those of a manifest and have ``chars``, so its files need not be looked up. A
+    leaf whose name holds ``*``, ``?`` or ``[`` counts as a glob here, as in any sequence.
+    """
+    plain = leaves.where(~is_glob(F.col("path")))
+    globbed = placed(glob_files(leaves, files).select(*LEAF))
+    return number_files(placed(plain).unionByName(add_sizes(globbed, leaves)))

@@ -32,7 +32,8 @@ def scan(files: DataFrame, out: str, rules: classify.ScanRules = classify.ScanRu
     spark = files.sparkSession
     sinks.write_table(classify.scan_files(files, rules), f"{out}/manifest")
     manifest = spark.read.parquet(f"{out}/manifest")
-    sinks.write_table(sequence.number_files(classify.find_docs(files), manifest), f"{out}/docs")
+    docs = sequence.add_sizes(classify.find_docs(files), manifest)
+    sinks.write_table(sequence.number_files(docs), f"{out}/docs")
     sinks.write_table(flatten.default_projects(manifest), f"{out}/projects")
 
 
@@ -50,7 +51,7 @@ def flatten_run(
         spark.read.parquet(f"{scanned}/{name}") for name in ("manifest", "docs", "projects")
     )
     if positions is None:
-        positions = flatten.default_positions(manifest, files)
+        positions = sequence.default_positions(mf.sequence_leaves(manifest), files)
     options = options or flatten.SnapshotOptions(generated=now().isoformat())
     parts = flatten.flat_parts(manifest, files, positions, docs, projects, options, token_counter)
     sinks.write_table(flatten.flat_blocks(parts), f"{out}/blocks")
@@ -63,13 +64,17 @@ def fire(
     make_client: Callable[[], fanout.Client],
     run_id: str,
     out: str,
+    scanned: str | None = None,
     prompt: str = fanout.DEFAULT_PROMPT,
     max_payload_chars: int = fanout.MAX_PAYLOAD_CHARS,
     timeout: int = 600,
     max_concurrent: int = 5,
     **request: object,
 ) -> DataFrame:
-    """Send every flat text to every model, write ``payloads``, ``responses`` and ``run_meta``."""
+    """Send every flat text to every model, write ``payloads``, ``responses`` and ``run_meta``.
+
+    The run of a project is ``<run_id>/<project>``. ``scanned`` adds the totals of the scan.
+    """
     spark = blocks.sparkSession
     texts = flatten.flat_texts(blocks, max_payload_chars)
     sinks.write_table(fanout.build_payloads(texts, prompt), f"{out}/payloads")
@@ -80,7 +85,11 @@ def fire(
     answers = fanout.dispatch(requests, make_client, timeout, max_concurrent)
     sinks.write_table(answers, f"{out}/responses")
     responses = spark.read.parquet(f"{out}/responses")
-    sinks.write_table(runs.run_meta(responses), f"{out}/run_meta")
+    meta = runs.run_meta(responses)
+    if scanned:
+        totals = mf.scan_totals(spark.read.parquet(f"{scanned}/manifest"))
+        meta = runs.with_totals(meta, responses, totals, spark.read.parquet(f"{scanned}/projects"))
+    sinks.write_table(meta.withColumn("prompt", F.lit(prompt)), f"{out}/run_meta")
     return responses
 
 
@@ -127,7 +136,7 @@ def analyze(
     run_id = run_name(now())
     scan(files, f"{out}/scan", rules)
     blocks = flatten_run(files, f"{out}/scan", f"{out}/runs/{run_id}")
-    responses = fire(blocks, models, make_client, run_id, f"{out}/runs/{run_id}", **request)
+    responses = fire(blocks, models, make_client, run_id, f"{out}/runs/{run_id}", f"{out}/scan", **request)
     return report(responses, synthesis_model, make_client, f"{out}/runs/{run_id}")
 
 

@@ -179,11 +179,11 @@ class Snapshot:
 
     @property
     def positions(self) -> DataFrame:
-        return flatten.default_positions(self.manifest, self.files)
+        return sequence.default_positions(mf.sequence_leaves(self.manifest), self.files)
 
     @property
     def docs(self) -> DataFrame:
-        return sequence.number_files(classify.find_docs(self.files), self.manifest)
+        return sequence.number_files(sequence.add_sizes(classify.find_docs(self.files), self.manifest))
 
     def parts(self) -> DataFrame:
         return flatten.flat_parts(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from arborlens import schemas
 from arborlens.functions import fixed
 from arborlens.operators import classify, flatten, sequence
+from arborlens.operators import manifest as mf
 from arborlens.sources import sinks
 
 TREE = {
@@ -24,8 +25,8 @@ def snapshot(spark, tree, options=flatten.SnapshotOptions(), **stored):
     files = spark.createDataFrame(rows, schemas.SOURCE_FILES)
     manifest = classify.scan_files(files)
     projects = flatten.default_projects(manifest).withColumns({k: F.lit(v) for k, v in stored.items()})
-    positions = flatten.default_positions(manifest, files)
-    docs = sequence.number_files(classify.find_docs(files), manifest)
+    positions = sequence.default_positions(mf.sequence_leaves(manifest), files)
+    docs = sequence.number_files(sequence.add_sizes(classify.find_docs(files), manifest))
     return flatten.flat_parts(manifest, files, positions, docs, projects, options)
 
 
@@ -130,8 +131,8 @@ def test_tree_of_a_project_without_files(spark):
     )
     empty = spark.createDataFrame([], schemas.SOURCE_FILES)
     manifest = classify.scan_files(empty)
-    positions = flatten.default_positions(manifest, empty)
-    docs = sequence.number_files(classify.find_docs(empty), manifest)
+    positions = sequence.default_positions(mf.sequence_leaves(manifest), empty)
+    docs = sequence.number_files(sequence.add_sizes(classify.find_docs(empty), manifest))
     parts = flatten.flat_parts(manifest, empty, positions, docs, projects, flatten.SnapshotOptions("now"))
     assert joined(parts) == "\n".join(
         ["═══ CODEBASE SNAPSHOT ═══", "generated: now", "root: r", "total_files: 0", "total_tokens: ~0",

@@ -30,6 +30,7 @@ def test_scan_flatten_fire_report(spark, tmp_path):
     assert {r.run_id for r in comparisons} == {f"{run}/p", f"{run}/q"}
     assert all(r.comparison.startswith("m/judge read ") for r in comparisons)
     meta = spark.read.parquet(f"{out}/runs/{run}/run_meta").collect()
+    assert {(r.project, r.root, r.total_files, r.total_cost_usd) for r in meta} == {("p", "p", 2, 0.0), ("q", "q", 1, 0.0)}
     assert {(r.run_id, r.completed, r.failed) for r in meta} == {(f"{run}/p", 2, 1), (f"{run}/q", 2, 1)}
     payloads = {r.project: r for r in spark.read.parquet(f"{out}/runs/{run}/payloads").collect()}
     assert all(r.payload_chars == len(r.payload) for r in payloads.values())
