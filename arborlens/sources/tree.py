@@ -17,12 +17,15 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from arborlens.functions import fixed, globs
 from arborlens.operators.classify import ScanRules
 
 FLAT_FOLDER = 5_000
+BATCH_BYTES = 16 * 1024 * 1024
+SCHEMA = pa.schema([("project", pa.string()), ("path", pa.string()), ("content", pa.binary())])
 
 
 class Piece(InputPartition):
@@ -108,7 +111,19 @@ class TreeReader(DataSourceReader):
             open_pieces = below
         return pieces + open_pieces
 
-    def read(self, piece: Piece) -> Iterator[tuple]:
+    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+        """Arrow batches of about ``BATCH_BYTES`` of content."""
+        rows, size = [], 0
+        for row in self.files(piece):
+            rows.append(row)
+            size += len(row["content"])
+            if size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+
+    def files(self, piece: Piece) -> Iterator[dict]:
         root, gate, folders = self.base(piece.project), Gate(self.rules), [piece.folder]
         while folders:
             folder = folders.pop()
@@ -126,7 +141,7 @@ class TreeReader(DataSourceReader):
                     path.encode()
                 except (OSError, UnicodeError):
                     continue  # unreadable files do not exist for a scan
-                yield piece.project, path, content
+                yield {"project": piece.project, "path": path, "content": content}
 
 
 class TreeSource(DataSource):

@@ -3,7 +3,7 @@ import pytest
 from arborlens import schemas
 from arborlens.operators import classify, flatten, sequence
 from arborlens.operators import manifest as mf
-from arborlens.sources import sinks, tables
+from arborlens.sources import sinks, tables, tree
 
 
 def files_of(spark, tree, project="p"):
@@ -126,3 +126,17 @@ def test_path_tests_do_not_read_content(spark, tmp_path):
     manifest = classify.scan_files(stored)
     plan = mf.entrypoints(manifest)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<project:string,path:string>" in plan and "Exchange" not in plan
+
+
+def test_large_flat_folders_are_shared_out(tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "FLAT_FOLDER", 3)
+    (tmp_path / "sub").mkdir()
+    wanted = {f"f{n}.txt" for n in range(20)} | {"sub/x.txt"}
+    for path in wanted:
+        (tmp_path / path).write_text(path)
+    reader = tree.TreeReader({"path": str(tmp_path), "tasks": "5"})
+    pieces = reader.partitions()
+    assert sum(p.shares == 7 for p in pieces) == 7
+    found = [row for piece in pieces for batch in reader.read(piece) for row in batch.to_pylist()]
+    assert sorted(r["path"] for r in found) == sorted(wanted)
+    assert all(r["content"].decode() == r["path"] for r in found)
