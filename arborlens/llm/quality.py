@@ -252,18 +252,43 @@ def apply_model(stats: DataFrame, model: Model, key: str = "doc_id") -> DataFram
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, score double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, learn: str = "pmod(crc32(CAST(doc_id AS STRING)), 3) <> 1") -> DataFrame:
+def _known(labels: DataFrame, learn: str) -> DataFrame:
+    """One label per document. Null labels are ignored, several are averaged (0.5 or more: 1)."""
+    good = labels.where(f"quality IS NOT NULL AND doc_id IS NOT NULL AND {learn}")
+    return good.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+
+
+def _with_labels(stats: DataFrame, labels: DataFrame, learn: str) -> DataFrame:
+    return stats.join(_known(labels, learn), "doc_id").withColumn("fold", F.expr("pmod(xxhash64(doc_id), 5)"))
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame, learn: str = "true") -> DataFrame:
+    """``(doc_id, stats, label, fold)`` of the documents with a label: what ``fit`` takes."""
+    return _with_labels(document_statistics(docs), labels, learn)
+
+
+def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` with a score of ``least`` or more; all columns, one narrow stage.
+
+    The text is measured again, which is cheaper than a join of all texts with their scores.
+    """
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in common.text_slices(batch.column(at)):
+                good = model.score(measure(data, offsets)) >= least
+                yield batch.slice(first, last - first).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, learn: str = "true") -> DataFrame:
     """``(doc_id, held_out, score)`` of every row of ``docs``, learnt from ``labels(doc_id, quality)``.
 
-    Labels count only where ``learn`` holds. Null labels and labels of unknown documents are ignored;
-    several labels of a document are averaged (0.5 or more: 1).
+    Labels count only where ``learn``, a condition on ``doc_id``, holds; ``held_out`` is its opposite.
+    Labels of unknown documents are ignored. A null or empty text is scored by its zero statistics.
     """
     stats = hand_over(document_statistics(docs), "stats")
-    known = (
-        labels.where(f"quality IS NOT NULL AND doc_id IS NOT NULL AND {learn}")
-        .groupBy("doc_id")
-        .agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    )
-    labelled = stats.join(known, "doc_id").withColumn("fold", F.expr("pmod(xxhash64(doc_id), 5)"))
-    scores = apply_model(stats, fit(labelled))
-    return scores.withColumn("held_out", ~F.coalesce(F.expr(learn), F.lit(False)))
+    scores = apply_model(stats, fit(_with_labels(stats, labels, learn)))
+    return scores.withColumn("held_out", ~F.coalesce(F.expr(learn), F.lit(True)))
