@@ -15,7 +15,6 @@ import hashlib
 import re
 from bisect import bisect
 from collections.abc import Iterator
-from functools import lru_cache
 from math import isqrt
 
 import pyarrow as pa
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 #: Only for tests and examples; a real run passes a secret of its own.
 EXAMPLE_KEY = b"example key, not a secret"
 ROUNDS = 8
+MEMORY = 50_000
 
 
 def _feistel(x: int, a: int, b: int, key: bytes, tweak: bytes, back: bool) -> int:
@@ -196,20 +196,23 @@ KINDS = {
 }
 
 
-_PATTERNS = {kind: re.compile(pattern) for kind, (pattern, _) in KINDS.items()}
+_PATTERNS = {kind: re.compile(pattern, re.ASCII) for kind, (pattern, _) in KINDS.items()}
 _TELLTALE = re.compile(r"\d|@|[=:]")
 
 
-def pseudonymize(text: str | None, key: bytes = EXAMPLE_KEY, back: bool = False) -> tuple[str | None, list[tuple[int, int, str]]]:
+def pseudonymize(
+    text: str | None, key: bytes = EXAMPLE_KEY, back: bool = False, memory: dict[tuple[str, str], str | None] | None = None
+) -> tuple[str | None, list[tuple[int, int, str]]]:
     """The text with every valid value replaced, and the spans ``(start, end, kind)`` of the values.
 
     Spans are in characters of the result. An earlier kind wins where two overlap. Null stays null.
+    ``memory`` holds pseudonyms of recurring values; it is emptied when it has ``MEMORY`` entries.
     """
     if not text or not _TELLTALE.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []  # in order
-    cached = _cached(key, back)
+    memory = {} if memory is None else memory
     for kind, pattern in _PATTERNS.items():
         if kind == "email" and "@" not in text:
             continue
@@ -218,7 +221,12 @@ def pseudonymize(text: str | None, key: bytes = EXAMPLE_KEY, back: bool = False)
             at = bisect(taken, (a, b))
             if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
                 continue
-            new = cached(kind, m[kind])
+            value = (kind, m[kind])
+            if value not in memory:
+                if len(memory) >= MEMORY:
+                    memory.clear()
+                memory[value] = KINDS[kind][1](m[kind], key, back)
+            new = memory[value]
             if new is not None:
                 found.append((a, b, kind, new))
                 taken.insert(at, (a, b))
@@ -236,12 +244,6 @@ def pseudonymize(text: str | None, key: bytes = EXAMPLE_KEY, back: bool = False)
     return "".join(out), spans
 
 
-@lru_cache(maxsize=8)
-def _cached(key: bytes, back: bool):
-    """Values recur: a bounded memory of pseudonyms per process."""
-    return lru_cache(maxsize=50_000)(lambda kind, value: KINDS[kind][1](value, key, back))
-
-
 def pseudonymize_documents(docs: DataFrame, key: bytes = EXAMPLE_KEY, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten and ``pii_spans`` added; one narrow stage.
 
@@ -254,11 +256,12 @@ def pseudonymize_documents(docs: DataFrame, key: bytes = EXAMPLE_KEY, text: str
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[tuple[str, str], str | None] = {}
         for batch in batches:
             # Few rows at a time: two copies of the texts are held, not of the whole batch.
             for first in range(0, len(batch), 512):
                 part = batch.slice(first, 512)
-                done = [pseudonymize(x, key) for x in part.column(at).to_pylist()]
+                done = [pseudonymize(x, key, memory=memory) for x in part.column(at).to_pylist()]
                 columns = list(part.columns)
                 columns[at] = pa.array([t for t, _ in done], pa.string())
                 spans = [[{"start": a, "end": b, "kind": k} for a, b, k in s] for _, s in done]

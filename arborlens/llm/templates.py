@@ -7,15 +7,20 @@ Two lines that differ within one part, in at most the share 1 / ``SEGMENTS`` of
 in common: their template. A template in ``MIN_DOCS`` documents or more recurs, and its lines are
 dropped, but for the first one (by document and line), so one copy of everything stays.
 
-Everything is built-in expressions and aggregates; the counts are partial sums, and no key has a
-task or a row of its own.
+Forms are hashed in numpy, in one narrow pass over the texts; the counts are partial aggregates, and no
+key has a task or a row of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborlens.llm import common
 from arborlens.session import hand_over
 
 LEAD = 2
@@ -25,73 +30,88 @@ MIN_SEGMENTED = 10
 MIN_TOKENS = 2
 MIN_DOCS = 4
 
-#: A token with a digit. The look-behind and the possessive loops keep long tokens linear.
-_FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-_BLANKS = r"[\x20\x09\x0B-\x0D]+"
-
-
-def _forms(tokens: Column) -> Column:
-    """Hashes of the template forms of a line, given its tokens (digit fields masked)."""
-    size = F.size(tokens)
-    rest = size - LEAD
-
-    def form(k: int) -> Column:
-        a = F.lit(LEAD + 1) + F.floor(rest * k / SEGMENTS).cast("int")
-        b = F.lit(LEAD + 1) + F.floor(rest * (k + 1) / SEGMENTS).cast("int")
-        head = F.concat_ws(" ", F.slice(tokens, 1, a - 1))
-        tail = F.concat_ws(" ", F.slice(tokens, b, F.greatest(size - b + 1, F.lit(0))))
-        return F.xxhash64(size, F.lit(k + 1), head, tail)
-
-    whole = F.xxhash64(size, F.lit(0), F.concat_ws(" ", tokens))
-    return F.when(size >= MIN_SEGMENTED, F.array(whole, *[form(k) for k in range(SEGMENTS)])).otherwise(F.array(whole))
-
-
-def line_forms(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``(keys, line, form)`` of every line with ``MIN_TOKENS`` tokens or more; ``line`` counts from 0."""
-    masked = F.regexp_replace(F.col(text), _FIELD, "*")
-    lines = docs.select(*keys, F.posexplode(F.split(masked, "\n")).alias("line", "_line"))
-    tokens = F.split(F.trim(F.regexp_replace("_line", _BLANKS, " ")), " ")
-    split = lines.select(*keys, "line", tokens.alias("_tokens")).where(F.size("_tokens") >= MIN_TOKENS)
-    return split.select(*keys, "line", F.explode(_forms(F.col("_tokens"))).alias("form"))
+_HAS_DIGIT = np.zeros(256, bool)
+_HAS_DIGIT[ord("0") : ord("9") + 1] = True
+
+
+def template_forms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Form hash, text number and line number of every form of every line of a slice."""
+    start, end, doc = common.find_words(data, offsets)
+    tokens = common.hash_spans(data, start, end)
+    digits = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_HAS_DIGIT[data], out=digits[1:])
+    # A field with a digit is a variable one and reads as an asterisk.
+    one = np.frombuffer(b"*", np.uint8)
+    tokens[digits[end] > digits[start]] = common.hash_spans(one, np.array([0]), np.array([1]))[0]
+    breaks = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(data == ord("\n"), out=breaks[1:])
+    line = breaks[start] - breaks[offsets[doc]]
+    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])][: len(doc)])
+    size = np.diff(np.r_[head, len(doc)])
+    enough = size >= MIN_TOKENS
+    head, size = head[enough], size[enough]
+    up, down = common.powers(len(tokens) + 1)
+    total = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(tokens * up[: len(tokens)], out=total[1:])
+
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return common.mix(((total[b] - total[a]) * down[a]) ^ (b - a).astype(np.uint64))
+
+    forms, at = [run(head, head + size)], [np.arange(len(head))]
+    long_ = np.flatnonzero(size >= MIN_SEGMENTED)
+    first, n = head[long_], size[long_]
+    for k in range(SEGMENTS):
+        a = first + LEAD + (n - LEAD) * k // SEGMENTS
+        b = first + LEAD + (n - LEAD) * (k + 1) // SEGMENTS
+        parts = run(first, a) * np.uint64(0x9E3779B97F4A7C15) + run(b, first + n) * np.uint64(0xC2B2AE3D27D4EB4F)
+        forms.append(common.mix(parts + (n * (SEGMENTS + 1) + k + 1).astype(np.uint64)))
+        at.append(long_)
+    at = np.concatenate(at)
+    return np.concatenate(forms), doc[head[at]], line[head[at]]
+
+
+def line_forms(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(form, _doc, line)`` of every line with ``MIN_TOKENS`` tokens or more; ``line`` counts from 0."""
+    rows = docs.where(F.col(key).isNotNull()).select(key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in common.text_slices(batch.column(1)):
+                if len(data):
+                    forms, doc, line = template_forms(data, offsets)
+                    keys = batch.column(0).slice(first, last - first).take(pa.array(doc))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(forms.astype(np.int64)), keys, pa.array(line.astype(np.int32))], names=["form", "_doc", "line"]
+                    )
+
+    return rows.mapInArrow(run, f"form long, _doc {rows.schema[key].dataType.simpleString()}, line int")
 
 
 def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``text`` less its recurring lines, and ``n_lines``, ``n_dropped`` added.
 
-    A document is a key with a text; rows that repeat both count once and lose the same lines. A null
-    key or text is left as it is (with no lines); an empty text has one line, which is kept. If all
-    lines go, the text is empty. Columns named ``n_lines`` or ``n_dropped`` are replaced.
+    Documents are counted by key, and the first line of a form is the first one of the smallest key; rows
+    that repeat a key should repeat its text. A null key or text is left as it is; an empty text has one
+    line, which is kept. If all lines go, the text is empty. Columns named ``n_lines`` or ``n_dropped``
+    are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    marked = docs.withColumn("_text_key", F.xxhash64(text))
-    doc = ["_doc", "_text_key"]
-    source = marked.where(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), "_text_key", text)
-    forms = hand_over(line_forms(source, doc, text), "forms")
-    # First line of each form in each document, then of the form: partial aggregates.
-    seen = forms.groupBy("form", *doc).agg(F.min("line").alias("_line"))
+    forms = line_forms(docs, key, text)
+    # The line where a form first stands in a document; a partial aggregate, as the count of documents.
+    seen = forms.groupBy("form", "_doc").agg(F.min("line").alias("_line"))
     recurring = (
-        seen.groupBy("form")
-        .agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first_doc"))
-        .where(F.col("_docs") >= min_docs)
-        .drop("_docs")
-    )
-    # The first line is the first one in the smallest key; of two texts of that key both keep theirs.
-    hits = forms.join(recurring, "form")
-    firsts = hits.where("_doc = _first_doc").groupBy("form", *doc).agg(F.min("line").alias("line"))
-    other = hits.where("_doc <> _first_doc").select(*doc, "line")
-    later = (
-        hits.where("_doc = _first_doc")
-        .join(firsts.withColumnRenamed("line", "_keep"), ["form", *doc])
-        .where("line > _keep")
-        .select(*doc, "line")
+        seen.groupBy("form").agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first_doc")).where(F.col("_docs") >= min_docs).drop("_docs")
     )
+    recurring = hand_over(recurring, "recurring")
+    hits = hand_over(forms.join(recurring, "form"), "hits")
+    firsts = hits.where("_doc = _first_doc").groupBy("form", "_doc").agg(F.min("line").alias("_keep"))
+    other = hits.where("_doc <> _first_doc").select("_doc", "line")
+    later = hits.where("_doc = _first_doc").join(firsts, ["form", "_doc"]).where("line > _keep").select("_doc", "line")
     # A list holds lines of one document, as its text does.
-    dropped = other.union(later).groupBy(*doc).agg(F.collect_set("line").alias("_gone"))
+    dropped = other.union(later).groupBy("_doc").agg(F.collect_set("line").alias("_gone"))
     parts = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_gone")
-    joined = marked.join(dropped, (marked[key] == dropped["_doc"]) & (marked["_text_key"] == dropped["_text_key"]), "left").select(
-        *[marked[c] for c in docs.columns], "_gone"
-    )
+    joined = docs.join(dropped, docs[key] == dropped["_doc"], "left").select(*[docs[c] for c in docs.columns], "_gone")
     gone = F.col("_gone").isNotNull()
     return (
         joined.withColumn("_parts", parts)
