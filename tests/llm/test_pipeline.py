@@ -1,0 +1,33 @@
+"""Stages of the pipeline against plain rules, and the registered queries with SQL against DuckDB."""
+
+import os
+
+import compare
+import pytest
+
+import corpus_pipeline
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+
+
+def test_stages_keep_columns_and_decide(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in seen.collect()}
+        seen = stage(spark, seen, FOLDER).cache()
+        assert seen.columns == docs.columns, name
+        after = {r.doc_id: r.text for r in seen.collect()}
+        assert set(after) <= set(before) and after
+        if name == "PII":
+            assert set(after) == set(before) and any(after[i] != before[i] for i in after)
+        if name in ("quality classifier", "n-gram Jaccard join"):
+            assert len(after) < len(before) and all(after[i] == before[i] for i in after)
+    packed = corpus_pipeline.STAGES[-1][1](spark, seen, FOLDER)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == set(after)
+
+
+@pytest.mark.parametrize("name", ["op1_line_templates", "op3_repetition"])
+def test_sql(spark, name):
+    assert compare.differences(spark, compare.open_duckdb(FOLDER), name, FOLDER) == ""
