@@ -158,3 +158,6 @@ DOCS_TITLE_UNVERIFIED = (
     "source code below, not as ground truth.",
 )
 SOURCE_TITLE = "═══ BEGIN SOURCE (authoritative) ═══"
+
+# Section titles that a synthesis must have.
+SYNTHESIS_TITLES = ("High-Confidence Findings", "Unique Findings", "Prioritized Action Items")

@@ -30,10 +30,21 @@ def anchored(bodies: list[str]) -> str:
 
 
 def _bracket(body: str) -> str:
-    """The inside of ``[...]`` as a character class."""
+    """The inside of ``[...]`` as a character class. A range that runs backwards has no members."""
     negated = body.startswith("!")
-    members = re.sub(r"([\[\]\\^&~|])", r"\\\1", body[1:] if negated else body)
-    return f"[{'^' if negated else ''}{members}]"
+    rest = body[1:] if negated else body
+    members = []
+    while rest:
+        if len(rest) > 2 and rest[1] == "-":
+            if rest[0] <= rest[2]:
+                members.append(f"{_literal(rest[0])}-{_literal(rest[2])}")
+            rest = rest[3:]
+        else:
+            members.append(_literal(rest[0]))
+            rest = rest[1:]
+    if not members:
+        return r"[\s\S]" if negated else NEVER
+    return f"[{'^' if negated else ''}{''.join(members)}]"
 
 
 def _wildcards(pattern: str, star: str, one: str) -> str:

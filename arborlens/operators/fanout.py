@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -35,7 +36,9 @@ def load_prompt(spark, path: str | None = None) -> str:
     """The prompt of a job: the default one, or a text file, which must exist."""
     if path is None:
         return DEFAULT_PROMPT
-    return spark.read.text(path, wholetext=True).first()["value"]
+    found = spark.read.text(path, wholetext=True).first()
+    # An empty file has no row. Line ends are those of the texts it stands before.
+    return found["value"].replace("\r\n", "\n").replace("\r", "\n") if found else ""
 
 
 def build_payload(prompt: Column, flat: Column) -> Column:
@@ -91,6 +94,29 @@ _OUTCOME = (
 )
 
 
+def _within(timeout: float, client: Client, request: dict) -> dict:
+    """The client's answer, or ``TimeoutError`` after ``timeout`` seconds whatever the client does.
+
+    A call that goes on is left to its thread, which does not keep the process alive.
+    """
+    done: dict = {}
+
+    def call() -> None:
+        try:
+            done["answer"] = client(request)
+        except BaseException as problem:
+            done["problem"] = problem
+
+    thread = threading.Thread(target=call, daemon=True)
+    thread.start()
+    thread.join(timeout)
+    if "problem" in done:
+        raise done["problem"]
+    if "answer" not in done:
+        raise TimeoutError
+    return done["answer"]
+
+
 def _outcome(client: Client, request: dict, timeout: int) -> dict:
     """Call the client for one request; whatever happens becomes a row."""
     started = time.monotonic()
@@ -101,7 +127,7 @@ def _outcome(client: Client, request: dict, timeout: int) -> dict:
     try:
         if request["payload"] is None:
             raise ValueError(f"payload of {request['payload_chars']} characters is too long for one request")
-        answer = client({**request, "timeout": timeout})
+        answer = _within(timeout, client, {**request, "timeout": timeout})
         row.update(
             raw_response=answer.get("content") or "",
             finish_reason=answer.get("finish_reason") or "unknown",
@@ -128,7 +154,7 @@ def dispatch(
 
     ``make_client`` runs in the task; the client takes a dict and returns a dict with ``content``,
     ``finish_reason``, ``id``, ``prompt_tokens`` and ``completion_tokens``, or raises. It gets the
-    ``timeout`` and raises ``TimeoutError`` when it is over. At most ``max_concurrent`` calls run at
+    ``timeout``; a call that takes longer is given up and becomes a ``timeout`` row. At most ``max_concurrent`` calls run at
     once. A retried task calls again, so write the result once, before anything reads it twice.
     """
     kept = [f for f in requests.schema.fields if f.name != "payload"]

@@ -160,7 +160,7 @@ def _tree(positions: DataFrame, projects: DataFrame) -> DataFrame:
     body = lines.select(
         "project",
         F.lit(TREE).alias("section"),
-        F.floor(F.col("pos") / mf.ITEMS_PER_BLOCK).alias("block"),
+        F.expr(f"pos div {mf.ITEMS_PER_BLOCK}").alias("block"),
         F.col("pos").alias("item"),
         F.concat("line", F.lit("\n")).alias("text"),
     )
@@ -180,7 +180,7 @@ def _placed(order: DataFrame, block_chars: int) -> DataFrame:
     Cleaning only shortens a text, so raw sizes bound a block. Blocks are known before any text is
     shuffled.
     """
-    block = F.floor(F.col("before") / block_chars).alias("block")
+    block = F.expr(f"before div {block_chars}").alias("block")
     return order.select("project", "path", block, F.col("pos").alias("item"))
 
 

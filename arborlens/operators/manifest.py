@@ -40,8 +40,8 @@ def language_share(stats: DataFrame) -> DataFrame:
     """Whole percent of the tokens of known languages, and a label."""
     total = F.sum("tokens").over(Window.partitionBy("project"))
     whole = F.when(total == 0, F.lit(1)).otherwise(total)
-    pct = F.floor((F.col("tokens") * 100) / whole).cast("bigint")
-    return stats.select("project", "lang", "rank", pct.alias("pct")).withColumn(
+    shares = stats.withColumn("_whole", whole)
+    return shares.select("project", "lang", "rank", F.expr("tokens * 100 div _whole").alias("pct")).withColumn(
         "label", F.concat(F.initcap("lang"), F.lit(" ("), F.col("pct").cast("string"), F.lit("%)"))
     )
 
@@ -96,7 +96,7 @@ def enumeration(items: DataFrame, head: Column) -> DataFrame:
     glue = F.when(F.col("pos") == 0, head).otherwise(F.lit(", "))
     return items.select(
         "project",
-        F.floor(F.col("pos") / ITEMS_PER_BLOCK).alias("block"),
+        F.expr(f"pos div {ITEMS_PER_BLOCK}").alias("block"),
         F.col("pos").alias("item"),
         F.concat(glue, "path").alias("text"),
     )

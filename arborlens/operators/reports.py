@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.functions import paths
+from arborlens.functions import fixed, paths
 from arborlens.operators.ordering import assemble, number_rows
 
 REPORT = (
@@ -20,26 +20,20 @@ LISTS = ("files_referenced", "key_concerns", "key_strengths")
 NAMES_PER_BLOCK = 50_000
 TEXTS_PER_BLOCK = 200
 
-_BUNDLE_TAIL = """
-Every consultation covers the same codebase and was written without sight of the others.
+_BUNDLE_TAIL = f"""
+You are the editor of these reviews. Work claim by claim: note each claim with the file it is about and
+the reviewers who make it, check it against the passages they quote, and leave out what nobody can
+point to. Then write three parts.
 
-Compare them on the evidence they give: file paths, functions and concrete patterns. Length says
-nothing about quality, so weigh how specific and how correct each point is.
+## {fixed.SYNTHESIS_TITLES[0]}
+Claims that stand on two reviewers or more. Give the place in the code first, then who saw it.
+Where reviewers agree on a place and not on the remedy, write both remedies side by side.
 
-### High-Confidence Findings (convergence)
-Points that at least two consultations make independently, with the models and files they name.
+## {fixed.SYNTHESIS_TITLES[1]}
+Claims of one reviewer that their quotation bears out, and what would settle the rest.
 
-### Disputed or Divergent Areas
-Points on which they differ in severity, cause or remedy, with enough detail to decide by hand.
-
-### Unique Findings
-Points only one consultation makes, with the model that made it.
-
-### Prioritized Action Items
-Five to ten concrete actions, most important first, each with its confidence: high for convergence,
-medium for a single but specific source, low for matters of taste.
-
-Judge the code, not the models.
+## {fixed.SYNTHESIS_TITLES[2]}
+A numbered list to work through: the change, the file, the claims behind it.
 
 ---
 
@@ -183,8 +177,8 @@ def consultation_parts(consultations: DataFrame) -> DataFrame:
     runs = consultations.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     opening = F.concat(F.lit("Synthesize "), F.col("n").cast("string"), F.lit(" code review consultations by: "))
     glue = F.when(F.col("pos") == 0, "").otherwise(", ")
-    names_block = F.floor(F.col("pos") / NAMES_PER_BLOCK)
-    texts_block = F.floor(F.col("pos") / TEXTS_PER_BLOCK)
+    names_block = F.expr(f"pos div {NAMES_PER_BLOCK}")
+    texts_block = F.expr(f"pos div {TEXTS_PER_BLOCK}")
     frame = F.concat(
         F.lit("=== CONSULTATION FROM: "), "model", F.lit(" ===\n\n"),
         "text",

@@ -119,7 +119,7 @@ def report(
     comparisons = done.where("status = 'complete'").select(
         "run_id", "model", F.col("raw_response").alias("comparison")
     )
-    sinks.write_table(comparisons, f"{out}/comparisons", "append")
+    sinks.write_comparisons(comparisons, f"{out}/comparisons")
     return comparisons
 
 

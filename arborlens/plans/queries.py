@@ -13,7 +13,8 @@ from arborlens.operators import (
 )
 from arborlens.operators import manifest as mf
 from arborlens.plans import views
-from arborlens.session import configure, hand_over
+from arborlens.session import configure, hand_over, scratch_path
+from arborlens.sources import sinks, tables
 
 # Small enough that a project fills several blocks at every scale of the test data.
 BLOCK_CHARS = 50_000
@@ -123,8 +124,10 @@ def manifest_summary(data):
 def manifest_roundtrip(data):
     from arborlens import schemas
 
-    written = hand_over(classify.scan_files(data.files), "manifest")
-    return schemas.validated(written, schemas.MANIFEST_FILES)
+    scanned = classify.scan_files(data.files)
+    path = scratch_path(scanned.sparkSession, "manifest")
+    sinks.write_table(scanned, path)
+    return tables.read_table(scanned.sparkSession, path, schemas.MANIFEST_FILES)
 
 
 # Clean

@@ -66,8 +66,9 @@ FROM events
 """
 
 GENERATION_STATS = """
-SELECT concat('gen-', CAST(event_id AS STRING)) AS generation_id, value / 1000 AS cost
-FROM events WHERE event_type <> 'error'
+SELECT concat(CASE WHEN event_type = 'error' THEN 'lost-' ELSE 'gen-' END, CAST(event_id AS STRING)) AS generation_id,
+       value / 1000 AS cost
+FROM events
 """
 
 MODEL_CATALOG = """

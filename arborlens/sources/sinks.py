@@ -45,5 +45,6 @@ def write_responses(responses: DataFrame, path: str) -> None:
 
 
 def write_comparisons(comparisons: DataFrame, path: str) -> None:
-    """Comparison texts, one row per run; runs are appended."""
-    write_table(comparisons, path, "append")
+    """Comparison texts by run; those of a run that was compared before are replaced."""
+    rows = comparisons.hint("rebalance", "run_id").write.mode("overwrite")
+    rows.option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

@@ -51,13 +51,17 @@ class Gate:
     def enters(self, folder: str) -> bool:
         if not self.rules:
             return True
-        probe = f"{folder}/x".lstrip("./")
+        probe = f"{folder}/x".lstrip("./").replace("\\", "/")
         return os.path.basename(folder) not in self.pruned and not self.excluded.search(probe)
 
     def reads(self, path: str) -> bool:
         if not self.rules:
             return True
-        suffix = os.path.splitext(os.path.basename(path))[1].lower()
+        path = path.replace("\\", "/")
+        name = os.path.basename(path)
+        # As the column does: the last dot counts unless it is first or last.
+        at = name.rfind(".")
+        suffix = name[at:].lower() if 0 < at < len(name) - 1 else ""
         return suffix not in fixed.BINARY_SUFFIXES and not self.excluded.search(path)
 
 

@@ -83,3 +83,20 @@ def test_outcomes(spark, calls_per_task):
     assert (broken.status, broken.finish_reason, broken.error, broken.raw_response) == ("failed", "error", "boom", "")
     assert {rows["long", m].status for m in ("ok", "slow")} == {"failed"}
     assert "999 characters" in rows["long", "ok"].error
+
+
+def test_a_call_past_its_limit_is_given_up():
+    import time
+
+    def slow(request):
+        time.sleep(5)
+        return {"content": "late"}
+
+    started = time.monotonic()
+    row = fanout._outcome(slow, {"payload": "x", "payload_chars": 1}, 0.2)
+    assert (row["status"], row["finish_reason"]) == ("timeout", "timeout") and time.monotonic() - started < 3
+
+
+def test_an_empty_prompt_file(spark, tmp_path):
+    (tmp_path / "prompt.txt").write_text("")
+    assert fanout.load_prompt(spark, str(tmp_path / "prompt.txt")) == ""
