@@ -5,8 +5,7 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from itertools import chain
+from itertools import chain, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,8 +21,7 @@ You see the whole project once. Point to real files, functions and patterns. Say
 what is fragile and what you would change first, at the level of detail each finding deserves.
 """
 
-# A request longer than this is refused without being put together: no model reads that much.
-MAX_PAYLOAD_CHARS = 16_000_000
+PAYLOAD = ["project", "section", "block", "text"]
 
 
 def parse_models(models: Column) -> Column:
@@ -41,20 +39,22 @@ def load_prompt(spark, path: str | None = None) -> str:
     return found["value"].replace("\r\n", "\n").replace("\r", "\n") if found else ""
 
 
-def build_payload(prompt: Column, flat: Column) -> Column:
-    return F.concat(prompt, F.lit("\n\n"), flat)
+def build_payloads(blocks: DataFrame, prompt: str) -> DataFrame:
+    """Payloads as blocks ``(project, section, block, text)``, the prompt before those of the flat text.
 
-
-def build_payloads(texts: DataFrame, prompt: str) -> DataFrame:
-    """``texts(project, chars, text)`` to ``(project, payload_chars, payload)``.
-
-    The payload is NULL where the text is, that is, where it is too long for one request.
+    No row and no group holds a whole payload, so there is no limit to its length.
     """
-    return texts.select(
+    first = blocks.select("project").distinct().select(
         "project",
-        (F.col("chars") + len(prompt) + 2).alias("payload_chars"),
-        build_payload(F.lit(prompt), F.col("text")).alias("payload"),
+        F.lit(-1).alias("section"),
+        F.lit(0).cast("bigint").alias("block"),
+        F.lit(f"{prompt}\n\n").alias("text"),
     )
+    return first.unionByName(blocks.select(*PAYLOAD))
+
+
+def payload_sizes(payloads: DataFrame) -> DataFrame:
+    return payloads.groupBy("project").agg(F.sum(F.length("text")).alias("payload_chars"))
 
 
 def fan_out(
@@ -117,17 +117,40 @@ def _within(timeout: float, client: Client, request: dict) -> dict:
     return done["answer"]
 
 
-def _outcome(client: Client, request: dict, timeout: int) -> dict:
+class _Blocks:
+    """Text blocks of one request, in order. They end early once the call is given up.
+
+    A call that was given up may still hold them; the lock keeps it from reading what the next
+    request is about to read.
+    """
+
+    def __init__(self, texts: Iterator[str]):
+        self._texts, self._lock, self._open = texts, threading.Lock(), True
+
+    def __iter__(self) -> _Blocks:
+        return self
+
+    def __next__(self) -> str:
+        with self._lock:
+            if not self._open:
+                raise StopIteration
+            return next(self._texts)
+
+    def close(self) -> None:
+        with self._lock:
+            self._open = False
+
+
+def _outcome(client: Client, request: dict, texts: Iterator[str], timeout: float) -> dict:
     """Call the client for one request; whatever happens becomes a row."""
     started = time.monotonic()
     row = dict(
         status="complete", tokens_prompt=0, tokens_completion=0, cost_usd=0.0,
         generation_id="", raw_response="", error=None,
     )
+    blocks = _Blocks(texts)
     try:
-        if request["payload"] is None:
-            raise ValueError(f"payload of {request['payload_chars']} characters is too long for one request")
-        answer = _within(timeout, client, {**request, "timeout": timeout})
+        answer = _within(timeout, client, {**request, "payload": blocks, "timeout": timeout})
         row.update(
             raw_response=answer.get("content") or "",
             finish_reason=answer.get("finish_reason") or "unknown",
@@ -139,37 +162,54 @@ def _outcome(client: Client, request: dict, timeout: int) -> dict:
         row.update(status="timeout", finish_reason="timeout", error=f"Timed out after {timeout}s")
     except Exception as problem:  # a failed call is a result, not a failed task
         row.update(status="failed", finish_reason="error", error=str(problem))
+    finally:
+        blocks.close()
     row["latency_ms"] = int((time.monotonic() - started) * 1000)
     return row
 
 
 def dispatch(
     requests: DataFrame,
+    payloads: DataFrame,
     make_client: Callable[[], Client],
     timeout: int = 600,
-    max_concurrent: int = 5,
-    calls_per_task: int = 1,
+    max_concurrent: int | None = None,
 ) -> DataFrame:
-    """Send ``requests`` (with ``payload`` and ``payload_chars``) and return one response row each.
+    """Send ``requests(project, pos, ...)`` and return one response row each.
+
+    ``payloads`` are those of ``build_payloads``. ``make_client`` runs in the task; the client takes
+    a dict and returns a dict with ``content``, ``finish_reason``, ``id``, ``prompt_tokens`` and
+    ``completion_tokens``, or raises. The ``payload`` of a request is an iterator of text blocks to
+    stream or join. A call that takes longer than ``timeout`` is given up and becomes a ``timeout``
+    row. At most ``max_concurrent`` calls run at once, as many as the cluster has cores by default.
+    A retried task calls again, so write the result once, before anything reads it twice.
 
-    ``make_client`` runs in the task; the client takes a dict and returns a dict with ``content``,
-    ``finish_reason``, ``id``, ``prompt_tokens`` and ``completion_tokens``, or raises. It gets the
-    ``timeout``; a call that takes longer is given up and becomes a ``timeout`` row. At most ``max_concurrent`` calls run at
-    once. A retried task calls again, so write the result once, before anything reads it twice.
+    A text is shuffled to its project once. It is spread over the models inside the task, where the
+    sort, which can spill, lays the blocks of each request side by side.
     """
-    kept = [f for f in requests.schema.fields if f.name != "payload"]
-    columns = [f.name for f in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + _OUTCOME
+    columns = requests.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", " + _OUTCOME
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
-        with ThreadPoolExecutor(calls_per_task) as pool:
-            for batch in batches:
-                rows = batch.to_dict("records")
-                done = pool.map(lambda r: _outcome(client, r, timeout), rows)
-                yield pd.DataFrame([{c: r[c] for c in columns} | o for r, o in zip(rows, done)])
-
-    tasks = max(1, max_concurrent // calls_per_task)
-    sent = requests.repartition(tasks).mapInPandas(call, schema)
-    asked = F.col("json_mode") & (F.col("status") == "complete")
-    return parse_reports(sent, F.when(asked, F.col("raw_response")))
+        rows = (row for batch in batches for row in batch.to_dict("records"))
+        for _, group in groupby(rows, lambda r: (r["project"], r["_n"])):
+            first = next(group)
+            request = {c: first[c] for c in columns}
+            texts = (r["_text"] for r in chain([first], group) if r["_text"] is not None)
+            yield pd.DataFrame([request | _outcome(client, request, texts, timeout)])
+
+    # The requests of a project are as many as the models of a job.
+    asked = requests.groupBy("project").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_requests"))
+    blocks = payloads.select("project", "section", "block", F.col("text").alias("_text"))
+    tasks = max_concurrent or requests.sparkSession.sparkContext.defaultParallelism
+    sent = (
+        asked.join(blocks, "project", "left")
+        .repartition(tasks, "project")
+        .select("section", "block", "_text", F.posexplode("_requests").alias("_n", "_request"))
+        .sortWithinPartitions("_request.project", "_n", "section", "block")
+        .select("_n", "_text", "_request.*")
+        .mapInPandas(call, schema)
+    )
+    wanted = F.col("json_mode") & (F.col("status") == "complete")
+    return parse_reports(sent, F.when(wanted, F.col("raw_response")))

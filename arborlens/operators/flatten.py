@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlens.functions import fixed, paths, text, tokens
+from arborlens.operators import classify
 from arborlens.operators import manifest as mf
 from arborlens.operators.ordering import assemble
 from arborlens.operators.sequence import UNKNOWN_CHARS
@@ -191,7 +192,8 @@ def flat_docs(
     block_chars: int = SnapshotOptions.block_chars,
     token_counter: tokens.TokenCounter = tokens.estimate,
 ) -> DataFrame:
-    """Documentation section. The texts are taken as they are. ``docs`` is an order."""
+    """Documentation section. The texts are taken as they are. ``docs`` is an order of
+    files that documentation patterns find."""
     shown = projects.where("include_docs").join(docs.select("project").distinct(), "project", "left_semi")
     title = F.when(F.col("trust_level") == "unverified", "\n".join(fixed.DOCS_TITLE_UNVERIFIED))
     placed = _placed(docs.join(shown.select("project"), "project", "left_semi"), block_chars)
@@ -201,7 +203,9 @@ def flat_docs(
         F.lit(" [tokens: ~"), text.thousands(token_counter(content)),
         F.lit(", chars: "), text.thousands(F.length(content)), F.lit("] ---"),
     )
-    body = placed.join(files, ["project", "path"]).select(
+    # Documentation is a small part of the files, so other texts are not shuffled to be matched.
+    texts = files.where(classify.doc_rank(F.col("path")).isNotNull())
+    body = placed.join(texts, ["project", "path"]).select(
         "project",
         F.lit(DOCS).alias("section"),
         "block",
@@ -270,16 +274,3 @@ def flat_parts(
 def flat_blocks(parts: DataFrame) -> DataFrame:
     """Blocks of the flat text: ``(project, section, block, text)``."""
     return assemble(parts, ["project", "section", "block"])
-
-
-def flat_texts(blocks: DataFrame, max_chars: int) -> DataFrame:
-    """Whole texts ``(project, chars, text)``; NULL where a project is longer than ``max_chars``.
-
-    Blocks of longer projects never meet in one group.
-    """
-    sizes = blocks.groupBy("project").agg(F.sum(F.length("text")).alias("chars"))
-    short = blocks.join(sizes.where(F.col("chars") <= max_chars), "project")
-    texts = short.groupBy("project").agg(
-        F.expr("listagg(text, '') WITHIN GROUP (ORDER BY struct(section, block))").alias("text")
-    )
-    return sizes.join(texts, "project", "left")

@@ -66,30 +66,32 @@ def fire(
     out: str,
     scanned: str | None = None,
     prompt: str = fanout.DEFAULT_PROMPT,
-    max_payload_chars: int = fanout.MAX_PAYLOAD_CHARS,
     timeout: int = 600,
-    max_concurrent: int = 5,
+    max_concurrent: int | None = None,
     **request: object,
 ) -> DataFrame:
-    """Send every flat text to every model, write ``payloads``, ``responses`` and ``run_meta``.
+    """Send every flat text to every model.
 
-    The run of a project is ``<run_id>/<project>``. ``scanned`` adds the totals of the scan.
+    Writes ``payloads``, ``responses``, the same as ``documents`` (JSON and text), ``run_meta`` and
+    ``run_models``. The run of a project is ``<run_id>/<project>``. ``scanned`` adds the totals of the scan.
     """
     spark = blocks.sparkSession
-    texts = flatten.flat_texts(blocks, max_payload_chars)
-    sinks.write_table(fanout.build_payloads(texts, prompt), f"{out}/payloads")
+    started = now().isoformat()
+    sinks.write_table(fanout.build_payloads(blocks, prompt), f"{out}/payloads")
     payloads = spark.read.parquet(f"{out}/payloads")
-    requests = fanout.fan_out(payloads, models, **request).withColumn(
+    requests = fanout.fan_out(fanout.payload_sizes(payloads), models, **request).withColumn(
         "run_id", F.concat(F.lit(f"{run_id}/"), "project")
     )
-    answers = fanout.dispatch(requests, make_client, timeout, max_concurrent)
+    answers = fanout.dispatch(requests, payloads, make_client, timeout, max_concurrent)
     sinks.write_table(answers, f"{out}/responses")
     responses = spark.read.parquet(f"{out}/responses")
+    sinks.write_responses(responses, f"{out}/documents", "overwrite")
+    sinks.write_table(runs.run_models(responses), f"{out}/run_models")
     meta = runs.run_meta(responses)
     if scanned:
         totals = mf.scan_totals(spark.read.parquet(f"{scanned}/manifest"))
         meta = runs.with_totals(meta, responses, totals, spark.read.parquet(f"{scanned}/projects"))
-    sinks.write_table(meta.withColumn("prompt", F.lit(prompt)), f"{out}/run_meta")
+    sinks.write_table(meta.withColumns({"prompt": F.lit(prompt), "started": F.lit(started)}), f"{out}/run_meta")
     return responses
 
 
@@ -98,7 +100,6 @@ def report(
     model: str,
     make_client: Callable[[], fanout.Client],
     out: str,
-    max_payload_chars: int = fanout.MAX_PAYLOAD_CHARS,
     gate: bool = True,
 ) -> DataFrame:
     """Ask one model to compare the texts of each run, and write the completed ``comparisons``.
@@ -109,13 +110,13 @@ def report(
         ready = runs.compare_gate(responses).where("action = 'compare'").select("run_id")
         responses = responses.join(ready, "run_id", "left_semi")
     bundle = reports.consultation_bundle(reports.load_consultations(responses))
-    texts = flatten.flat_texts(bundle.withColumnRenamed("run_id", "project"), max_payload_chars)
-    payloads = texts.select(
-        F.col("project").alias("run_id"), F.col("chars").alias("payload_chars"), F.col("text").alias("payload")
-    )
-    requests = fanout.fan_out(payloads, [model], max_tokens=128000)
-    sinks.write_table(fanout.dispatch(requests, make_client), f"{out}/syntheses")
-    done = responses.sparkSession.read.parquet(f"{out}/syntheses")
+    spark = responses.sparkSession
+    sinks.write_table(bundle.withColumnRenamed("run_id", "project"), f"{out}/bundles")
+    payloads = spark.read.parquet(f"{out}/bundles")
+    requests = fanout.fan_out(fanout.payload_sizes(payloads), [model], max_tokens=128000)
+    requests = requests.withColumn("run_id", F.col("project"))
+    sinks.write_table(fanout.dispatch(requests, payloads, make_client), f"{out}/syntheses")
+    done = spark.read.parquet(f"{out}/syntheses")
     comparisons = done.where("status = 'complete'").select(
         "run_id", "model", F.col("raw_response").alias("comparison")
     )
@@ -123,6 +124,11 @@ def report(
     return comparisons
 
 
+def report_latest(responses: DataFrame, model: str, make_client: Callable[[], fanout.Client], out: str) -> DataFrame:
+    """``report`` on the latest run of each project among stored ``responses`` of many runs."""
+    return report(runs.rows_of_latest_run(responses), model, make_client, out)
+
+
 def analyze(
     files: DataFrame,
     models: Sequence[str],

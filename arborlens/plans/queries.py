@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -327,19 +328,33 @@ def model_list(data):
 
 def payloads(data: views.Inputs) -> DataFrame:
     blocks = hand_over(flatten.flat_blocks(Snapshot(data).parts()), "blocks")
-    texts = flatten.flat_texts(blocks, fanout.MAX_PAYLOAD_CHARS)
-    return fanout.build_payloads(texts, PROMPT)
+    return fanout.build_payloads(blocks, PROMPT)
+
+
+def digest_client() -> fanout.Client:
+    """Answers with what it was sent: length and MD5 of the streamed payload."""
+
+    def answer(request: dict) -> dict:
+        seen, chars = hashlib.md5(), 0
+        for block in request["payload"]:
+            seen.update(block.encode())
+            chars += len(block)
+        return {"content": seen.hexdigest(), "prompt_tokens": chars}
+
+    return answer
 
 
 @query
 def payload_build(data):
-    return payloads(data).select("project", "payload_chars", F.md5("payload").alias("md5"))
+    sent = payloads(data)
+    requests = fanout.fan_out(fanout.payload_sizes(sent), ["local"])
+    answers = fanout.dispatch(requests, sent, digest_client)
+    return answers.select("project", F.col("tokens_prompt").alias("payload_chars"), F.col("raw_response").alias("md5"))
 
 
 @query
 def request_fanout(data):
-    projects = payloads(data).select("project", "payload_chars")
-    requests = fanout.fan_out(projects, MODELS, max_tokens=128000, response_format="json")
+    requests = fanout.fan_out(fanout.payload_sizes(payloads(data)), MODELS, max_tokens=128000, response_format="json")
     return requests.select(
         "project", "payload_chars", "model", "provider",
         F.col("max_tokens").cast("bigint").alias("max_tokens"), "effort", "json_mode",
@@ -358,7 +373,7 @@ def scripted_client() -> fanout.Client:
     """Answers from the request alone: one provider is slow, one fails, the others report."""
 
     def answer(request: dict) -> dict:
-        size = len(request["payload"])
+        size = sum(map(len, request["payload"]))
         if request["provider"] == "mistral":
             raise TimeoutError
         if request["provider"] == "unknown":
@@ -376,8 +391,9 @@ def scripted_client() -> fanout.Client:
 
 @query
 def batch_infer(data):
-    requests = fanout.fan_out(payloads(data), MODELS, response_format="json")
-    answers = fanout.dispatch(requests, scripted_client, timeout=600, max_concurrent=8)
+    sent = payloads(data)
+    requests = fanout.fan_out(fanout.payload_sizes(sent), MODELS, response_format="json")
+    answers = fanout.dispatch(requests, sent, scripted_client, timeout=600)
     return answers.select(
         "project", "model", "status", "tokens_prompt", "tokens_completion", "finish_reason",
         "generation_id", "error", F.col("report.consultation").alias("consultation"),

@@ -38,10 +38,10 @@ def write_flat_text(blocks: DataFrame, path: str) -> None:
     )
 
 
-def write_responses(responses: DataFrame, path: str) -> None:
+def write_responses(responses: DataFrame, path: str, mode: str = "append") -> None:
     """Responses of every status, by run: key, JSON document and text side by side."""
     rows = runs.response_json(responses, keep=("raw_response",))
-    write_table(rows, path, "append", ("run_id",))
+    write_table(rows, path, mode, ("run_id",))
 
 
 def write_comparisons(comparisons: DataFrame, path: str) -> None:

@@ -1,3 +1,4 @@
+import hashlib
 import sys
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from arborlens.functions import paths
 from arborlens.operators import fanout
 
+BLOCKS = "project string, section int, block bigint, text string"
+
 
 def test_model_names(column_values):
     cases = {" a/b, ,c,c ": ["a/b", "c", "c"], "": [], "\t x \n": ["x"], "a": ["a"]}
@@ -37,9 +40,11 @@ def test_prompt_and_payload(spark, tmp_path):
     assert fanout.load_prompt(spark, str(tmp_path / "prompt.md")) == "Look.\nNow."
     with pytest.raises(Exception):
         fanout.load_prompt(spark, str(tmp_path / "none.md"))
-    texts = spark.createDataFrame([("p", 4, "flat"), ("q", 99, None)], "project string, chars bigint, text string")
-    rows = {r.project: (r.payload_chars, r.payload) for r in fanout.build_payloads(texts, "Look.").collect()}
-    assert rows == {"p": (11, "Look.\n\nflat"), "q": (106, None)}
+    blocks = spark.createDataFrame([("p", 0, 0, "fl"), ("p", 4, 0, "at"), ("q", 0, 0, "")], BLOCKS)
+    payloads = fanout.build_payloads(blocks, "Look.")
+    rows = payloads.where("project = 'p'").orderBy("section", "block").collect()
+    assert [r.text for r in rows] == ["Look.\n\n", "fl", "at"]
+    assert {r.project: r.payload_chars for r in fanout.payload_sizes(payloads).collect()} == {"p": 11, "q": 7}
 
 
 # The client below travels to the tasks with the job.
@@ -55,19 +60,27 @@ def client():
             raise RuntimeError("boom")
         if kind == "bare":
             return {"content": None}
+        if kind == "digest":
+            seen = hashlib.md5()
+            for block in request["payload"]:
+                seen.update(block.encode())
+            return {"content": seen.hexdigest()}
+        if kind == "half":
+            return {"content": next(request["payload"])}
         return {
-            "content": '{"consultation": "ok"}' if kind == "json" else request["payload"].upper(),
+            "content": '{"consultation": "ok"}' if kind == "json" else "".join(request["payload"]).upper(),
             "finish_reason": "stop", "id": "g1", "prompt_tokens": request["max_tokens"], "completion_tokens": request["timeout"],
         }
 
     return answer
 
 
-@pytest.mark.parametrize("calls_per_task", [1, 4])
-def test_outcomes(spark, calls_per_task):
-    texts = spark.createDataFrame([("p", 3, "abc"), ("long", 999, None)], "project string, payload_chars bigint, payload string")
-    requests = fanout.fan_out(texts, ["ok", "json", "bare", "slow", "broken"], 7, response_format="json")
-    answers = fanout.dispatch(requests, client, timeout=9, max_concurrent=4, calls_per_task=calls_per_task)
+@pytest.mark.parametrize("max_concurrent", [1, 4, None])
+def test_outcomes(spark, max_concurrent):
+    payloads = spark.createDataFrame([("p", 4, 10, "c"), ("p", 0, 0, "a"), ("p", 4, 9, "b")], BLOCKS)
+    projects = spark.createDataFrame([("p", 3), ("none", 0)], "project string, payload_chars bigint")
+    requests = fanout.fan_out(projects, ["ok", "json", "bare", "slow", "broken"], 7, response_format="json")
+    answers = fanout.dispatch(requests, payloads, client, timeout=9, max_concurrent=max_concurrent)
     assert "payload" not in answers.columns
     rows = {(r.project, r.model): r for r in answers.collect()}
     assert len(rows) == 10
@@ -81,20 +94,39 @@ def test_outcomes(spark, calls_per_task):
     slow, broken = rows["p", "slow"], rows["p", "broken"]
     assert (slow.status, slow.finish_reason, slow.error) == ("timeout", "timeout", "Timed out after 9s")
     assert (broken.status, broken.finish_reason, broken.error, broken.raw_response) == ("failed", "error", "boom", "")
-    assert {rows["long", m].status for m in ("ok", "slow")} == {"failed"}
-    assert "999 characters" in rows["long", "ok"].error
+    # A request without any block is sent as it is.
+    assert (rows["none", "ok"].status, rows["none", "ok"].raw_response) == ("complete", "")
+
+
+def test_a_payload_of_any_length_is_streamed(spark):
+    """Seventeen million characters, read whole, in part and twice by a repeated model."""
+    blocks = spark.range(17).selectExpr(
+        "'p' AS project", "4 AS section", "id AS block", "repeat(chr(97 + cast(id AS int)), 1000000) AS text"
+    )
+    sizes = fanout.payload_sizes(blocks)
+    assert sizes.first().payload_chars == 17_000_000
+    models = ["half", "digest", "bare", "digest"]
+    rows = fanout.dispatch(fanout.fan_out(sizes, models), blocks, client, max_concurrent=1).collect()
+    whole = hashlib.md5("".join(chr(97 + n) * 1_000_000 for n in range(17)).encode()).hexdigest()
+    by_pos = {r.pos: r for r in rows}
+    assert {r.status for r in rows} == {"complete"} and sorted(by_pos) == [0, 1, 2, 3]
+    assert by_pos[1].raw_response == by_pos[3].raw_response == whole
+    assert by_pos[0].raw_response == "a" * 1_000_000
 
 
 def test_a_call_past_its_limit_is_given_up():
     import time
 
     def slow(request):
-        time.sleep(5)
+        time.sleep(1)
+        late.extend(request["payload"])
         return {"content": "late"}
 
-    started = time.monotonic()
-    row = fanout._outcome(slow, {"payload": "x", "payload_chars": 1}, 0.2)
-    assert (row["status"], row["finish_reason"]) == ("timeout", "timeout") and time.monotonic() - started < 3
+    late, started = [], time.monotonic()
+    row = fanout._outcome(slow, {}, iter("x"), 0.2)
+    assert (row["status"], row["finish_reason"]) == ("timeout", "timeout") and time.monotonic() - started < 0.9
+    time.sleep(1.2)
+    assert late == []  # it reads nothing that belongs to the next request
 
 
 def test_an_empty_prompt_file(spark, tmp_path):

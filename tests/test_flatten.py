@@ -116,15 +116,6 @@ def test_text_files_round_trip(spark, tmp_path):
     assert "".join(open(n, encoding="utf-8", newline="").read() for n in names) == expected(ORDER, DOCS)
 
 
-def test_long_projects_are_not_put_together(spark):
-    blocks = spark.createDataFrame(
-        [("a", 0, 0, "x" * 10), ("a", 4, 1, "y"), ("b", 0, 0, "z" * 30), ("b", 4, 0, "z")],
-        "project string, section int, block bigint, text string",
-    )
-    rows = {r.project: (r.chars, r.text) for r in flatten.flat_texts(blocks, 30).collect()}
-    assert rows == {"a": (11, "x" * 10 + "y"), "b": (31, None)}
-
-
 def test_tree_of_a_project_without_files(spark):
     projects = spark.createDataFrame(
         [("p", "r", True, "none", True, "trusted", True, fixed.SEPARATOR)], schemas.PROJECTS
