@@ -9,6 +9,7 @@ as one literal. Tree globs come from a table and are translated where they are.
 from __future__ import annotations
 
 import re
+from itertools import takewhile
 
 NEVER = r"[^\s\S]"
 
@@ -47,9 +48,12 @@ def _bracket(body: str) -> str:
     return f"[{'^' if negated else ''}{''.join(members)}]"
 
 
+_TOKEN = r"\*+|\?|\[!?\]?[^\]]*\]|[^*?\[]+|\["
+
+
 def _wildcards(pattern: str, star: str, one: str) -> str:
     out = []
-    for token in re.findall(r"\*+|\?|\[!?\]?[^\]]*\]|[^*?\[]+|\[", pattern):
+    for token in re.findall(_TOKEN, pattern):
         if token[0] == "*":
             out.append(star)
         elif token == "?":
@@ -77,6 +81,25 @@ def tree_regex(pattern: str) -> str:
     return r"\A" + body + _wildcards(segments[-1], "[^/]*", "[^/]") + r"\z"
 
 
+def tree_shape(pattern: str) -> tuple[int, int, str, str]:
+    """What all matches of a tree glob share: depth and length (-1 where they vary), literal head and tail."""
+    segments = [s for s in pattern.split("/") if s not in ("", ".")]
+    tokens: list[str] = []
+    for n, segment in enumerate(segments):
+        # The slash after ``**`` belongs to the folders it stands for.
+        ends = [] if segment == "**" or n == len(segments) - 1 else ["/"]
+        tokens += re.findall(_TOKEN, segment) + ends
+
+    def literal(token: str) -> bool:
+        return token[0] not in "*?" and (token[0] != "[" or len(token) == 1)
+
+    depth = -1 if "**" in segments else len(segments) - 1
+    length = -1 if any(t[0] == "*" for t in tokens) else sum(len(t) if literal(t) else 1 for t in tokens)
+    head = "".join(takewhile(literal, tokens))
+    tail = "".join(reversed(list(takewhile(literal, reversed(tokens)))))
+    return depth, length, head, tail
+
+
 def folder_name(pattern: str) -> str | None:
     """``name`` for a pattern of the form ``**/name/**``."""
     found = re.fullmatch(r"\*\*/([^/*]*)/\*\*", pattern, re.DOTALL)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from arborlens.functions import globs, paths
 from arborlens.operators.ordering import number_rows
@@ -55,41 +55,50 @@ def is_glob(path: Column) -> Column:
     return path.rlike(r"[*?\[]")
 
 
-@F.pandas_udf(StringType())
-def _tree_regex(patterns: pd.Series) -> pd.Series:
-    return patterns.map(globs.tree_regex)
+_SHAPE = (
+    StructType()
+    .add("_depth", IntegerType())
+    .add("_length", IntegerType())
+    .add("_head", StringType())
+    .add("_tail", StringType())
+    .add("_regex", StringType())
+)
+
+
+@F.pandas_udf(_SHAPE)
+def _shape(patterns: pd.Series) -> pd.DataFrame:
+    rows = [(*globs.tree_shape(p), globs.tree_regex(p)) for p in patterns]
+    return pd.DataFrame(rows, columns=_SHAPE.names)
 
 
 def glob_files(leaves: DataFrame, files: DataFrame) -> DataFrame:
-    """Files of glob leaves, joined on the folder before the first wildcard and the depth.
+    """Files of glob leaves, joined on depth, length and the literal head and tail of the glob.
 
-    A glob names its fixed folder and, unless it holds ``**``, its depth, so every file meets only
-    the globs that start in one of its own folders. The test of the glob follows the equi-join.
+    The matches of a glob agree in the text before its first and after its last wildcard, without
+    ``**`` in depth, and without ``*`` in length. A project has few combinations of such sizes, so a
+    file is offered once for each that fits it, its own head and tail cut to size. A bracket in a
+    file name, where one character is wild, thus meets only the names that differ in that one. The
+    test of the glob follows the equi-join.
     """
     path = F.col("path")
-    fixed_part = F.regexp_extract(path, r"\A([^*?\[]*)/", 1)
-    patterns = leaves.where(is_glob(path)).withColumns(
-        {
-            "_folder": fixed_part,
-            "_depth": F.when(path.contains("**"), -1).otherwise(paths.depth(path)),
-            "_regex": _tree_regex(path),
-        }
+    size = ["project", "_depth", "_length", "_head_chars", "_tail_chars"]
+    patterns = (
+        leaves.where(is_glob(path))
+        .select("project", "major", "minor", "by_path", path.alias("_glob"), _shape(path).alias("_s"))
+        .select("*", "_s.*")
+        .drop("_s")
+        .withColumns({"_head_chars": F.length("_head"), "_tail_chars": F.length("_tail")})
     )
-    patterns = patterns.withColumnRenamed("path", "_glob")
-    # A file offers itself under every folder above it, with and without its depth.
-    wanted = patterns.select("project").distinct()
+    known = [(paths.depth(path), F.length(path)), (paths.depth(path), F.lit(-1)), (F.lit(-1), F.lit(-1))]
+    fits = F.array(*[F.struct(d.alias("_depth"), n.alias("_length")) for d, n in known])
     offers = (
         files.select("project", "path")
-        .join(wanted, "project", "left_semi")
-        .select(
-            "project",
-            "path",
-            F.explode(paths.folders(path)).alias("_folder"),
-            F.array(F.lit(-1), paths.depth(path)).alias("_depths"),
-        )
-        .select("project", "path", "_folder", F.explode("_depths").alias("_depth"))
+        .join(patterns.select("project").distinct(), "project", "left_semi")
+        .select("project", "path", F.inline(fits))
+        .join(patterns.select(*size).distinct(), ["project", "_depth", "_length"])
+        .withColumns({"_head": F.left("path", "_head_chars"), "_tail": F.right("path", "_tail_chars")})
     )
-    matched = offers.join(patterns, ["project", "_folder", "_depth"]).where(F.expr("path RLIKE _regex"))
+    matched = offers.join(patterns, [*size, "_head", "_tail"]).where(F.expr("path RLIKE _regex"))
     return matched.select(*LEAF, "_glob")
 
 

@@ -1,4 +1,9 @@
+import random
+
+from pyspark.sql import functions as F
+
 from arborlens import schemas
+from arborlens.functions import globs
 from arborlens.operators import sequence
 
 
@@ -41,3 +46,27 @@ def test_globs_sort_by_parts_unless_alphabetical(spark):
     assert resolve(spark, [("1", None, 0, "*.py", None, None), ("2", None, 1, "*/*/?.py", None, None)], paths) == [
         "t.py", "s/a/x.py", "s/a-b/q.py",
     ]
+
+
+def test_names_with_brackets_do_not_stop_the_job(spark):
+    names = ["pages/[post-id].ts", "pages/p.ts", "pages/pp.ts", "pages/[!a].ts", "pages/[]a]].ts", "pages/].ts", "pages/a].ts"]
+    nodes = [(str(n), None, n, name, None, None) for n, name in enumerate(names)]
+    # The range t-i is empty; [!a] takes p and ], []a] takes both of its members.
+    assert resolve(spark, nodes, names) == ["pages/p.ts", "pages/pp.ts", "pages/].ts", "pages/a].ts"]
+
+
+def test_globs_against_every_pair(spark):
+    rng = random.Random(5)
+    words = ["a", "b", "ab", "a.py", "b.py", "x[", "é.py"]
+    files = sorted({"/".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(150)})
+    parts = [*words, "*", "?", "**", "*.py", "[ab]", "[!a]*", "[ab].py", "a*", "?b", "[b-a]"]
+    patterns = sorted({"/".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(200)})
+    rows = [("p", [n], "", False, g) for n, g in enumerate(patterns)]
+    leaves = spark.createDataFrame(rows, "project string, major array<bigint>, minor string, by_path boolean, path string")
+    found = sequence.glob_files(leaves, spark.createDataFrame([("p", f) for f in files], "project string, path string"))
+    got = sorted((r._glob, r.path) for r in found.collect())
+    wild = [g for g in patterns if set(g) & set("*?[")]
+    tests = spark.createDataFrame([(g, globs.tree_regex(g), f) for g in wild for f in files], "g string, x string, f string")
+    assert got == sorted((r.g, r.f) for r in tests.where(F.expr("f RLIKE x")).collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_head" in plan and "_tail" in plan and "_length" in plan
