@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlens.functions import paths, text
 from arborlens.operators.ordering import assemble, number_rows
+from arborlens.session import hand_over
 
 # Items of an enumeration per block of text, so that a list of any length stays assemblable.
 ITEMS_PER_BLOCK = 50_000
@@ -21,19 +22,27 @@ def scan_totals(manifest: DataFrame) -> DataFrame:
 
 
 def language_stats(manifest: DataFrame) -> DataFrame:
-    """Files and tokens by language, ranked by tokens; the language met first in a walk wins ties."""
-    stats = (
-        manifest.where("lang IS NOT NULL")
-        .groupBy("project", "lang")
-        .agg(
-            F.count(F.lit(1)).alias("files"),
-            F.sum("tokens").alias("tokens"),
-            F.min(paths.walk_key(F.col("path"))).alias("_met"),
-        )
+    """Files and tokens by language, ranked by tokens; the language met first in a walk wins ties.
+
+    Sums need no sort. Walk order is looked up for languages of equal tokens only.
+    """
+    known = manifest.where("lang IS NOT NULL")
+    sums = hand_over(
+        known.groupBy("project", "lang").agg(F.count(F.lit(1)).alias("files"), F.sum("tokens").alias("tokens")),
+        "languages",
     )
     # One row per known language: a few dozen in a project.
+    equal = Window.partitionBy("project", "tokens")
+    tied = hand_over(sums.withColumn("_n", F.count(F.lit(1)).over(equal)).where("_n > 1").select("project", "lang"), "tied")
+    # The first row of each language is cut out before rows are shuffled.
+    in_walk = Window.partitionBy("project", "lang").orderBy("_met")
+    walks = known.join(tied, ["project", "lang"], "left_semi").select(
+        "project", "lang", paths.walk_key(F.col("path")).alias("_met")
+    )
+    first = walks.withColumn("_n", F.row_number().over(in_walk)).where("_n = 1").drop("_n")
     by_size = Window.partitionBy("project").orderBy(F.desc("tokens"), "_met")
-    return stats.withColumn("rank", F.row_number().over(by_size).cast("bigint")).drop("_met")
+    ranked = sums.join(first, ["project", "lang"], "left")
+    return ranked.withColumn("rank", F.row_number().over(by_size).cast("bigint")).drop("_met")
 
 
 def language_share(stats: DataFrame) -> DataFrame:
@@ -107,18 +116,15 @@ def manifest_summary(manifest: DataFrame) -> DataFrame:
 
     Section 0 holds sizes and languages, section 1 the list of entrypoints.
     """
-    by_language = manifest.groupBy("project", "lang").agg(
-        F.count(F.lit(1)).alias("files"),
-        F.sum("tokens").alias("tokens"),
-        F.count_if("is_entrypoint").alias("entries"),
-        F.min(paths.walk_key(F.col("path"))).alias("met"),
-    )
-    facts = by_language.groupBy("project").agg(
-        F.sum("files").alias("total_files"),
+    totals = manifest.groupBy("project").agg(
+        F.count(F.lit(1)).alias("total_files"),
         F.sum("tokens").alias("total_tokens"),
-        F.sum("entries").alias("n_entrypoints"),
-        F.expr("listagg(lang, ', ') WITHIN GROUP (ORDER BY IF(lang IS NULL, NULL, struct(-tokens, met)))").alias("names"),
+        F.count_if("is_entrypoint").alias("n_entrypoints"),
+    )
+    names = language_stats(manifest).groupBy("project").agg(
+        F.expr("listagg(lang, ', ') WITHIN GROUP (ORDER BY rank)").alias("names")
     )
+    facts = totals.join(names, "project", "left")
     lines = F.concat(
         F.lit("- Files: "), F.col("total_files").cast("string"),
         F.lit("\n- Tokens: ~"), text.thousands(F.col("total_tokens")),
