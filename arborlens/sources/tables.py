@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlens import schemas
 from arborlens.functions import paths, text
-from arborlens.sources.tree import TreeSource
+from arborlens.session import hand_over
+from arborlens.sources.tree import TreeReader, TreeSource
+
+
+#: Content that one task reads, about.
+TASK_BYTES = 128 * 1024 * 1024
 
 
 def read_tree(spark: SparkSession, root: str, **options: str) -> DataFrame:
-    """``source_files(project, path, content)`` of a tree, decoded to text."""
+    """``source_files(project, path, content)`` of a tree, decoded to text.
+
+    The tree is listed first. Its files are then dealt to tasks by a hash, as many as the listed sizes
+    ask for, so neither a project nor a folder is a task of its own. ``options`` are those of ``codetree``.
+    """
     spark.dataSource.register(TreeSource)
-    raw = spark.read.format("codetree").options(**options).load(root)
+    listing = spark.read.format("codetree").options(**options).option("content", "false").load(root)
+    listing = hand_over(listing, "listing")
+    total = listing.agg(F.sum("size")).first()[0] or 0
+    tasks = max(total // TASK_BYTES + 1, spark.sparkContext.defaultParallelism)
+    reader = TreeReader({**options, "path": root})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from reader.contents(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+
+    dealt = listing.select("project", "path").repartition(tasks, "project", "path")
+    raw = dealt.mapInArrow(read, "project string, path string, content binary")
     return raw.withColumn("content", text.decode(F.col("content")))
 
 

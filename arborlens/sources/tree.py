@@ -3,7 +3,9 @@
 ``spark.read.format("codetree").load(root)`` gives ``(project, path, content BINARY)``. The built-in
 file sources cannot be used: they leave out names that start with ``_`` or ``.``. Folders are listed
 on the driver only until there are enough of them to share out; the walk below them and all reading
-happen in tasks. A large flat folder is shared out by a hash of the names.
+happen in tasks. A large flat folder is shared out by a hash of the names. With ``content`` set to
+``false`` no file is opened and the rows are ``(project, path, size)``; ``tables.read_tree`` lists a
+tree this way and deals the files to its own tasks, so one large project is no large task.
 
 Options: ``projects`` (``true``: every folder under the root is a project, ``false``: the root is
 one), ``tasks``, ``extra_exclude`` (comma-separated globs), ``scan`` (``true``: leave out what a
@@ -25,7 +27,9 @@ from arborlens.operators.classify import ScanRules
 
 FLAT_FOLDER = 5_000
 BATCH_BYTES = 16 * 1024 * 1024
+BATCH_ROWS = 10_000
 SCHEMA = pa.schema([("project", pa.string()), ("path", pa.string()), ("content", pa.binary())])
+LISTING = pa.schema([("project", pa.string()), ("path", pa.string()), ("size", pa.int64())])
 
 
 class Piece(InputPartition):
@@ -86,11 +90,20 @@ def joined(folder: str, name: str) -> str:
     return f"{folder}/{name}" if folder else name
 
 
+def encodes(path: str) -> bool:
+    try:
+        path.encode()
+    except UnicodeError:
+        return False
+    return True
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
         self.many = options.get("projects", "false") == "true"
         self.tasks = int(options.get("tasks", "64"))
+        self.opens = options.get("content", "true") == "true"
         extra = tuple(g for g in options.get("extra_exclude", "").split(",") if g)
         self.rules = ScanRules(extra) if options.get("scan", "false") == "true" else None
 
@@ -116,18 +129,42 @@ class TreeReader(DataSourceReader):
         return pieces + open_pieces
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
-        """Arrow batches of about ``BATCH_BYTES`` of content."""
+        """Arrow batches of the files of a piece, with their content or their sizes."""
+        if self.opens:
+            yield from self.contents((piece.project, path) for path in self.paths(piece))
+            return
+        rows = []
+        for path in self.paths(piece):
+            try:
+                size = os.stat(os.path.join(self.base(piece.project), path)).st_size
+            except OSError:
+                continue
+            rows.append({"project": piece.project, "path": path, "size": size})
+            if len(rows) == BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, LISTING)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, LISTING)
+
+    def contents(self, files: Iterator[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+        """Arrow batches of about ``BATCH_BYTES`` of content; unreadable files do not exist for a scan."""
         rows, size = [], 0
-        for row in self.files(piece):
-            rows.append(row)
-            size += len(row["content"])
+        for project, path in files:
+            try:
+                with open(os.path.join(self.base(project), path), "rb") as handle:
+                    content = handle.read()
+            except OSError:
+                continue
+            rows.append({"project": project, "path": path, "content": content})
+            size += len(content)
             if size >= BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(rows, SCHEMA)
                 rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    def files(self, piece: Piece) -> Iterator[dict]:
+    def paths(self, piece: Piece) -> Iterator[str]:
+        """Paths that pass the filters; names that are not UTF-8 are left out."""
         root, gate, folders = self.base(piece.project), Gate(self.rules), [piece.folder]
         while folders:
             folder = folders.pop()
@@ -137,15 +174,8 @@ class TreeReader(DataSourceReader):
             for name in files:
                 path = joined(folder, name)
                 mine = piece.shares == 1 or zlib.crc32(os.fsencode(name)) % piece.shares == piece.share
-                if not mine or not gate.reads(path):
-                    continue
-                try:
-                    with open(os.path.join(root, path), "rb") as handle:
-                        content = handle.read()
-                    path.encode()
-                except (OSError, UnicodeError):
-                    continue  # unreadable files do not exist for a scan
-                yield {"project": piece.project, "path": path, "content": content}
+                if mine and gate.reads(path) and encodes(path):
+                    yield path
 
 
 class TreeSource(DataSource):
@@ -154,7 +184,8 @@ class TreeSource(DataSource):
         return "codetree"
 
     def schema(self) -> str:
-        return "project string, path string, content binary"
+        last = "content binary" if self.options.get("content", "true") == "true" else "size bigint"
+        return f"project string, path string, {last}"
 
     def reader(self, schema) -> TreeReader:
         return TreeReader(dict(self.options))

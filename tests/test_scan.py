@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from arborlens import schemas
 from arborlens.operators import classify, flatten, sequence
@@ -128,6 +129,32 @@ def test_path_tests_do_not_read_content(spark, tmp_path):
     assert "ReadSchema: struct<project:string,path:string>" in plan and "Exchange" not in plan
 
 
+def test_language_statistics_do_not_sort_the_manifest(spark, tmp_path):
+    files_of(spark, SMALL).write.parquet(str(tmp_path / "files"))
+    manifest = classify.scan_files(spark.read.parquet(str(tmp_path / "files")))
+    for frame in (mf.language_stats(manifest), mf.manifest_summary(manifest)):
+        assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_tokens_rank_by_walk(spark):
+    tree_ = {"z/a.py": "x" * 40, "b/q.ts": "y" * 20, "b/r.ts": "y" * 20, "main.rs": "m" * 40, "d.go": "g" * 80}
+    rows = mf.language_stats(classify.scan_files(files_of(spark, tree_))).collect()
+    assert {r.lang: r["rank"] for r in rows} == {"go": 1, "rust": 2, "typescript": 3, "python": 4}
+
+
+def test_hot_project_is_read_by_many_tasks(spark, tmp_path):
+    for n in range(70):
+        (tmp_path / f"p{n}").mkdir()
+        (tmp_path / f"p{n}" / "a.py").write_text("a")
+    (tmp_path / "p3" / "deep").mkdir()
+    for n in range(200):
+        (tmp_path / "p3" / "deep" / f"f{n}.py").write_text(str(n))
+    files = tables.read_tree(spark, str(tmp_path), projects="true", tasks="8")
+    rows = files.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 270 and len({r.task for r in rows if r.project == "p3"}) > 4
+    assert {r.content for r in rows if r.path.startswith("deep/")} == {str(n) for n in range(200)}
+
+
 def test_large_flat_folders_are_shared_out(tmp_path, monkeypatch):
     monkeypatch.setattr(tree, "FLAT_FOLDER", 3)
     (tmp_path / "sub").mkdir()
