@@ -36,9 +36,9 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_line_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents without recurring lines: ``doc_id, text, n_lines, n_dropped``."""
+    """Documents without recurring lines: ``doc_id, text, n_lines, n_dropped``; by the rule of ``LINES_SQL``."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return templates.drop_recurring_lines(docs)
+    return templates.drop_recurring_lines(docs, sure="")
 
 
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:

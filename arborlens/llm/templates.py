@@ -4,8 +4,11 @@ A line goes down the tree by its number of tokens and then by its leading tokens
 a digit is a variable field. In the leaf the rest of the line is generalised: besides the line with
 its digit fields masked, one form for each of ``SEGMENTS`` parts of the rest with this part masked.
 Two lines that differ within one part, in at most the share 1 / ``SEGMENTS`` of the rest, have a form
-in common: their template. A template in ``MIN_DOCS`` documents or more recurs, and its lines are
-dropped, but for the first one (by document and line), so one copy of everything stays.
+in common: their template. A template that says enough by itself (no masked field at all, or a long line
+with as many words as masked ones) recurs from ``SURE_DOCS`` documents on, any other from ``MIN_DOCS`` on.
+Lines without such a form of their own have one with nothing masked, and so have lines of one long token
+(a link, or text without blanks). Lines of recurring templates are dropped, but for the first one (by
+document and line), so one copy of everything stays.
 
 Forms are hashed in numpy, in one narrow pass over the texts; the counts are partial aggregates, and no
 key has a task or a row of its own.
@@ -28,36 +31,64 @@ SEGMENTS = 4
 #: Shorter lines have no parts to mask, only their digit fields.
 MIN_SEGMENTED = 10
 MIN_TOKENS = 2
+#: A line of one token has a form from so many bytes on: four Chinese characters, about two words.
+MIN_BYTES = 12
 MIN_DOCS = 4
+SURE_DOCS = 2
+#: Which forms are sure.
+LONG, ONE_TOKEN = "exact and long", "one token"
 
 _HAS_DIGIT = np.zeros(256, bool)
 _HAS_DIGIT[ord("0") : ord("9") + 1] = True
 
 
-def template_forms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Form hash, text number and line number of every form of every line of a slice."""
+def template_forms(data: np.ndarray, offsets: np.ndarray, sure: str = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Form hash, text number and line number of every form of every line of a slice.
+
+    With ``sure``, the last bit of a hash is set if the form is a sure one, and exact forms are added.
+    """
     start, end, doc = common.find_words(data, offsets)
     tokens = common.hash_spans(data, start, end)
     digits = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_HAS_DIGIT[data], out=digits[1:])
     # A field with a digit is a variable one and reads as an asterisk.
     one = np.frombuffer(b"*", np.uint8)
-    tokens[digits[end] > digits[start]] = common.hash_spans(one, np.array([0]), np.array([1]))[0]
+    field = common.hash_spans(one, np.array([0]), np.array([1]))[0]
+    plain = tokens.copy() if sure else tokens
+    tokens[digits[end] > digits[start]] = field
     breaks = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data == ord("\n"), out=breaks[1:])
     line = breaks[start] - breaks[offsets[doc]]
     head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])][: len(doc)])
     size = np.diff(np.r_[head, len(doc)])
     enough = size >= MIN_TOKENS
+    if sure:
+        enough |= (end - start)[head] >= MIN_BYTES
     head, size = head[enough], size[enough]
     up, down = common.powers(len(tokens) + 1)
-    total = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(tokens * up[: len(tokens)], out=total[1:])
 
-    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def sums(tokens: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(tokens) + 1, np.uint64)
+        np.cumsum(tokens * up[: len(tokens)], out=total[1:])
+        return total
+
+    total = sums(tokens)
+    said = np.zeros(len(tokens) + 1, np.int64)
+    np.cumsum(tokens != field, out=said[1:])
+
+    def run(a: np.ndarray, b: np.ndarray, total: np.ndarray = total) -> np.ndarray:
         return common.mix(((total[b] - total[a]) * down[a]) ^ (b - a).astype(np.uint64))
 
-    forms, at = [run(head, head + size)], [np.arange(len(head))]
+    several = np.flatnonzero(size >= MIN_TOKENS)
+    first, n = head[several], size[several]
+    words = said[first + n] - said[first]
+    forms, at = [run(first, first + n)], [several]
+    firm = [(sure == LONG) & ((words == n) | ((n >= MIN_SEGMENTED) & (2 * words >= n)))]
+    if sure:
+        left = np.r_[several[~firm[0] & (sure == LONG)], np.flatnonzero(size < MIN_TOKENS)]
+        forms.append(common.mix(run(head[left], head[left] + size[left], sums(plain)) ^ np.uint64(0x632BE59BD9B4E019)))
+        at.append(left)
+        firm.append(np.ones(len(left), bool))
     long_ = np.flatnonzero(size >= MIN_SEGMENTED)
     first, n = head[long_], size[long_]
     for k in range(SEGMENTS):
@@ -66,19 +97,22 @@ def template_forms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
         parts = run(first, a) * np.uint64(0x9E3779B97F4A7C15) + run(b, first + n) * np.uint64(0xC2B2AE3D27D4EB4F)
         forms.append(common.mix(parts + (n * (SEGMENTS + 1) + k + 1).astype(np.uint64)))
         at.append(long_)
-    at = np.concatenate(at)
-    return np.concatenate(forms), doc[head[at]], line[head[at]]
+        firm.append((sure == LONG) & (2 * (said[a] - said[first] + said[first + n] - said[b]) >= n))
+    at, forms = np.concatenate(at), np.concatenate(forms)
+    if sure:
+        forms = (forms & ~np.uint64(1)) | np.concatenate(firm).astype(np.uint64)
+    return forms, doc[head[at]], line[head[at]]
 
 
-def line_forms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(form, _doc, line)`` of every line with ``MIN_TOKENS`` tokens or more; ``line`` counts from 0."""
+def line_forms(docs: DataFrame, key: str, text: str, sure: str = LONG) -> DataFrame:
+    """``(form, _doc, line)`` of every line that has a form; ``line`` counts from 0."""
     rows = docs.where(F.col(key).isNotNull()).select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in common.text_slices(batch.column(1)):
                 if len(data):
-                    forms, doc, line = template_forms(data, offsets)
+                    forms, doc, line = template_forms(data, offsets, sure)
                     keys = batch.column(0).slice(first, last - first).take(pa.array(doc))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(forms.astype(np.int64)), keys, pa.array(line.astype(np.int32))], names=["form", "_doc", "line"]
@@ -87,20 +121,25 @@ def line_forms(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"form long, _doc {rows.schema[key].dataType.simpleString()}, line int")
 
 
-def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, sure: str = LONG
+) -> DataFrame:
     """``docs`` with ``text`` less its recurring lines, and ``n_lines``, ``n_dropped`` added.
 
     Documents are counted by key, and the first line of a form is the first one of the smallest key; rows
     that repeat a key should repeat its text. A null key or text is left as it is; an empty text has one
     line, which is kept. If all lines go, the text is empty. Columns named ``n_lines`` or ``n_dropped``
-    are replaced.
+    are replaced. ``SURE_DOCS`` documents are enough for exact and long forms. With ``sure=ONE_TOKEN`` they are for
+    lines of one token only, and any other form waits for ``min_docs``; with an empty ``sure`` all forms wait,
+    and a line of one token has none.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    forms = line_forms(docs, key, text)
+    forms = line_forms(docs, key, text, sure)
+    needed = F.when(F.col("form").bitwiseAND(1) == 1, min(SURE_DOCS, min_docs)).otherwise(min_docs) if sure else F.lit(min_docs)
     # The line where a form first stands in a document; a partial aggregate, as the count of documents.
     seen = forms.groupBy("form", "_doc").agg(F.min("line").alias("_line"))
     recurring = (
-        seen.groupBy("form").agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first_doc")).where(F.col("_docs") >= min_docs).drop("_docs")
+        seen.groupBy("form").agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first_doc")).where(F.col("_docs") >= needed).drop("_docs")
     )
     recurring = hand_over(recurring, "recurring")
     hits = hand_over(forms.join(recurring, "form"), "hits")

@@ -20,8 +20,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; those that consisted of such lines only go."""
-    lean = templates.drop_recurring_lines(docs)
+    """Documents without recurring lines; those that consisted of such lines only go.
+
+    Lines of more than one token wait for ``MIN_DOCS`` documents here.
+    """
+    lean = templates.drop_recurring_lines(docs, sure=templates.ONE_TOKEN)
     left = F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_dropped") == 0)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return lean.where(left).withColumn("n_chars", n_chars.cast("long")).select(*docs.columns)

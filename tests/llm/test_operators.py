@@ -150,6 +150,25 @@ def test_templates(docs, spark):
     assert templates.drop_recurring_lines(lone.limit(0)).count() == 0
 
 
+def test_templates_that_recur_in_two_documents(spark):
+    long_ = "this notice was printed on {} and may be shared by anyone who keeps it whole"
+    lines = [
+        ("short exact line 7", "short exact line 7", True),
+        ("short masked line 7", "short masked line 8", False),
+        (long_.format("2021-03-04"), long_.format("2022-05-06"), True),
+        ("all shops of the town close early on monday as they have always done", "all shops of the town close early on friday as they have always done", True),
+        ("本网站的全部内容均受版权保护", "本网站的全部内容均受版权保护", True),
+        ("https://example.com/a/long/link?id=1", "https://example.com/a/long/link?id=1", True),
+        ("https://example.com/another/link?id=1", "https://example.com/another/link?id=2", False),
+        ("1 2 3 4 5 6 7 8 9 10 11 12", "2 3 4 5 6 7 8 9 10 11 12 13", False),
+        ("}", "}", False),
+    ]
+    rows = [(n, "\n".join(x[n] for x in lines)) for n in (0, 1)]
+    one, two = sorted(templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert one.text == rows[0][1] and one.n_dropped == 0
+    assert two.text == "\n".join(b for _, b, goes in lines if not goes)
+
+
 def test_packing_ids_and_places(docs):
     from tokenizers import Tokenizer
 
