@@ -84,10 +84,14 @@ _NANP = 800 * 800 * 10_000
 
 
 def _phone(value: str, key: bytes, back: bool) -> str | None:
+    """Valid numbers, and beside them, as a range of its own, those that are written as numbers but not dealt out."""
     digits = re.sub(r"\D", "", value)
     head, national = digits[:-10], digits[-10:]
-    if head not in ("", "1") or national[0] in "01" or national[3] in "01":
-        return None
+    if national[0] in "01" or national[3] in "01":
+        while True:
+            national = f"{permute(int(national), 10**10, key, b'phone, not valid', back):010d}"
+            if national[0] in "01" or national[3] in "01":
+                return _fill(value, head + national)
     rank = ((int(national[:3]) - 200) * 800 + int(national[3:6]) - 200) * 10_000 + int(national[6:])
     rank = permute(rank, _NANP, key, b"phone", back)
     area, rest = divmod(rank, 800 * 10_000)

@@ -279,6 +279,20 @@ def test_pseudonyms(docs):
     assert rows[40].text is None and rows[41].text == "" and rows[0].pii_spans == [] and rows[0].slot == 7
 
 
+def test_phone_numbers_that_are_not_valid():
+    key = b"k"
+    numbers = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(017) 555-7713", "1-017-155-7713", "017.055.7713", "988-055-2485"]
+    text = "call " + ", ".join(numbers) + " now"
+    new, spans = pseudonyms.pseudonymize(text, key)
+    values = [new[a:b] for a, b, _ in spans]
+    assert [k for *_, k in spans] == ["phone"] * 6 and not set(values) & set(numbers)
+    assert [re.sub(r"\d", "0", v) for v in values] == [re.sub(r"\d", "0", v) for v in numbers]
+    # Written otherwise, the same number has the same pseudonym; no valid number is among them.
+    national = [re.sub(r"\D", "", v)[-10:] for v in values]
+    assert national[0] == national[2] and all(n[0] in "01" or n[3] in "01" for n in national)
+    assert len(set(national)) == 5 and pseudonyms.pseudonymize(new, key, back=True)[0] == text
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(7)
     rows, n = [], 0
