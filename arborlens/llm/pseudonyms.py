@@ -196,12 +196,44 @@ KINDS = {
     "ipv4": (r"(?<![\d.])(?P<ipv4>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)", _address),
     "ssn": (r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])", _ssn),
     "phone": (r"(?<![\d+])(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)", _phone),
-    "card": (r"(?<![\d.])(?P<card>\d(?:[ -]?\d){12,18})(?![\d])", _card),
+    # All groups of digits that stand together; see ``_card_spans``.
+    "card": (r"(?<!\d)(?P<card>\d(?:[ -]?\d){12,})(?!\d)", _card),
 }
 
 
 _PATTERNS = {kind: re.compile(pattern, re.ASCII) for kind, (pattern, _) in KINDS.items()}
 _TELLTALE = re.compile(r"\d|@|[=:]")
+_SHAPES = {(4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 4, 3), (4, 6, 4), (4, 4, 4, 1), (4, 3, 3, 3)}
+
+
+def _card_spans(text: str, first: int, last: int) -> Iterator[tuple[int, int]]:
+    """Every run of whole groups with 13 to 19 digits of a stretch: those in the shape of a card first, then long before short.
+
+    A card may stand beside other numbers (a date, a security code), so the stretch as a whole says nothing.
+    """
+    groups = [m.span() for m in re.compile(r"\d+", re.ASCII).finditer(text, first, last)]
+    if first and text[first - 1] == ".":
+        groups = groups[1:]
+    found = []
+    for i, (a, _) in enumerate(groups):
+        n, shape = 0, []
+        for c, b in groups[i:]:
+            n += b - c
+            shape.append(b - c)
+            if n > 19:
+                break
+            if n >= 13:
+                found.append((len(shape) > 1 and tuple(shape) not in _SHAPES, text[a] not in "23456", -n, a, b))
+    for *_, a, b in sorted(found):
+        yield a, b
+
+
+def _spans(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    for m in _PATTERNS[kind].finditer(text):
+        if kind == "card":
+            yield from _card_spans(text, *m.span(kind))
+        else:
+            yield m.span(kind)
 
 
 def pseudonymize(
@@ -217,19 +249,18 @@ def pseudonymize(
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []  # in order
     memory = {} if memory is None else memory
-    for kind, pattern in _PATTERNS.items():
+    for kind in KINDS:
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span(kind)
+        for a, b in _spans(kind, text):
             at = bisect(taken, (a, b))
             if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
                 continue
-            value = (kind, m[kind])
+            value = (kind, text[a:b])
             if value not in memory:
                 if len(memory) >= MEMORY:
                     memory.clear()
-                memory[value] = KINDS[kind][1](m[kind], key, back)
+                memory[value] = KINDS[kind][1](text[a:b], key, back)
             new = memory[value]
             if new is not None:
                 found.append((a, b, kind, new))
@@ -248,6 +279,15 @@ def pseudonymize(
     return "".join(out), spans
 
 
+def restore(text: str, spans: list[tuple[int, int, str]], key: bytes = EXAMPLE_KEY) -> str:
+    """The text before ``pseudonymize``, by its spans: exact also where numbers beside a card could be part of one."""
+    out, last = [], 0
+    for a, b, kind in spans:
+        out += [text[last:a], KINDS[kind][1](text[a:b], key, True)]
+        last = b
+    return "".join([*out, text[last:]])
+
+
 def pseudonymize_documents(docs: DataFrame, key: bytes = EXAMPLE_KEY, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten and ``pii_spans`` added; one narrow stage.
 

@@ -293,6 +293,20 @@ def test_phone_numbers_that_are_not_valid():
     assert len(set(national)) == 5 and pseudonyms.pseudonymize(new, key, back=True)[0] == text
 
 
+def test_cards_beside_other_numbers():
+    key, card = b"k", "4111 1111 1111 1111"
+    texts = [f"{card} 12/27", f"{card} 123", f"order 12 {card}", f"2024-01-05 {card}", f"{card} 5500-0000-0000-0004 9", "12 3782 822463 10005 1234", "7 4111111111111111 08 27"]
+    for text in texts:
+        new, spans = pseudonyms.pseudonymize(text, key)
+        cards = [(a, b) for a, b, k in spans if k == "card"]
+        assert len(cards) == 1 + ("5500" in text), text
+        for a, b in cards:
+            digits = re.sub(r"\D", "", new[a:b])
+            assert text[a:b] in (card, "5500-0000-0000-0004", "3782 822463 10005", "4111111111111111")
+            assert new[a:b] != text[a:b] and pseudonyms.luhn_digit(digits[:-1]) == digits[-1]
+        assert pseudonyms.restore(new, spans, key) == text
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(7)
     rows, n = [], 0
