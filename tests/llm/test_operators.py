@@ -118,6 +118,41 @@ def test_passages(docs):
         assert len(a) == len(b) == r.n_words and sum(x == y for x, y in zip(a, b)) >= 0.8 * len(a)
 
 
+def edited(rng, words, edits):
+    """Words put in (+), left out (-) or replaced (=) at even distances."""
+    out = list(words)
+    for k, kind in reversed(list(enumerate(edits, 1))):
+        at = len(words) * k // (len(edits) + 1)
+        out[at : at + (kind != "+")] = [] if kind == "-" else [f"new{rng.randrange(10**6)}"]
+    return out
+
+
+@pytest.mark.parametrize("n, edits", [(60, "+"), (60, "-"), (80, "+"), (88, "-"), (120, "+-"), (200, "+-="), (400, "-+-+=")])
+def test_passages_with_words_put_in_or_left_out(n, edits):
+    rng = random.Random(n)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    a = prose(rng, 70, 10**6).split() + passage + prose(rng, 30, 10**6).split()
+    b = prose(rng, 20, 10**6).split() + edited(rng, passage, edits) + prose(rng, 90, 10**6).split()
+    x, y = word_sets([(0, " ".join(passage)), (1, " ".join(edited(rng, passage, edits)))]).values()
+    assert 0.8 <= len(x & y) / len(x | y) <= 0.95
+    codes = {w: k for k, w in enumerate({*a, *b})}
+    x, y = (passages.shingled(np.array([codes[w] for w in t], "<u4")) for t in (a, b))
+    assert passages.near_passages(x, y, 50, 0.8) == [(70, 70 + n, 20, len(b) - 90)]
+
+
+def test_near_passages_are_found(spark):
+    rng = random.Random(3)
+    rows, want = [], set()
+    for i in range(0, 200, 2):
+        passage = prose(rng, 60, 10**6).split()
+        for k, words in ((i, passage), (i + 1, edited(rng, passage, "+-="[i // 2 % 3]))):
+            rows.append((k, " ".join([prose(rng, 40, 10**6), *words, prose(rng, 40, 10**6)])))
+        want.add((i + 1, i))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("NOT first").collect()
+    found = {(r.doc_id, r.other) for r in found}
+    assert found <= want and len(found) >= 95
+
+
 def test_compact_windows_are_the_wide_nodes_of_the_tree():
     rng = np.random.default_rng(4)
     doc = np.sort(rng.integers(0, 4, 200))
