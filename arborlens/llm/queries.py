@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from arborlens.llm import (
     embeddings,
     language,
+    manifest,
     near,
+    negatives,
     packing,
     passages,
     pseudonyms,
     quality,
     repetition,
     segmentation,
+    sharding,
+    statements,
     templates,
 )
 
@@ -92,6 +96,26 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives under the first five positives of every anchor: ids, rank and scores."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.hard_negatives(vectors, F.expr("id % 100 = 0"))
+
+
+def op12_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard of every document by its key, its place there, and its shard if there were one more."""
+    return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Merkle proof of every document, and the root that it leads to when some texts are lower-cased."""
+    altered = F.expr("pmod(crc32(CAST(doc_id AS STRING)), 3) = 0")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = F.translate("text", upper, upper.lower())
+    return manifest.dataset_manifest(_table(spark, folder, "documents"), altered, lowered)
+
+
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +129,9 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embeddings,
         op9_quality,
         op10_packing,
+        op11_hard_negatives,
+        op12_shards,
+        op13_manifest,
     )
 }
 
@@ -135,6 +162,9 @@ LINES_SQL = r"""
 """
 
 ORACLE: dict[str, str] = {
+    "op11_hard_negatives": statements.HARD_NEGATIVES,
+    "op12_shards": statements.SHARDS,
+    "op13_manifest": statements.MANIFEST,
     "op1_line_templates": "WITH "
     + LINES_SQL.replace("{docs}", "documents")
     + """SELECT d.doc_id, coalesce(r.text, d.text) AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
