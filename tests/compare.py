@@ -35,7 +35,7 @@ def differences(spark, connection, name, folder):
     wanted = relation.select(", ".join(f'"{c}"' for c in order))
     theirs = Counter(wanted.fetchall())
     types = {c: str(t) for c, t in zip(wanted.columns, wanted.types)}
-    kinds = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     for column, kind in frame.dtypes:
         if kinds.get(kind) != types[column]:
             return f"type of {column}: {kind} and {types[column]}"
