@@ -28,6 +28,8 @@ STRIDE = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Subtrees whose leaves leave a task in one batch.
 EMIT = 16
+#: Files of a table with one row for each language or fewer.
+FEW = 4
 
 
 def digest(nodes: bytes) -> bytes:
@@ -108,9 +110,12 @@ def _spread(height: int) -> int:
     return FAN ** (STRIDE * height)
 
 
-def _build(leaves: DataFrame, payload: list[str]) -> tuple[list[Level], DataFrame]:
-    """Stored levels over ``leaves`` (``tree, pos, node`` and payload), and ``(tree, n, node)`` of their tops."""
-    sizes = hand_over(leaves.groupBy("tree").agg(F.count("*").alias("n")), "sizes")
+def _build(leaves: DataFrame, payload: list[str], few: bool = False) -> tuple[list[Level], DataFrame]:
+    """Stored levels over ``leaves`` (``tree, pos, node`` and payload), and ``(tree, n, node)`` of their tops.
+
+    ``few``: the leaves are languages, so every table is written by few tasks.
+    """
+    sizes = hand_over(leaves.groupBy("tree").agg(F.count("*").alias("n")).coalesce(FEW), "sizes")
     most = sizes.agg(F.max("n")).first()[0] or 0
     nodes = leaves.join(sizes, "tree")
     levels, tops = [], None
@@ -121,7 +126,7 @@ def _build(leaves: DataFrame, payload: list[str]) -> tuple[list[Level], DataFram
             .agg(F.array_sort(F.collect_list(F.struct("pos", "node", *payload))).alias("nodes"))
             .withColumn("whole", F.col("n") <= _spread(height + 1))
         )
-        rows = hand_over(rows, f"level-{height}")
+        rows = hand_over(rows.coalesce(FEW) if few else rows, f"level-{height}")
         levels.append(Level(height, rows))
         above = hand_over(
             rows.select("tree", "block", "n", F.col("nodes.node").alias("nodes"), "whole").mapInArrow(
@@ -191,14 +196,14 @@ def build_manifest(leaves: DataFrame) -> Manifest:
     tops = hand_over(tops, "subroots")
     over = number_rows(tops.select(F.lit("").alias("over"), "tree", "node"), ["over"], ["tree"], out="pos")
     upper, root = _build(over.select(F.col("over").alias("tree"), "pos", "node"), [])
-    root = hand_over(root, "root")
+    root = hand_over(root.coalesce(1), "root")
     start = root.select("tree", "n", F.unhex(F.lit("")).alias("path"))
     inner = _descend(upper, start).select("tree", "block", F.col("nodes.node").alias("nodes"), "whole", "path")
     paths = inner.mapInArrow(_paths, "tree string, pos long, path binary")
     named = over.select("over", "tree", "pos", F.col("node").alias("subroot")).join(paths.select("pos", "path"), "pos")
     named = named.join(root.select(F.col("tree").alias("over"), F.col("node").alias("root")), "over")
     roots = named.join(tops.select("tree", "n"), "tree")
-    return Manifest(levels, hand_over(roots.select("tree", "n", "subroot", "path", "root"), "roots"))
+    return Manifest(levels, hand_over(roots.select("tree", "n", "subroot", "path", "root").coalesce(FEW), "roots"))
 
 
 def prove(manifest: Manifest, full: bool = False) -> DataFrame:
