@@ -274,8 +274,10 @@ def _ranked(found: DataFrame, wanted: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
 
 
-def _floor(value: str, by: int) -> str:
-    return f"(({value}) - pmod({value}, {by}L)) div {by}"
+def _percent(share: int, rounding: str) -> Column:
+    """``share`` percent of ``score``, rounded to a whole number without leaving the range of longs."""
+    value = F.expr(f"{rounding}({share} * CAST(score AS DECIMAL(20, 0)) / 100)")
+    return F.least(F.greatest(value, F.lit(-_MOST)), F.lit(_MOST)).cast("long")
 
 
 def hard_negatives(
@@ -314,8 +316,7 @@ def hard_negatives(
     first = asked.withColumn("high", bounds[0]).withColumn("low", bounds[1])
     near = hand_over(search(placed, first, n_slots, n_groups, True, positives, "positives"), "positives")
 
-    p = "CAST(score AS LONG)"
-    windows = near.withColumn("high", F.expr(_floor(f"{high} * {p}", 100))).withColumn("low", F.expr("-" + _floor(f"-{low} * {p}", 100)))
+    windows = near.withColumn("high", _percent(high, "floor")).withColumn("low", _percent(low, "ceil"))
     windows = windows.groupBy("id", "uid").agg(F.array_sort(F.collect_list(F.struct("rank", "high", "low"))).alias("_w"))
     second = asked.join(windows, ["id", "uid"]).withColumn("high", F.col("_w.high")).withColumn("low", F.col("_w.low")).drop("_w")
     hard = search(placed, hand_over(second, "windows"), n_slots, n_groups, False, negatives, "negatives")
