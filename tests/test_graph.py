@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from arborlens.operators import graph, imports
+from arborlens.operators import components, graph, imports
 from arborlens import schemas
 from arborlens.functions import paths
 from pyspark.sql import functions as F
@@ -47,23 +47,23 @@ def random_graphs():
     return graphs
 
 
-@pytest.mark.parametrize("small", [10**6, 10, 0])
-def test_order_is_the_queue_order(spark, small):
+@pytest.mark.parametrize("block", [10**6, 10, 1])
+def test_order_is_the_queue_order(spark, block):
     graphs = random_graphs()
     nodes, edges = tables(spark, graphs)
     got = {}
-    for r in graph.dependency_order(nodes, edges, small).orderBy("project", "pos").collect():
+    for r in graph.dependency_order(nodes, edges, block).orderBy("project", "pos").collect():
         got.setdefault(r.project, []).append(r.path)
     assert got == {p: queue_order(*g)[0] for p, g in graphs.items()}
     assert got["given"] == list("cbamzwxy")
 
 
-@pytest.mark.parametrize("small", [10])
-def test_levels_and_remainder(spark, small):
+@pytest.mark.parametrize("block", [10])
+def test_levels_and_remainder(spark, block):
     graphs = random_graphs()
     nodes, edges = tables(spark, graphs)
-    levels = {(r.project, r.path): r.level for r in graph.dependency_levels(nodes, edges, small).collect()}
-    stuck = {(r.project, r.path) for r in graph.cycle_remainder(nodes, edges, small).collect()}
+    levels = {(r.project, r.path): r.level for r in graph.dependency_levels(nodes, edges, block).collect()}
+    stuck = {(r.project, r.path) for r in graph.cycle_remainder(nodes, edges, block).collect()}
     for p, (names, links) in graphs.items():
         left = queue_order(names, links)[1]
         assert {n for q, n in stuck if q == p} == left
@@ -72,6 +72,32 @@ def test_levels_and_remainder(spark, small):
             assert levels[p, n] == (None if n in left else max(below, default=-1) + 1)
 
 
+@pytest.mark.parametrize("block, most", [(graph.BLOCK, 100), (500, 250)])
+def test_a_chain_of_2000_levels_takes_few_jobs(spark, block, most):
+    names = [f"n{i:04}" for i in range(2000)]
+    nodes, edges = tables(spark, {"p": (names, list(zip(names[1:], names, strict=False)))})
+    spark.sparkContext.setJobGroup("chain", "chain")
+    rows = graph.dependency_levels(nodes, edges, block).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.path: r.level for r in rows} == {n: i for i, n in enumerate(names)}
+    assert 0 < len(jobs) < most
+
+
+def test_components(spark):
+    draw = random.Random(5)
+    links = [(f"g{draw.randrange(3)}", *(f"n{draw.randrange(60):02}" for _ in range(2))) for _ in range(90)]
+    links += [("path", f"v{i:02}", f"v{(i * 7 + 7) % 101:02}") for i in range(60)] + [("loop", "a", "a")]
+    found = components.connected_components(spark.createDataFrame(links, "g string, src string, dst string"), ["g"]).collect()
+    label = {}
+    for g, a, b in links:
+        if a != b:
+            label |= {(g, x): (g, x) for x in (a, b) if (g, x) not in label}
+            x, y = sorted((label[g, a], label[g, b]))
+            label = {k: x if v == y else v for k, v in label.items()}
+    assert {(r.g, r.node): (r.g, r.component) for r in found} == label and len(found) == len(label)
+
+
 def specs(column_values, content, path):
     expression = imports.import_specs(F.col("c"), paths.language(F.col("p")))
     return column_values("c string, p string", [(content, path)], expression)[0]
