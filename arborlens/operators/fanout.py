@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from arborlens.functions import fixed, paths, text
 from arborlens.operators.reports import parse_reports
+from arborlens.session import hand_over
+from arborlens.sources.ledger import OUTCOME, Ledger
 
 DEFAULT_PROMPT = """\
 Review the complete source code below as an independent software consultant.
@@ -88,10 +90,8 @@ def fan_out(
 
 
 Client = Callable[[dict], dict]
-_OUTCOME = (
-    "status string, latency_ms bigint, tokens_prompt bigint, tokens_completion bigint, "
-    "cost_usd double, finish_reason string, generation_id string, raw_response string, error string"
-)
+#: Payloads above this many characters go to a task for each request, not one for all of the project.
+SPLIT_CHARS = 16_000_000
 
 
 def _within(timeout: float, client: Client, request: dict) -> dict:
@@ -174,42 +174,67 @@ def dispatch(
     make_client: Callable[[], Client],
     timeout: int = 600,
     max_concurrent: int | None = None,
+    ledger: str | None = None,
+    split_chars: int = SPLIT_CHARS,
 ) -> DataFrame:
-    """Send ``requests(project, pos, ...)`` and return one response row each.
+    """Send ``requests(project, pos, model, ...)`` and return one response row each.
 
     ``payloads`` are those of ``build_payloads``. ``make_client`` runs in the task; the client takes
     a dict and returns a dict with ``content``, ``finish_reason``, ``id``, ``prompt_tokens`` and
     ``completion_tokens``, or raises. The ``payload`` of a request is an iterator of text blocks to
     stream or join. A call that takes longer than ``timeout`` is given up and becomes a ``timeout``
     row. At most ``max_concurrent`` calls run at once, as many as the cluster has cores by default.
-    A retried task calls again, so write the result once, before anything reads it twice.
 
-    A text is shuffled to its project once. It is spread over the models inside the task, where the
-    sort, which can spill, lays the blocks of each request side by side.
+    ``ledger`` is the folder of this run's answers (see ``sources/ledger.py``). What is in it is not
+    asked again, neither by a retried task nor by a rerun after the job was killed; calls that
+    failed or timed out are. Without one a retried task calls again. Either way write the result
+    once, before anything reads it twice.
+
+    A text is shuffled to its project once and spread over the models inside the task, where the
+    sort, which can spill, lays the blocks of each request side by side. Only a payload above
+    ``split_chars`` is spread before the shuffle: then each of its requests is a task's work of its own.
     """
+    spark = requests.sparkSession
     columns = requests.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", " + _OUTCOME
+    book = Ledger(ledger) if ledger else None
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", " + OUTCOME
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         rows = (row for batch in batches for row in batch.to_dict("records"))
-        for _, group in groupby(rows, lambda r: (r["project"], r["_n"])):
+        for _, group in groupby(rows, lambda r: (r["project"], r["pos"], r["_n"])):
             first = next(group)
             request = {c: first[c] for c in columns}
             texts = (r["_text"] for r in chain([first], group) if r["_text"] is not None)
-            yield pd.DataFrame([request | _outcome(client, request, texts, timeout)])
-
-    # The requests of a project are as many as the models of a job.
-    asked = requests.groupBy("project").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_requests"))
+            outcome = book.find(request) if book else None
+            if outcome is None:
+                outcome = _outcome(client, request, texts, timeout)
+                if book:
+                    book.add(request, outcome)
+            yield pd.DataFrame([request | outcome])
+
+    answered = None
+    if book:
+        done = hand_over(book.answers(spark).dropDuplicates(["project", "pos", "model"]), "answered")
+        answered = requests.join(done, ["project", "pos", "model"]).select(*columns, *done.columns[3:])
+        requests = requests.join(done.select("project", "pos", "model"), ["project", "pos", "model"], "left_anti").select(*columns)
+    large = payload_sizes(payloads).where(F.col("payload_chars") > split_chars).select("project", F.lit(True).alias("_large"))
+    # The requests of a project are as many as the models of a job. Those of a large one get a row each.
+    placed = requests.join(large, "project", "left").withColumn("_place", F.when(F.col("_large"), F.col("pos")).otherwise(F.lit(0)))
+    asked = placed.groupBy("project", "_place").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_requests"))
     blocks = payloads.select("project", "section", "block", F.col("text").alias("_text"))
-    tasks = max_concurrent or requests.sparkSession.sparkContext.defaultParallelism
+    tasks = max_concurrent or spark.sparkContext.defaultParallelism
+    # Requests of one project lie in neighbouring tasks, so as many as there are tasks never share one.
+    task = F.pmod(F.pmod(F.xxhash64("project"), F.lit(tasks)) + F.col("_place"), F.lit(tasks)).cast("int")
     sent = (
         asked.join(blocks, "project", "left")
-        .repartition(tasks, "project")
+        .repartitionById(tasks, task)
         .select("section", "block", "_text", F.posexplode("_requests").alias("_n", "_request"))
-        .sortWithinPartitions("_request.project", "_n", "section", "block")
+        .sortWithinPartitions("_request.project", "_request.pos", "_n", "section", "block")
         .select("_n", "_text", "_request.*")
         .mapInPandas(call, schema)
     )
+    if answered is not None:
+        sent = sent.unionByName(answered)
     wanted = F.col("json_mode") & (F.col("status") == "complete")
     return parse_reports(sent, F.when(wanted, F.col("raw_response")))

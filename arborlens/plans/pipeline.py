@@ -74,6 +74,7 @@ def fire(
 
     Writes ``payloads``, ``responses``, the same as ``documents`` (JSON and text), ``run_meta`` and
     ``run_models``. The run of a project is ``<run_id>/<project>``. ``scanned`` adds the totals of the scan.
+    Answers are booked in ``ledger`` as they come: the same call after a job was killed goes on where it stopped.
     """
     spark = blocks.sparkSession
     started = now().isoformat()
@@ -82,7 +83,7 @@ def fire(
     requests = fanout.fan_out(fanout.payload_sizes(payloads), models, **request).withColumn(
         "run_id", F.concat(F.lit(f"{run_id}/"), "project")
     )
-    answers = fanout.dispatch(requests, payloads, make_client, timeout, max_concurrent)
+    answers = fanout.dispatch(requests, payloads, make_client, timeout, max_concurrent, ledger=f"{out}/ledger")
     sinks.write_table(answers, f"{out}/responses")
     responses = spark.read.parquet(f"{out}/responses")
     sinks.write_responses(responses, f"{out}/documents", "overwrite")

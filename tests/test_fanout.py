@@ -132,3 +132,59 @@ def test_a_call_past_its_limit_is_given_up():
 def test_an_empty_prompt_file(spark, tmp_path):
     (tmp_path / "prompt.txt").write_text("")
     assert fanout.load_prompt(spark, str(tmp_path / "prompt.txt")) == ""
+
+
+def counting_client(folder, stop_after=None):
+    """Notes every call; ends its process, as a lost executor does, after ``stop_after`` answers."""
+
+    def make():
+        import os
+        import uuid
+
+        from pyspark import TaskContext
+
+        def answer(request):
+            if stop_after is not None and len(os.listdir(folder)) >= stop_after:
+                os._exit(9)
+            if request["model"] == "broken":
+                raise RuntimeError("boom")
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                file.write(f"{request['project']} {request['pos']}")
+            return {"content": str(TaskContext.get().partitionId()), "prompt_tokens": sum(map(len, request["payload"]))}
+
+        return answer
+
+    return make
+
+
+def test_a_killed_job_asks_no_answered_request_again(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    blocks = spark.createDataFrame([(f"p{i}", 4, 0, "x" * i) for i in range(1, 9)], BLOCKS)
+    requests = fanout.fan_out(fanout.payload_sizes(blocks), ["a", "b", "broken", "a"])
+    ledger = str(tmp_path / "ledger")
+
+    def send(make):
+        return fanout.dispatch(requests, blocks, make, max_concurrent=2, ledger=ledger).collect()
+
+    with pytest.raises(Exception):
+        send(counting_client(str(calls), stop_after=9))
+    before = len(list(calls.iterdir()))
+    assert 9 <= before < 24
+    rows = send(counting_client(str(calls)))
+    noted = sorted(f.read_text() for f in calls.iterdir())
+    assert noted == sorted(f"p{i} {pos}" for i in range(1, 9) for pos in (0, 1, 3))  # each once
+    assert len(rows) == 32 and sorted(r.status for r in rows) == ["complete"] * 24 + ["failed"] * 8
+    assert {(r.project, r.tokens_prompt) for r in rows if r.status == "complete"} == {(f"p{i}", i) for i in range(1, 9)}
+    assert len(send(counting_client(str(calls)))) == 32 and len(list(calls.iterdir())) == 24
+
+
+def test_requests_of_a_large_payload_are_tasks_of_their_own(spark, tmp_path):
+    rows = [("hot", 4, b, "x" * 100) for b in range(50)] + [(f"p{i}", 4, 0, "y") for i in range(20)]
+    blocks = spark.createDataFrame(rows, BLOCKS)
+    requests = fanout.fan_out(fanout.payload_sizes(blocks), [f"m{i}" for i in range(6)])
+    make = counting_client(str(tmp_path))
+    for limit, tasks in ((1000, 6), (10**6, 1)):
+        found = fanout.dispatch(requests, blocks, make, max_concurrent=8, split_chars=limit).collect()
+        assert len(found) == 126 and {r.tokens_prompt for r in found if r.project == "hot"} == {5000}
+        assert len({r.raw_response for r in found if r.project == "hot"}) == tasks
