@@ -383,6 +383,10 @@ def statements() -> dict[str, str]:
             [*TO_PARTS, "blocks AS (SELECT project, section, block, string_agg(text, '' ORDER BY item) AS text FROM parts GROUP BY ALL)"],
             f"SELECT project, {PLACE}, {DIGEST} FROM blocks",
         ),
+        "flat_text_files": with_steps(
+            [*TO_PARTS, "whole AS (SELECT project, string_agg(text, '' ORDER BY section, item) AS text FROM parts GROUP BY project)"],
+            "SELECT project, length(text) AS chars, md5(text) AS md5 FROM whole",
+        ),
         "sequence_resolve": with_steps(TO_LEAVES, "SELECT project, pos, path FROM resolved"),
         "sequence_glob": with_steps(
             TO_LEAVES,

@@ -244,6 +244,18 @@ def flat_text(data):
     )
 
 
+@query
+def flat_text_files(data):
+    """Flat texts written as files and read back: length and MD5 of what the files of a project hold."""
+    folder = scratch_path(data.spark, "flat")
+    sinks.write_flat_text(flatten.flat_blocks(Snapshot(data).parts()), folder)
+    files = tables.read_flat_text(data.spark, folder)
+    sent = files.select("project", F.lit(0).alias("section"), F.col("part").alias("block"), "text")
+    requests = fanout.fan_out(fanout.payload_sizes(sent), ["local"])
+    answers = fanout.dispatch(requests, sent, digest_client)
+    return answers.select("project", F.col("tokens_prompt").alias("chars"), F.col("raw_response").alias("md5"))
+
+
 # Sequences
 
 

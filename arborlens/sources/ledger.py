@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arborlens.sources.files import locate
+
 KEY = "project string, pos int, model string"
 OUTCOME = (
     "status string, latency_ms bigint, tokens_prompt bigint, tokens_completion bigint, "
@@ -33,10 +35,8 @@ class Ledger:
 
     def _file(self, request: dict) -> tuple:
         """File system and name of the entry of a request."""
-        from pyarrow import fs
-
         key = json.dumps([str(request["project"]), int(request["pos"]), str(request["model"])])
-        system, folder = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        system, folder = locate(self.path)
         return system, f"{folder}/{hashlib.sha256(key.encode()).hexdigest()}.json"
 
     def find(self, request: dict) -> dict | None:

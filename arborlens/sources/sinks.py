@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from arborlens.operators import runs
+from arborlens.sources.flattext import FlatTextSource
 
 
 def write_table(rows: DataFrame, path: str, mode: str = "overwrite", by: tuple[str, ...] = ()) -> None:
@@ -17,25 +17,15 @@ def write_table(rows: DataFrame, path: str, mode: str = "overwrite", by: tuple[s
 
 
 def write_flat_text(blocks: DataFrame, path: str) -> None:
-    """Flat texts as text files under ``project=<name>``.
+    """Flat texts as text files under ``project=<name>``; see ``flattext.py``.
 
     Blocks are range-partitioned, so a large project becomes several files; read in name order they
-    are its text, byte for byte. The header and its list of entrypoints go into one row, hence a
-    list that spans blocks cannot be written as lines and fails; the blocks table has no such limit.
+    are its text, byte for byte, wherever its blocks end.
     """
+    blocks.sparkSession.dataSource.register(FlatTextSource)
     order = ["project", "section", "block"]
-    split_line = ~F.endswith("text", F.lit("\n"))
-    line = F.when(split_line, F.raise_error(F.lit("a block ends inside a line"))).otherwise(
-        F.regexp_replace("text", r"\n\z", "")
-    )
-    (
-        blocks.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("project", line.alias("value"))
-        .write.mode("overwrite")
-        .partitionBy("project")
-        .text(path)
-    )
+    sorted_ = blocks.select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_.write.format("flattext").mode("overwrite").save(path)
 
 
 def write_responses(responses: DataFrame, path: str, mode: str = "append") -> None:

@@ -4,12 +4,17 @@
 file sources cannot be used: they leave out names that start with ``_`` or ``.``. Folders are listed
 on the driver only until there are enough of them to share out; the walk below them and all reading
 happen in tasks. A large flat folder is shared out by a hash of the names. With ``content`` set to
-``false`` no file is opened and the rows are ``(project, path, size)``; ``tables.read_tree`` lists a
-tree this way and deals the files to its own tasks, so one large project is no large task.
+``false`` no file is opened and the rows are ``(project, path, size)``. ``tables.read_tree`` lists a
+tree in rounds and deals the files to its own tasks, so one large project is no large task.
+
+Filters on the project (equal, in a list) and on the path (equal, beginning with) are pushed down, where the
+session allows it (``spark.sql.python.filterPushdown.enabled``): folders that cannot hold a wanted
+path are not opened.
 
 Options: ``projects`` (``true``: every folder under the root is a project, ``false``: the root is
 one), ``tasks``, ``extra_exclude`` (comma-separated globs), ``scan`` (``true``: leave out what a
-scan leaves out before any file is opened).
+scan leaves out before any file is opened), ``only`` (comma-separated projects) and ``under`` (a path
+prefix), which do without any filter what a pushed filter does.
 """
 
 from __future__ import annotations
@@ -17,10 +22,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from arborlens.functions import fixed, globs
 from arborlens.operators.classify import ScanRules
@@ -29,6 +34,9 @@ FLAT_FOLDER = 5_000
 BATCH_BYTES = 16 * 1024 * 1024
 BATCH_ROWS = 10_000
 SCHEMA = pa.schema([("project", pa.string()), ("path", pa.string()), ("content", pa.binary())])
+OPENED = pa.schema(
+    [("project", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("deep", pa.bool_()), ("share", pa.int32()), ("shares", pa.int32())]
+)
 LISTING = pa.schema([("project", pa.string()), ("path", pa.string()), ("size", pa.int64())])
 
 
@@ -106,6 +114,26 @@ class TreeReader(DataSourceReader):
         self.opens = options.get("content", "true") == "true"
         extra = tuple(g for g in options.get("extra_exclude", "").split(",") if g)
         self.rules = ScanRules(extra) if options.get("scan", "false") == "true" else None
+        only = [p for p in options.get("only", "").split(",") if p]
+        self.only: set[str] | None = set(only) if only else None
+        self.prefixes = [p for p in [options.get("under", "")] if p]
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Take what narrows projects and paths. Everything is handed back too: Spark tests the few rows left."""
+        for given in filters:
+            match given:
+                case EqualTo(("project",), str(value)):
+                    self.only = {value} if self.only is None else self.only & {value}
+                case In(("project",), values):
+                    self.only = set(values) if self.only is None else self.only & set(values)
+                case EqualTo(("path",), str(value)) | StringStartsWith(("path",), str(value)):
+                    self.prefixes.append(value)
+            yield given
+
+    def wants(self, folder: str) -> bool:
+        """Whether paths below a folder can begin with every prefix."""
+        inside = f"{folder}/" if folder else ""
+        return all(inside.startswith(p) or p.startswith(inside) for p in self.prefixes)
 
     def base(self, project: str) -> str:
         return os.path.join(self.root, project) if self.many else self.root
@@ -116,6 +144,7 @@ class TreeReader(DataSourceReader):
             raise ValueError(f"not a folder: {self.root}")
         gate = Gate(self.rules)
         names = entries(self.root, "")[0] if self.many else [os.path.basename(os.path.abspath(self.root))]
+        names = [n for n in names if self.only is None or n in self.only]
         open_pieces, pieces = [Piece(name, "", True) for name in names], []
         while open_pieces and len(open_pieces) + len(pieces) < self.tasks:
             below = []
@@ -124,7 +153,7 @@ class TreeReader(DataSourceReader):
                 shares = 1 + len(files) // FLAT_FOLDER
                 pieces += [Piece(piece.project, piece.folder, False, n, shares) for n in range(shares)]
                 wanted = [joined(piece.folder, name) for name in folders]
-                below += [Piece(piece.project, f, True) for f in wanted if gate.enters(f)]
+                below += [Piece(piece.project, f, True) for f in wanted if gate.enters(f) and self.wants(f)]
             open_pieces = below
         return pieces + open_pieces
 
@@ -165,17 +194,57 @@ class TreeReader(DataSourceReader):
 
     def paths(self, piece: Piece) -> Iterator[str]:
         """Paths that pass the filters; names that are not UTF-8 are left out."""
-        root, gate, folders = self.base(piece.project), Gate(self.rules), [piece.folder]
-        while folders:
-            folder = folders.pop()
-            below, files = entries(root, folder)
-            if piece.deep:
-                folders += [f for f in (joined(folder, name) for name in below) if gate.enters(f)]
-            for name in files:
-                path = joined(folder, name)
-                mine = piece.shares == 1 or zlib.crc32(os.fsencode(name)) % piece.shares == piece.share
-                if mine and gate.reads(path) and encodes(path):
-                    yield path
+        gate, pieces = Gate(self.rules), [piece]
+        while pieces:
+            below, found = self.opened(pieces.pop(), gate)
+            pieces += below
+            yield from found
+
+    def opened(self, piece: Piece, gate: Gate) -> tuple[list[Piece], list[str]]:
+        """What lies below a folder, and the files in it that are this piece's."""
+        folders, files = entries(self.base(piece.project), piece.folder)
+        below = []
+        if piece.deep:
+            wanted = (joined(piece.folder, name) for name in folders)
+            below = [Piece(piece.project, f, True) for f in wanted if gate.enters(f) and self.wants(f)]
+        found = []
+        for name in files:
+            path = joined(piece.folder, name)
+            mine = piece.shares == 1 or zlib.crc32(os.fsencode(name)) % piece.shares == piece.share
+            if mine and all(path.startswith(p) for p in self.prefixes) and gate.reads(path) and encodes(path):
+                found.append(path)
+        return below, found
+
+    def listed(self, pieces: Iterable[Piece], budget: int) -> Iterator[pa.RecordBatch]:
+        """Files with their sizes, and without a size the pieces left once ``budget`` files were seen.
+
+        The files of a large folder are handed back in shares, unless this piece is one.
+        """
+        gate, seen = Gate(self.rules), 0
+        todo, rows = list(pieces), []
+        while todo:
+            piece = todo.pop()
+            left = [piece]
+            if seen < budget:
+                left, found = self.opened(piece, gate)
+                shares = 1 + len(found) // FLAT_FOLDER
+                if shares > 1 and piece.shares == 1:
+                    left += [Piece(piece.project, piece.folder, False, n, shares) for n in range(shares)]
+                    found = []
+                seen += len(found)
+                for path in found:
+                    try:
+                        size = os.stat(os.path.join(self.base(piece.project), path)).st_size
+                    except OSError:
+                        continue
+                    rows.append((piece.project, path, size, None, None, None))
+            if seen < budget and piece.shares == 1:
+                todo += [p for p in left if p.deep]
+                left = [p for p in left if not p.deep]
+            rows += [(p.project, p.folder, None, p.deep, p.share, p.shares) for p in left]
+            if rows and (len(rows) >= BATCH_ROWS or not todo):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), OPENED.types, strict=True)], schema=OPENED)
+                rows = []
 
 
 class TreeSource(DataSource):

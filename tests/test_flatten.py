@@ -2,13 +2,14 @@ import glob
 import re
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from arborlens import schemas
 from arborlens.functions import fixed
 from arborlens.operators import classify, flatten, sequence
 from arborlens.operators import manifest as mf
-from arborlens.sources import sinks
+from arborlens.sources import flattext, sinks, tables
 
 TREE = {
     "main.py": "import os  # x\n\n\nprint('hello')\n",
@@ -116,6 +117,44 @@ def test_text_files_round_trip(spark, tmp_path):
     assert "".join(open(n, encoding="utf-8", newline="").read() for n in names) == expected(ORDER, DOCS)
 
 
+def test_a_list_of_200000_entrypoints_is_written_byte_for_byte(spark, tmp_path):
+    names = spark.range(200_000).selectExpr("'a/b %' AS project", "concat('d', id, '/main.py') AS path", "'' AS content")
+    manifest = classify.scan_files(names)
+    blocks = flatten.flat_blocks(flatten._entrypoints(manifest))
+    assert blocks.count() == 4 and blocks.where(~F.endswith("text", F.lit("\n"))).count() == 3
+    for _ in range(2):  # a second time over the first
+        sinks.write_flat_text(blocks, str(tmp_path / "flat"))
+    rows = tables.read_flat_text(spark, str(tmp_path / "flat")).orderBy("part").collect()
+    listed = ", ".join(sorted((f"d{i}/main.py" for i in range(200_000)), key=lambda p: p))
+    assert {r.project for r in rows} == {"a/b %"}
+    assert "".join(r.text for r in rows) == f"entrypoints: {listed}\n"
+
+
+def test_long_texts_go_on_in_new_files(spark, tmp_path, monkeypatch):
+    rows = [("p", 4, b, f"é{b}\r\n" * 100) for b in range(20)] + [(None, 4, 0, ""), ("q", 4, 0, None), ("1", 0, 0, "x")]
+    blocks = spark.createDataFrame(rows, "project string, section int, block bigint, text string").coalesce(1)
+    monkeypatch.setattr(flattext, "FILE_BYTES", 1000)
+    cloudpickle.register_pickle_by_value(flattext)
+    try:
+        sinks.write_flat_text(blocks, str(tmp_path / "flat"))
+    finally:
+        cloudpickle.unregister_pickle_by_value(flattext)
+    found = tables.read_flat_text(spark, str(tmp_path / "flat")).orderBy("part").collect()
+    assert "".join(r.text for r in found if r.project == "p") == "".join(r[3] for r in rows[:20])
+    assert {r.project for r in found} >= {"p", "1"} and sum(r.project == "p" for r in found) > 5
+
+
+def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
+    good = spark.createDataFrame([("p", 0, 0, "kept")], "project string, section int, block bigint, text string")
+    sinks.write_flat_text(good, str(tmp_path / "flat"))
+    broken = F.when(F.col("block") == 7, F.raise_error(F.lit("lost"))).otherwise(F.lit("new"))
+    bad = spark.range(40).select(F.lit("p").alias("project"), F.lit(0).alias("section"), F.col("id").alias("block")).withColumn("text", broken)
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_flat_text(bad, str(tmp_path / "flat"))
+    left = [p for p in (tmp_path / "flat").rglob("*") if p.is_file()]
+    assert [p.read_text() for p in left] == ["kept"] and not list((tmp_path / "flat").glob("_job*"))
+
+
 def test_tree_of_a_project_without_files(spark):
     projects = spark.createDataFrame(
         [("p", "r", True, "none", True, "trusted", True, fixed.SEPARATOR)], schemas.PROJECTS
