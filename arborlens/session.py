@@ -11,8 +11,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Filters on a code tree decide which folders are opened.
-    "spark.sql.python.filterPushdown.enabled": "true",
     # Payloads are long: batches for Python are cut by size, not only by row count.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arborlens import schemas
 from arborlens.functions import paths, text
 from arborlens.session import hand_over
-from arborlens.sources.tree import Piece, TreeReader, TreeSource
+from arborlens.sources.tree import Piece, TreeReader
 
 
 #: Content that one task reads, about.
@@ -67,12 +67,6 @@ def read_tree(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return raw.withColumn("content", text.decode(F.col("content")))
 
 
-def scan_tree(spark: SparkSession, root: str, **options: str) -> DataFrame:
-    """A tree as the source ``codetree``: filters on ``project`` and on the start of ``path`` reach the listing."""
-    spark.dataSource.register(TreeSource)
-    return spark.read.format("codetree").options(**options).load(root)
-
-
 def read_flat_text(spark: SparkSession, path: str) -> DataFrame:
     """``(project, part, text)`` of texts that ``sinks.write_flat_text`` wrote: joined by ``part`` they are the text."""
     # With the type given, a project named 01 is not read as a number.

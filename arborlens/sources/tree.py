@@ -7,14 +7,11 @@ happen in tasks. A large flat folder is shared out by a hash of the names. With
 ``false`` no file is opened and the rows are ``(project, path, size)``. ``tables.read_tree`` lists a
 tree in rounds and deals the files to its own tasks, so one large project is no large task.
 
-Filters on the project (equal, in a list) and on the path (equal, beginning with) are pushed down, where the
-session allows it (``spark.sql.python.filterPushdown.enabled``): folders that cannot hold a wanted
-path are not opened.
-
 Options: ``projects`` (``true``: every folder under the root is a project, ``false``: the root is
 one), ``tasks``, ``extra_exclude`` (comma-separated globs), ``scan`` (``true``: leave out what a
 scan leaves out before any file is opened), ``only`` (comma-separated projects) and ``under`` (a path
-prefix), which do without any filter what a pushed filter does.
+prefix): folders that cannot hold a wanted path are not opened. These are options and not pushed filters
+because Spark 4.1 keeps the filters that one query pushed for the next query of the same load.
 """
 
 from __future__ import annotations
@@ -25,7 +22,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from arborlens.functions import fixed, globs
 from arborlens.operators.classify import ScanRules
@@ -118,18 +115,6 @@ class TreeReader(DataSourceReader):
         self.only: set[str] | None = set(only) if only else None
         self.prefixes = [p for p in [options.get("under", "")] if p]
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Take what narrows projects and paths. Everything is handed back too: Spark tests the few rows left."""
-        for given in filters:
-            match given:
-                case EqualTo(("project",), str(value)):
-                    self.only = {value} if self.only is None else self.only & {value}
-                case In(("project",), values):
-                    self.only = set(values) if self.only is None else self.only & set(values)
-                case EqualTo(("path",), str(value)) | StringStartsWith(("path",), str(value)):
-                    self.prefixes.append(value)
-            yield given
-
     def wants(self, folder: str) -> bool:
         """Whether paths below a folder can begin with every prefix."""
         inside = f"{folder}/" if folder else ""

@@ -2,7 +2,6 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import EqualTo, StringStartsWith
 
 from arborlens import schemas
 from arborlens.operators import classify, flatten, sequence
@@ -172,23 +171,20 @@ def test_large_flat_folders_are_shared_out(tmp_path, monkeypatch):
     assert all(r["content"].decode() == r["path"] for r in found)
 
 
-def test_filters_reach_the_listing(spark, tmp_path, monkeypatch):
+def test_only_wanted_folders_are_opened(spark, tmp_path, monkeypatch):
     for path in ("p1/a.py", "p1/src/b.py", "p1/src/deep/c.py", "p1/docs/d.md", "p2/a.py", "p3/src/e.py"):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(path)
     opened = []
     plain = tree.entries
     monkeypatch.setattr(tree, "entries", lambda root, folder: opened.append((root, folder)) or plain(root, folder))
-    reader = tree.TreeReader({"path": str(tmp_path), "projects": "true"})
-    given = [EqualTo(("project",), "p1"), StringStartsWith(("path",), "src/"), EqualTo(("size",), 3)]
-    assert list(reader.pushFilters(given)) == given
+    reader = tree.TreeReader({"path": str(tmp_path), "projects": "true", "only": "p1", "under": "src/"})
     found = [row["path"] for piece in reader.partitions() for batch in reader.read(piece) for row in batch.to_pylist()]
     assert sorted(found) == ["src/b.py", "src/deep/c.py"]
     assert {(r[len(str(tmp_path)) + 1 :], f.split("/")[0]) for r, f in opened} == {("", ""), ("p1", ""), ("p1", "src")}
-    scanned = tables.scan_tree(spark, str(tmp_path), projects="true")
-    one = scanned.where("project IN ('p1', 'p3') AND path LIKE 'src/%'")
-    assert sorted((r.project, r.path) for r in one.collect()) == [("p1", "src/b.py"), ("p1", "src/deep/c.py"), ("p3", "src/e.py")]
-    assert scanned.count() == 6
+    spark.dataSource.register(tree.TreeSource)
+    loaded = spark.read.format("codetree").options(projects="true", only="p1,p3", under="src/").load(str(tmp_path))
+    assert sorted((r.project, r.path) for r in loaded.collect()) == [("p1", "src/b.py"), ("p1", "src/deep/c.py"), ("p3", "src/e.py")]
     narrow = tables.read_tree(spark, str(tmp_path), projects="true", only="p2,p3", under="s")
     assert [(r.project, r.path) for r in narrow.collect()] == [("p3", "src/e.py")]
 
