@@ -310,6 +310,16 @@ def statements() -> dict[str, str]:
         "language_detect": with_steps([SF, LANGS, TYPED], "SELECT project, path, lang FROM typed"),
         "binary_filter": with_steps([SF, LANGS, TYPED], f"SELECT project, path FROM typed WHERE NOT {IS_BINARY}"),
         "exclude_filter": with_steps([SF], f"SELECT project, path FROM sf WHERE NOT {IS_EXCLUDED}"),
+        "project_excludes": with_steps(
+            [SF],
+            # The globs of ``views.PROJECT_EXCLUDES``, spelled out.
+            r"""SELECT project, path FROM sf WHERE project = 'p6' OR NOT (
+              regexp_matches(path, '^(.*/)?[^/]*\.test\.[^/]*$') OR regexp_matches(path, CASE project
+                WHEN 'p0' THEN '^src/.*$' WHEN 'p1' THEN '^lib/[^/]*/m[^/][^/]*1\.JS$' WHEN 'p2' THEN '^(.*/)?en/.*$'
+                WHEN 'p3' THEN '^src/m[^/]*3[^/]\.py$' WHEN 'p4' THEN '^d.*s/(.*/)?g[^/]*\.md$' ELSE '^(.*/)?main\.py$' END)
+              OR regexp_matches(path, CASE project WHEN 'p1' THEN '^src/node_modules/(.*/)?index\.js$' WHEN 'p2' THEN '^Make[^/]*$'
+                WHEN 'p3' THEN '^assets/m.*\.PNG$' WHEN 'p5' THEN '^app/.*$' ELSE '^no/such/file\.py$' END))""",
+        ),
         "prune_dirs": with_steps(
             [SF],
             # ``cmd/*`` covers the probe ``cmd/x``, so the whole folder goes.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arborlens.functions import fixed, paths, text, tokens
 from arborlens.operators import (
-    catalog, classify, fanout, flatten, graph, imports, ordering, reports, runs, sequence,
+    catalog, classify, excludes, fanout, flatten, graph, imports, ordering, reports, runs, sequence,
 )
 from arborlens.operators import manifest as mf
 from arborlens.plans import views
@@ -68,6 +68,13 @@ def exclude_filter(data):
     return data.files.where(~classify.is_excluded(F.col("path"))).select("project", "path")
 
 
+@query
+def project_excludes(data):
+    """Files that the excludes of their own project leave."""
+    files = data.files.select("project", "path")
+    return excludes.drop_excluded(files, data.sql(views.PROJECT_EXCLUDES, files=files))
+
+
 @query
 def prune_dirs(data):
     rules = classify.ScanRules(extra_exclude=("cmd/*", "app/fr/**"))

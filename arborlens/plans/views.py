@@ -95,6 +95,19 @@ SELECT page_id AS file_id, 'web' AS project, concat('page', CAST(page_id AS STRI
 FROM pages
 """
 
+# Excludes that each project keeps for itself.
+PROJECT_EXCLUDES = """
+SELECT DISTINCT s.project, CASE n.n
+         WHEN 0 THEN '**/*.test.*'
+         WHEN 1 THEN CASE s.project WHEN 'p0' THEN 'src/**' WHEN 'p1' THEN 'lib/*/m?*1.JS' WHEN 'p2' THEN '**/en/**'
+                       WHEN 'p3' THEN 'src/m*3?.py' WHEN 'p4' THEN 'd**s/**/g*.md' ELSE '**/main.py' END
+         WHEN 2 THEN CASE s.project WHEN 'p1' THEN 'src/node_modules/**/index.js' WHEN 'p2' THEN 'Make*'
+                       WHEN 'p3' THEN 'assets/m**.PNG' WHEN 'p5' THEN 'app/**' ELSE 'no/such/file.py' END
+       END AS pattern
+FROM files s, (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) n
+WHERE s.project <> 'p6'
+"""
+
 # A curated tree over the scanned files: top folders, second-level folders, files, and a group of globs.
 SEQUENCE_NODES = """
 WITH placed AS (
