@@ -160,4 +160,6 @@ DOCS_TITLE_UNVERIFIED = (
 SOURCE_TITLE = "═══ BEGIN SOURCE (authoritative) ═══"
 
 # Section titles that a synthesis must have.
-SYNTHESIS_TITLES = ("High-Confidence Findings", "Unique Findings", "Prioritized Action Items")
+SYNTHESIS_TITLES = (
+    "High-Confidence Findings", "Disputed or Divergent Areas", "Unique Findings", "Prioritized Action Items",
+)

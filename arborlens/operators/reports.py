@@ -23,16 +23,19 @@ TEXTS_PER_BLOCK = 200
 _BUNDLE_TAIL = f"""
 You are the editor of these reviews. Work claim by claim: note each claim with the file it is about and
 the reviewers who make it, check it against the passages they quote, and leave out what nobody can
-point to. Then write three parts.
+point to. Then write four parts.
 
 ## {fixed.SYNTHESIS_TITLES[0]}
 Claims that stand on two reviewers or more. Give the place in the code first, then who saw it.
-Where reviewers agree on a place and not on the remedy, write both remedies side by side.
 
 ## {fixed.SYNTHESIS_TITLES[1]}
-Claims of one reviewer that their quotation bears out, and what would settle the rest.
+Places that several reviewers look at and judge differently: the cause, the weight or the remedy. Put their
+readings side by side, each with its quotation, and name what a person would have to look up to decide.
 
 ## {fixed.SYNTHESIS_TITLES[2]}
+Claims of one reviewer that their quotation bears out, and what would settle the rest.
+
+## {fixed.SYNTHESIS_TITLES[3]}
 A numbered list to work through: the change, the file, the claims behind it.
 
 ---

@@ -271,6 +271,24 @@ reports AS (
          coalesce(CAST(json_extract(raw_response, '$.key_concerns') AS VARCHAR[]), []) AS concerns
   FROM checked WHERE has_report)"""
 CONCERNS = "raised AS (SELECT DISTINCT run_id, model, unnest(concerns) AS concern FROM reports)"
+# Concerns in words: every pair of a run is compared.
+WORDED = f"""worded AS (
+  SELECT DISTINCT run_id, model, concern FROM (
+    SELECT doc_id % 16 AS run_id, [{names(queries.MODELS)}][doc_id % 5 + 1] AS model,
+           concat(CASE WHEN doc_id % 3 = 0 THEN 'Note: ' ELSE '' END, line) AS concern
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '')),
+worded_sets AS (
+  SELECT DISTINCT run_id, concern,
+         list_distinct(list_filter(regexp_split_to_array(lower(concern), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS w FROM worded),
+alike AS (
+  SELECT a.run_id, a.concern AS a, b.concern AS b FROM worded_sets a JOIN worded_sets b
+    ON a.run_id = b.run_id AND a.concern <> b.concern AND len(a.w) > 0 AND len(b.w) > 0
+    AND 100 * least(len(a.w), len(b.w)) >= 60 * greatest(len(a.w), len(b.w))
+  WHERE 100 * len(list_intersect(a.w, b.w)) >= 60 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+near(run_id, concern, other) AS (
+  SELECT run_id, concern, concern FROM worded_sets
+  UNION SELECT n.run_id, n.concern, l.b FROM near n JOIN alike l ON l.run_id = n.run_id AND l.a = n.other),
+topics AS (SELECT run_id, concern, min(other) AS topic FROM near GROUP BY run_id, concern)"""
 PRICED = f"""gs AS ({views.GENERATION_STATS}),
 priced AS (SELECT rs.*, coalesce(gs.cost, 0.0) AS cost_usd FROM rs LEFT JOIN gs USING (generation_id))"""
 CONSULTED = """consulted AS (
@@ -521,6 +539,21 @@ def statements() -> dict[str, str]:
               CASE WHEN count(*) >= 2 THEN 'convergent' ELSE 'unique' END AS verdict,
               CASE WHEN count(*) >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM raised GROUP BY run_id, concern""",
         ),
+        "concern_topics": with_steps([WORDED], "SELECT run_id, md5(concern) AS concern, md5(topic) AS topic FROM topics"),
+        "topic_findings": with_steps(
+            [WORDED],
+            """SELECT run_id, md5(topic) AS topic, count(DISTINCT concern) AS n_concerns, count(DISTINCT model) AS n_models,
+              CASE WHEN count(DISTINCT model) >= 2 THEN 'convergent' ELSE 'unique' END AS verdict,
+              CASE WHEN count(DISTINCT model) >= 2 THEN 'high' ELSE 'medium' END AS confidence
+            FROM worded JOIN topics USING (run_id, concern) GROUP BY run_id, topic""",
+        ),
+        "disputed_areas": with_steps(
+            # The concerns of these reports are single words, so only equal ones are alike.
+            [RS, PARSED, CONCERNS],
+            """SELECT run_id, file, count(DISTINCT model) AS n_models, count(DISTINCT concern) AS n_topics
+            FROM (SELECT DISTINCT run_id, model, unnest(files) AS file FROM reports) JOIN raised USING (run_id, model)
+            GROUP BY run_id, file HAVING count(DISTINCT model) >= 2 AND count(*) = count(DISTINCT concern)""",
+        ),
         "finding_models": with_steps(
             [RS, PARSED, CONCERNS],
             """SELECT run_id, concern, model,

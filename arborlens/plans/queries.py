@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arborlens.functions import fixed, paths, text, tokens
 from arborlens.operators import (
-    catalog, classify, excludes, fanout, flatten, graph, imports, ordering, reports, runs, sequence,
+    catalog, classify, excludes, fanout, flatten, graph, imports, ordering, reports, runs, sequence, topics,
 )
 from arborlens.operators import manifest as mf
 from arborlens.plans import views
@@ -511,6 +511,35 @@ def consensus_findings(data):
     return reports.consensus_findings(parsed(data))
 
 
+def worded(data: views.Inputs) -> DataFrame:
+    """Lines of the documents as concerns in words: many runs, every document a review by one model."""
+    lines = data.table("documents").select(
+        (F.col("doc_id") % 16).alias("run_id"),
+        F.get(F.array(*map(F.lit, MODELS)), (F.col("doc_id") % 5).cast("int")).alias("model"),
+        F.when(F.col("doc_id") % 3 == 0, "Note: ").otherwise("").alias("opening"),
+        F.explode(F.split("text", "\n")).alias("line"),
+    )
+    return lines.where("line <> ''").select("run_id", "model", F.concat("opening", "line").alias("concern")).distinct()
+
+
+@query
+def concern_topics(data):
+    return topics.concern_topics(hand_over(worded(data), "raised")).select(
+        "run_id", F.md5("concern").alias("concern"), F.md5("topic").alias("topic")
+    )
+
+
+@query
+def topic_findings(data):
+    found = topics.topic_findings(hand_over(worded(data), "raised"))
+    return found.withColumn("topic", F.md5("topic"))
+
+
+@query
+def disputed_areas(data):
+    return topics.disputed_areas(parsed(data))
+
+
 @query
 def finding_models(data):
     return reports.finding_models(parsed(data))
