@@ -289,6 +289,19 @@ near(run_id, concern, other) AS (
   SELECT run_id, concern, concern FROM worded_sets
   UNION SELECT n.run_id, n.concern, l.b FROM near n JOIN alike l ON l.run_id = n.run_id AND l.a = n.other),
 topics AS (SELECT run_id, concern, min(other) AS topic FROM near GROUP BY run_id, concern)"""
+# Every mention is held against the end of every path.
+MENTIONED = f"""mentioned AS ({views.MENTIONS.replace("FROM files", "FROM sf")}),
+cleaned AS (SELECT *, regexp_replace(regexp_replace(mention, '(:12|#L4)$', ''), '^[.]/', '') AS part FROM mentioned),
+met AS (
+  SELECT m.run_id, m.project, m.model, m.mention, count(f.path) AS n_files, min(f.path) AS first,
+         count(f.path) FILTER (f.path = m.part) AS whole, any_value(m.part) AS part
+  FROM cleaned m LEFT JOIN sf f ON f.project = m.project AND (f.path = m.part OR ends_with(f.path, '/' || m.part))
+  GROUP BY m.run_id, m.project, m.model, m.mention),
+meant AS (
+  SELECT run_id, project, model, mention,
+         CASE WHEN whole > 0 THEN 'exact' WHEN n_files = 1 THEN 'unique' WHEN n_files > 1 THEN 'ambiguous' ELSE 'unknown' END AS status,
+         CASE WHEN whole > 0 THEN met.part WHEN n_files = 1 THEN first END AS path, n_files
+  FROM cleaned JOIN met USING (run_id, project, model, mention))"""
 PRICED = f"""gs AS ({views.GENERATION_STATS}),
 priced AS (SELECT rs.*, coalesce(gs.cost, 0.0) AS cost_usd FROM rs LEFT JOIN gs USING (generation_id))"""
 CONSULTED = """consulted AS (
@@ -572,6 +585,11 @@ def statements() -> dict[str, str]:
             """SELECT run_id, file, count(DISTINCT model) AS n_models
             FROM (SELECT run_id, model, unnest(files) AS file FROM reports) GROUP BY run_id, file""",
         ),
+        "mention_files": with_steps([SF, MENTIONED], "SELECT run_id, project, model, mention, status, path, n_files FROM meant"),
+        "mentioned_files": with_steps(
+            [SF, MENTIONED],
+            "SELECT run_id, path, count(DISTINCT model) AS n_models FROM meant WHERE path IS NOT NULL GROUP BY run_id, path",
+        ),
         "catalog_flatten": """SELECT concat(lower(replace(p_brand, '#', '-')), '/m', p_partkey) AS id, p_name AS name,
               CAST(p_size AS BIGINT) * 1000 AS context_length, CAST(concat(p_partkey % 40, 'e-6') AS DOUBLE) AS prompt_price,
               CAST(concat('0.', p_partkey % 90) AS DOUBLE) AS completion_price FROM part

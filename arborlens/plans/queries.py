@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arborlens.functions import fixed, paths, text, tokens
 from arborlens.operators import (
-    catalog, classify, excludes, fanout, flatten, graph, imports, ordering, reports, runs, sequence, topics,
+    catalog, classify, excludes, fanout, flatten, graph, imports, mentions, ordering, reports, runs, sequence, topics,
 )
 from arborlens.operators import manifest as mf
 from arborlens.plans import views
@@ -555,6 +555,18 @@ def file_mentions(data):
     return reports.file_mentions(parsed(data))
 
 
+@query
+def mention_files(data):
+    files = data.files.select("file_id", "project", "path")
+    return mentions.resolve_mentions(data.sql(views.MENTIONS, files=files), files)
+
+
+@query
+def mentioned_files(data):
+    files = data.files.select("file_id", "project", "path")
+    return mentions.mentioned_files(data.sql(views.MENTIONS, files=files), files)
+
+
 # Catalogue
 
 

@@ -108,6 +108,21 @@ FROM files s, (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) n
 WHERE s.project <> 'p6'
 """
 
+# Every file is mentioned once, in one of five spellings, by a run on some project.
+MENTIONS = r"""
+SELECT CAST(file_id % 16 AS BIGINT) AS run_id,
+       CASE WHEN file_id % 11 = 0 THEN 'p0' ELSE project END AS project,
+       CASE file_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS model,
+       CASE floor(file_id / 10.0) % 5
+         WHEN 0 THEN path
+         WHEN 1 THEN concat('./', path, ':12')
+         WHEN 2 THEN regexp_extract(path, '([^/]*)$', 1)
+         WHEN 3 THEN regexp_extract(path, '(([^/]*/)?[^/]*)$', 1)
+         ELSE concat(path, '#L4')
+       END AS mention
+FROM files
+"""
+
 # A curated tree over the scanned files: top folders, second-level folders, files, and a group of globs.
 SEQUENCE_NODES = """
 WITH placed AS (
