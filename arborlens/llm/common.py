@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from arborlens.session import hand_over
 
 SLICE_BYTES = 4 << 20
+#: For work that takes a hundred times the room of the text.
+SMALL_SLICE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -82,6 +84,14 @@ def in_slice_counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return counts[place], head
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_slots(df: DataFrame) -> int:
     """Slots for values that meet by hash: a few per shuffle partition, so they follow the cluster's setting."""
     return 4 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

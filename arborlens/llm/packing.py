@@ -33,7 +33,8 @@ from arborlens.session import hand_over
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_ENTRIES = 400_000
+#: Room for what an encoder remembers.
+CACHE_BYTES = 24 << 20
 
 # Fixed value: the published split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,9 +87,9 @@ _ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 class Encoder:
     """Ids of many texts: each distinct chunk of a slice is encoded once, frequent ones are remembered."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, room: int = CACHE_BYTES):
         self.encoding = load_encoding(path)
-        self.entries = entries
+        self.room = room
         self.line_end = self.encoding.encode_ordinary("\n")[0]
         self.known = np.zeros(0, np.uint64)
         self.first = np.zeros(0, np.int64)
@@ -137,7 +138,7 @@ class Encoder:
         pool = np.concatenate([self.ids, new_ids])
         first[miss] = len(self.ids) + np.cumsum(new_count) - new_count
         count[miss] = new_count
-        if len(self.known) < self.entries and len(miss):
+        if len(miss) and pool.nbytes + 24 * (len(self.known) + len(miss)) <= self.room:
             merged = np.concatenate([self.known, distinct[miss]])
             order = np.argsort(merged, kind="stable")
             self.known = merged[order]
@@ -164,7 +165,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key:
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(tokenizer)
-            for first, last, data, offsets in common.text_slices(batch.column(1)):
+            for first, last, data, offsets in common.text_slices(batch.column(1), common.SMALL_SLICE):
                 ids, counts = encoder.encode(data, offsets)
                 ends = np.cumsum(counts)
                 size = counts + 1

@@ -12,20 +12,28 @@ from __future__ import annotations
 import calendar
 import datetime
 import hashlib
+import ipaddress
 import re
+import secrets
 from bisect import bisect
 from collections.abc import Iterator
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Only for tests and examples; a real run passes a secret of its own.
-EXAMPLE_KEY = b"example key, not a secret"
+#: Setting of the session that holds the secret of a job.
+KEY_SETTING = "spark.arborlens.pseudonyms.key"
 ROUNDS = 8
 MEMORY = 50_000
 
 
+def job_key(spark: SparkSession) -> bytes:
+    """The secret in ``KEY_SETTING``. Without one a job draws its own: its values are linked, but nobody can undo them."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return hashlib.blake2b(named.encode()).digest() if named else secrets.token_bytes(32)
+
+
 def _feistel(x: int, a: int, b: int, key: bytes, tweak: bytes, back: bool) -> int:
     """One pass over ``[0, a * b)``: the halves, of ``a`` and ``b`` values, are shifted by turns."""
     left, right = divmod(x, b)
@@ -131,7 +139,7 @@ def _iban(value: str, key: bytes, back: bool) -> str | None:
     new, it = plain[:2] + f"{check:02d}" + account, 0
     out = []
     for c in value:
-        out.append(c if c == " " else new[it])
+        out.append(c if c == " " else new[it].lower() if value.islower() else new[it])
         it += c != " "
     return "".join(out)
 
@@ -149,16 +157,110 @@ def _date(value: str, key: bytes, back: bool) -> str | None:
         month, day, year = int(a), int(b), int(c)
     else:
         day, month, year = int(a), int(b), int(c)
-    if not 1900 <= year <= 2099 or not 1 <= month <= 12 or not 1 <= day <= calendar.monthrange(year, month)[1]:
+    new = _day(year, month, day, key, back)
+    if new is None:
         return None
-    rank = permute(datetime.date(year, month, day).toordinal() - _FIRST, _LAST - _FIRST + 1, key, b"date", back)
-    new = datetime.date.fromordinal(rank + _FIRST)
     y, m, d = f"{new.year}", f"{new.month:02d}", f"{new.day:02d}"
     return mark.join((y, m, d) if year_first else (m, d, y) if mark == "/" else (d, m, y))
 
 
-def _characters(value: str, key: bytes, tweak: bytes, back: bool) -> str:
-    """Permute within the pattern of small letters, capitals and digits; all else stays."""
+def _day(year: int, month: int, day: int, key: bytes, back: bool) -> datetime.date | None:
+    if not 1900 <= year <= 2099 or not 1 <= month <= 12 or not 1 <= day <= calendar.monthrange(year, month)[1]:
+        return None
+    rank = permute(datetime.date(year, month, day).toordinal() - _FIRST, _LAST - _FIRST + 1, key, b"date", back)
+    return datetime.date.fromordinal(rank + _FIRST)
+
+
+def _short_date(value: str, key: bytes, back: bool) -> str | None:
+    """``3.4.2021`` and ``4/3/2021``: no zeros before a number. The result may have two digits where the value has one."""
+    mark = "/" if "/" in value else "."
+    a, b, year = map(int, value.split(mark))
+    month, day = (a, b) if mark == "/" else (b, a)
+    new = _day(year, month, day, key, back)
+    return new and mark.join(map(str, (new.month, new.day, new.year) if mark == "/" else (new.day, new.month, new.year)))
+
+
+# Names of the months. How a date is written says which language it is in.
+_MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+_WRITTEN = {
+    "en": ("{d} {m} {y}", r"(?P<d>\d{1,2}) (?P<m>NAME) (?P<y>\d{4})"),
+    "en, month first": ("{m} {d}, {y}", r"(?P<m>NAME) (?P<d>\d{1,2}), (?P<y>\d{4})"),
+    "de": ("{d}. {m} {y}", r"(?P<d>\d{1,2})\. (?P<m>NAME) (?P<y>\d{4})"),
+    "fr": ("{d} {m} {y}", r"(?P<d>\d{1,2}) (?P<m>NAME) (?P<y>\d{4})"),
+    "es": ("{d} de {m} de {y}", r"(?P<d>\d{1,2}) de (?P<m>NAME) de (?P<y>\d{4})"),
+}
+_WRITTEN_FORMS = [(f, _MONTHS[n[:2]], re.compile(r.replace("NAME", "|".join(_MONTHS[n[:2]])))) for n, (f, r) in _WRITTEN.items()]
+_ANY_WRITTEN = "|".join(re.sub(r"\?P<[dmy]>", "?:", r.pattern) for *_, r in _WRITTEN_FORMS)
+
+
+def _written_date(value: str, key: bytes, back: bool) -> str | None:
+    """``12 March 2021``, ``March 12, 2021``, ``12. März 2021``, ``12 mars 2021``, ``12 de marzo de 2021``."""
+    for form, months, pattern in _WRITTEN_FORMS:
+        m = pattern.fullmatch(value)
+        if m and not m["d"].startswith("0"):
+            new = _day(int(m["y"]), months.index(m["m"]) + 1, int(m["d"]), key, back)
+            return new and form.format(d=new.day, m=months[new.month - 1], y=new.year)
+    return None
+
+
+#: Country codes of one and of two digits; all others have three.
+_CODES = {"1", "7"} | set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58".split())
+_CODES |= set("60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _national(number: str, code: str, key: bytes, back: bool) -> str:
+    """Digits behind the country code; the first one stays apart from 0 if it is, so the length says what is valid."""
+    zero = number[0] == "0"
+    first = 0 if zero else 10 ** (len(number) - 1)
+    n = 10 ** (len(number) - 1) if zero else 9 * 10 ** (len(number) - 1)
+    tweak = b"phone of " + code.encode() + bytes([len(number), zero])
+    return str(permute(int(number) - first, n, key, tweak, back) + first).zfill(len(number))
+
+
+def _foreign_phone(value: str, key: bytes, back: bool) -> str | None:
+    """A number with ``+`` and its country code, 8 to 15 digits in all. Code and length stay."""
+    digits = re.sub(r"\D", "", value)
+    code = next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3])
+    if not 8 <= len(digits) <= 15 or len(digits) - len(code) < 5:
+        return None
+    return _fill(value, code + _national(digits[len(code) :], code, key, back))
+
+
+def _french_phone(value: str, key: bytes, back: bool) -> str | None:
+    """``01 42 68 53 00`` is ``+33 1 42 68 53 00``."""
+    return _fill(value, "0" + _national(re.sub(r"\D", "", value)[1:], "33", key, back))
+
+
+def _address6(value: str, key: bytes, back: bool) -> str | None:
+    """In its shortest form an address is a number of 128 bits; written otherwise, its hex digits are permuted as they stand."""
+    try:
+        address = ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    if len(re.sub(":", "", value)) < 4:
+        return None
+    if value == address.compressed:
+        # The result is in its shortest form too, so it leads back.
+        return ipaddress.IPv6Address(permute(int(address), 2**128, key, b"ipv6", back)).compressed
+    digits = re.sub(":", "", value)
+    new = permute(int(digits, 16), 16 ** len(digits), key, b"ipv6" + re.sub("[^:]", "x", value).encode(), back)
+    it = iter(f"{new:0{len(digits)}X}" if value.upper() == value else f"{new:0{len(digits)}x}")
+    made = "".join(c if c == ":" else next(it) for c in value)
+    return made if made != ipaddress.IPv6Address(made).compressed and (value.upper() == value or value.lower() == value) else None
+
+
+def _characters(value: str, key: bytes, tweak: bytes, back: bool, fold: bool = False) -> str:
+    """Permute within the pattern of small letters, capitals and digits; all else stays.
+
+    With ``fold``, letters are permuted as small ones and get their case back, so values that differ in
+    case only stay linked.
+    """
+    shown, value = value, "".join(c.lower() if "A" <= c <= "Z" else c for c in value) if fold else value
     radix = [10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 1 for c in value]
     base = ["0" if "0" <= c <= "9" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else c for c in value]
     rank, n = 0, 1
@@ -167,35 +269,41 @@ def _characters(value: str, key: bytes, tweak: bytes, back: bool) -> str:
         n *= r
     rank = permute(rank, n, key, tweak + "".join(base).encode(), back)
     out = []
-    for r, b in zip(reversed(radix), reversed(base)):
+    for r, b, c in zip(reversed(radix), reversed(base), reversed(shown)):
         rank, digit = divmod(rank, r)
-        out.append(chr(ord(b) + digit))
+        new = chr(ord(b) + digit)
+        out.append(new.upper() if fold and "A" <= c <= "Z" else new)
     return "".join(reversed(out))
 
 
 def _email(value: str, key: bytes, back: bool) -> str | None:
-    """Name and host labels are permuted; the last two labels of the domain stay."""
+    """Name and host labels are permuted; the last two labels of the domain stay. Case stays and counts for nothing."""
     name, _, domain = value.rpartition("@")
     labels = domain.split(".")
     hosts, rest = ".".join(labels[:-2]), ".".join(labels[-2:])
-    name = _characters(name, key, b"name", back)
-    return f"{name}@{_characters(hosts, key, b'host', back)}.{rest}" if hosts else f"{name}@{rest}"
+    name = _characters(name, key, b"name", back, fold=True)
+    return f"{name}@{_characters(hosts, key, b'host', back, fold=True)}.{rest}" if hosts else f"{name}@{rest}"
 
 
 def _secret(value: str, key: bytes, back: bool) -> str | None:
     return _characters(value, key, b"secret", back)
 
 
-#: Kinds in the order they are tried at a place. Groups named ``<kind>`` hold the value.
+#: Kinds in the order they are tried at a place. A group named after the kind holds the value.
 KINDS = {
     "email": (r"(?<![\w.+%-])(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", _email),
     "secret": (r"(?<![A-Za-z0-9])AKIA(?P<secret>[0-9A-Z]{16})(?![A-Za-z0-9])", _secret),
     "entry": (r"(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<entry>[A-Za-z0-9_\-]{8,})", _secret),
-    "iban": (r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", _iban),
+    "iban": (r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)(?![A-Za-z0-9])", _iban),
     "date": (r"(?<![\d./-])(?P<date>\d{4}([-./])\d{2}\2\d{2}|\d{2}([-./])\d{2}\3\d{4})(?![\d/-])", _date),
+    "short date": (r"(?<![\w./-])(?P<short_date>(?:[1-9]|[123]\d)\.(?:[1-9]|1[0-2])\.\d{4}|(?:[1-9]|1[0-2])/(?:[1-9]|[123]\d)/\d{4})(?![\w/-]|\.\d)", _short_date),
+    "written date": (rf"(?<![\w./-])(?P<written_date>{_ANY_WRITTEN})(?!\w)", _written_date),
+    "ipv6": (r"(?<![\w:.])(?P<ipv6>(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:]|\.\d)", _address6),
     "ipv4": (r"(?<![\d.])(?P<ipv4>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)", _address),
     "ssn": (r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])", _ssn),
     "phone": (r"(?<![\d+])(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)", _phone),
+    "foreign phone": (r"(?<![\w+])(?P<foreign_phone>\+[1-9]\d{0,2}(?:[ .-]?(?:\(\d{1,5}\)|\d{1,12})){1,6})(?!\d)", _foreign_phone),
+    "French phone": (r"(?<![\d.+-])(?P<French_phone>0[1-9](?: \d\d){4}|0[1-9](?:\.\d\d){4})(?![ .]?\d)", _french_phone),
     # All groups of digits that stand together; see ``_card_spans``.
     "card": (r"(?<!\d)(?P<card>\d(?:[ -]?\d){12,})(?!\d)", _card),
 }
@@ -233,11 +341,11 @@ def _spans(kind: str, text: str) -> Iterator[tuple[int, int]]:
         if kind == "card":
             yield from _card_spans(text, *m.span(kind))
         else:
-            yield m.span(kind)
+            yield m.span(kind.replace(" ", "_"))
 
 
 def pseudonymize(
-    text: str | None, key: bytes = EXAMPLE_KEY, back: bool = False, memory: dict[tuple[str, str], str | None] | None = None
+    text: str | None, key: bytes, back: bool = False, memory: dict[tuple[str, str], str | None] | None = None
 ) -> tuple[str | None, list[tuple[int, int, str]]]:
     """The text with every valid value replaced, and the spans ``(start, end, kind)`` of the values.
 
@@ -279,7 +387,7 @@ def pseudonymize(
     return "".join(out), spans
 
 
-def restore(text: str, spans: list[tuple[int, int, str]], key: bytes = EXAMPLE_KEY) -> str:
+def restore(text: str, spans: list[tuple[int, int, str]], key: bytes) -> str:
     """The text before ``pseudonymize``, by its spans: exact also where numbers beside a card could be part of one."""
     out, last = [], 0
     for a, b, kind in spans:
@@ -288,7 +396,7 @@ def restore(text: str, spans: list[tuple[int, int, str]], key: bytes = EXAMPLE_K
     return "".join([*out, text[last:]])
 
 
-def pseudonymize_documents(docs: DataFrame, key: bytes = EXAMPLE_KEY, text: str = "text") -> DataFrame:
+def pseudonymize_documents(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten and ``pii_spans`` added; one narrow stage.
 
     ``pii_spans`` is an array of ``(start, end, kind)`` in characters of the new text, empty where

@@ -53,16 +53,14 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of ``STATISTICS`` per text of a slice; an empty text has zeros."""
     n = len(offsets) - 1
     size = np.diff(offsets)
-    counts = np.zeros((n, 256))
-    owner = np.repeat(np.arange(n), size)
-    for first in range(0, n, 2048):  # the table of counts stays small beside the texts
-        last = min(n, first + 2048)
-        part = slice(offsets[first], offsets[last])
-        cells = (owner[part] - first) * 256 + data[part]
-        counts[first:last] = np.bincount(cells, minlength=(last - first) * 256).reshape(-1, 256)
-    share = counts / np.maximum(size, 1)[:, None]
-    kinds = share @ _CLASSES
-    entropy = -np.sum(np.where(share > 0, share * np.log(np.where(share > 0, share, 1)), 0), 1)
+    kinds, entropy = np.zeros((n, _CLASSES.shape[1])), np.zeros(n)
+    for first in range(0, n, 512):  # the table of shares stays small beside the texts
+        last = min(n, first + 512)
+        owner = np.repeat(np.arange(0, (last - first) * 256, 256, dtype=np.int32), size[first:last])
+        cells = owner + data[offsets[first] : offsets[last]]
+        share = np.bincount(cells, minlength=(last - first) * 256).reshape(-1, 256) / np.maximum(size[first:last], 1)[:, None]
+        kinds[first:last] = share @ _CLASSES
+        entropy[first:last] = -np.sum(share * np.log(np.where(share > 0, share, 1)), 1)
 
     start, end, doc = common.find_words(data, offsets)
     words = np.bincount(doc, minlength=n)
@@ -117,7 +115,7 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in common.text_slices(batch.column(1)):
+            for first, last, data, offsets in common.text_slices(batch.column(1), common.SMALL_SLICE):
                 found = measure(data, offsets)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel())
@@ -276,7 +274,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in common.text_slices(batch.column(at)):
+            for first, last, data, offsets in common.text_slices(batch.column(at), common.SMALL_SLICE):
                 good = model.score(measure(data, offsets)) >= least
                 yield batch.slice(first, last - first).filter(pa.array(good))
 

@@ -40,9 +40,9 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_line_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents without recurring lines: ``doc_id, text, n_lines, n_dropped``; by the rule of ``LINES_SQL``."""
+    """Documents without recurring lines: ``doc_id, text, n_lines, n_dropped``."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return templates.drop_recurring_lines(docs, sure="")
+    return templates.drop_recurring_lines(docs)
 
 
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,9 +74,9 @@ def op6_near_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with validated values replaced: ``doc_id, text, n_values``."""
+    """Documents with validated values replaced: ``doc_id, text, n_values``. The secret is a setting of the session."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymize_documents(docs).select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_values"))
+    return pseudonyms.pseudonymize_documents(docs, pseudonyms.job_key(spark)).select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_values"))
 
 
 def op8_embeddings(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,17 +140,26 @@ LINES_SQL = r"""
   source AS (SELECT doc_id, text FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
   cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
                  unnest(range(len(string_split(text, chr(10))))) AS line FROM source),
-  tokens AS (SELECT doc_id, line, string_split(trim(regexp_replace(regexp_replace(raw,
-                 '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '*', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g')), ' ') AS t FROM cut),
+  plain AS (SELECT doc_id, line, string_split(trim(regexp_replace(raw, '[\x20\x09\x0B-\x0D]+', ' ', 'g')), ' ') AS p FROM cut),
+  masked AS (SELECT doc_id, line, p, list_transform(p, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS t FROM plain),
+  tokens AS (SELECT *, len(list_filter(t, lambda x: x <> '*')) AS words,
+                    words = len(t) OR (len(t) >= 10 AND 2 * words >= len(t)) AS firm FROM masked),
+  pieces AS (
+    SELECT doc_id, line, t, words, 's' || k AS k, 2 + floor((len(t) - 2) * k / 4.0)::INT AS a, 2 + floor((len(t) - 2) * (k + 1) / 4.0)::INT AS b
+    FROM tokens, range(4) AS r(k) WHERE len(t) >= 10
+    UNION ALL
+    SELECT doc_id, line, t, words, 't' || k, k::INT, k::INT + 1 FROM tokens, range(2, 9) AS r(k) WHERE len(t) >= 5 AND len(t) < 10 AND k < len(t)),
   forms AS (
-    SELECT doc_id, line, concat_ws('|', len(t), 0, array_to_string(t, ' ')) AS form FROM tokens WHERE len(t) >= 2
+    SELECT doc_id, line, concat_ws('|', 'm', array_to_string(t, ' ')) AS form, firm FROM tokens WHERE len(t) >= 2
+    UNION ALL
+    SELECT doc_id, line, concat_ws('|', 'p', array_to_string(p, ' ')), true FROM tokens
+    WHERE (len(t) >= 2 AND NOT firm) OR (len(t) = 1 AND octet_length(encode(p[1])) >= 12)
     UNION ALL
-    SELECT doc_id, line, concat_ws('|', len(t), k + 1,
-           coalesce(array_to_string(t[1:2 + floor((len(t) - 2) * k / 4.0)::INT], ' '), ''),
-           coalesce(array_to_string(t[3 + floor((len(t) - 2) * (k + 1) / 4.0)::INT:], ' '), '')) AS form
-    FROM tokens, range(4) AS r(k) WHERE len(t) >= 10),
-  seen AS (SELECT form, doc_id, min(line) AS line FROM forms GROUP BY ALL),
-  recurring AS (SELECT form, min(doc_id) AS first_doc FROM seen GROUP BY form HAVING count(*) >= 4),
+    SELECT doc_id, line, concat_ws('|', k, len(t), coalesce(array_to_string(t[1:a], ' '), ''), coalesce(array_to_string(t[b + 1:], ' '), '')),
+           len(t) >= 10 AND 2 * len(list_filter(list_concat(t[1:a], t[b + 1:]), lambda x: x <> '*')) >= len(t)
+    FROM pieces),
+  seen AS (SELECT form, firm, doc_id, min(line) AS line FROM forms GROUP BY ALL),
+  recurring AS (SELECT form, min(doc_id) AS first_doc FROM seen GROUP BY form, firm HAVING count(*) >= CASE WHEN firm THEN 2 ELSE 4 END),
   gone AS (
     SELECT DISTINCT f.doc_id, f.line FROM forms f JOIN recurring r USING (form)
       JOIN seen s ON s.form = f.form AND s.doc_id = f.doc_id

@@ -51,17 +51,6 @@ def rendezvous(keys: np.ndarray, weights: Sequence[float], names: Sequence[int]
     return shard
 
 
-def _fresh(df: DataFrame, *names: str) -> list[str]:
-    """``names``, each longer by an underscore until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def assign(rows: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, added: float | None = 1.0) -> DataFrame:
     """``rows`` with ``shard`` and ``grown_shard``, the shard with one more of weight ``added`` (null without).
 
@@ -72,7 +61,7 @@ def assign(rows: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0
         raise ValueError("at least one shard needs a weight above zero")
     weights = [float(w) for w in weights]
     rows = rows.drop("shard", "grown_shard")
-    (digest,) = _fresh(rows, "_key")
+    digest = common.fresh(rows, "_key")
     # A digest that other engines have too; the first eight bytes are the key's number.
     keyed = rows.withColumn(digest, F.expr(f"unhex(substring(md5(coalesce(CAST(`{key}` AS STRING), '')), 1, 16))"))
 

@@ -2,11 +2,11 @@
 
 A line goes down the tree by its number of tokens and then by its leading tokens, where a token with
 a digit is a variable field. In the leaf the rest of the line is generalised: besides the line with
-its digit fields masked, one form for each of ``SEGMENTS`` parts of the rest with this part masked.
-Two lines that differ within one part, in at most the share 1 / ``SEGMENTS`` of the rest, have a form
+its digit fields masked, a long line has one form for each of ``SEGMENTS`` parts of the rest with this part
+masked, a shorter one a form for each single token of the rest. Two lines that differ within one part have a form
 in common: their template. A template that says enough by itself (no masked field at all, or a long line
 with as many words as masked ones) recurs from ``SURE_DOCS`` documents on, any other from ``MIN_DOCS`` on.
-Lines without such a form of their own have one with nothing masked, and so have lines of one long token
+Lines whose own form is not a sure one have one more with nothing masked, and so have lines of one long token
 (a link, or text without blanks). Lines of recurring templates are dropped, but for the first one (by
 document and line), so one copy of everything stays.
 
@@ -28,24 +28,23 @@ from arborlens.session import hand_over
 
 LEAD = 2
 SEGMENTS = 4
-#: Shorter lines have no parts to mask, only their digit fields.
+#: Shorter lines have no parts to mask but single tokens, and from ``MIN_SINGLE`` tokens on only.
 MIN_SEGMENTED = 10
+MIN_SINGLE = 5
 MIN_TOKENS = 2
 #: A line of one token has a form from so many bytes on: four Chinese characters, about two words.
 MIN_BYTES = 12
 MIN_DOCS = 4
 SURE_DOCS = 2
-#: Which forms are sure.
-LONG, ONE_TOKEN = "exact and long", "one token"
 
 _HAS_DIGIT = np.zeros(256, bool)
 _HAS_DIGIT[ord("0") : ord("9") + 1] = True
 
 
-def template_forms(data: np.ndarray, offsets: np.ndarray, sure: str = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def template_forms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Form hash, text number and line number of every form of every line of a slice.
 
-    With ``sure``, the last bit of a hash is set if the form is a sure one, and exact forms are added.
+    The last bit of a hash is set if the form is a sure one.
     """
     start, end, doc = common.find_words(data, offsets)
     tokens = common.hash_spans(data, start, end)
@@ -54,16 +53,14 @@ def template_forms(data: np.ndarray, offsets: np.ndarray, sure: str = LONG) -> t
     # A field with a digit is a variable one and reads as an asterisk.
     one = np.frombuffer(b"*", np.uint8)
     field = common.hash_spans(one, np.array([0]), np.array([1]))[0]
-    plain = tokens.copy() if sure else tokens
+    plain = tokens.copy()
     tokens[digits[end] > digits[start]] = field
     breaks = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data == ord("\n"), out=breaks[1:])
     line = breaks[start] - breaks[offsets[doc]]
     head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])][: len(doc)])
     size = np.diff(np.r_[head, len(doc)])
-    enough = size >= MIN_TOKENS
-    if sure:
-        enough |= (end - start)[head] >= MIN_BYTES
+    enough = (size >= MIN_TOKENS) | ((end - start)[head] >= MIN_BYTES)
     head, size = head[enough], size[enough]
     up, down = common.powers(len(tokens) + 1)
 
@@ -83,28 +80,37 @@ def template_forms(data: np.ndarray, offsets: np.ndarray, sure: str = LONG) -> t
     first, n = head[several], size[several]
     words = said[first + n] - said[first]
     forms, at = [run(first, first + n)], [several]
-    firm = [(sure == LONG) & ((words == n) | ((n >= MIN_SEGMENTED) & (2 * words >= n)))]
-    if sure:
-        left = np.r_[several[~firm[0] & (sure == LONG)], np.flatnonzero(size < MIN_TOKENS)]
-        forms.append(common.mix(run(head[left], head[left] + size[left], sums(plain)) ^ np.uint64(0x632BE59BD9B4E019)))
-        at.append(left)
-        firm.append(np.ones(len(left), bool))
+    firm = [(words == n) | ((n >= MIN_SEGMENTED) & (2 * words >= n))]
+    left = np.r_[several[~firm[0]], np.flatnonzero(size < MIN_TOKENS)]
+    forms.append(common.mix(run(head[left], head[left] + size[left], sums(plain)) ^ np.uint64(0x632BE59BD9B4E019)))
+    at.append(left)
+    firm.append(np.ones(len(left), bool))
+
+    def without(lines: np.ndarray, a: np.ndarray, b: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """Add the forms of ``lines`` with tokens ``a`` to ``b`` masked; how many words are left in each."""
+        first, n = head[lines], size[lines]
+        parts = run(first, a) * np.uint64(0x9E3779B97F4A7C15) + run(b, first + n) * np.uint64(0xC2B2AE3D27D4EB4F)
+        forms.append(common.mix(parts + tag.astype(np.uint64)))
+        at.append(lines)
+        return said[a] - said[first] + said[first + n] - said[b]
+
     long_ = np.flatnonzero(size >= MIN_SEGMENTED)
     first, n = head[long_], size[long_]
     for k in range(SEGMENTS):
         a = first + LEAD + (n - LEAD) * k // SEGMENTS
         b = first + LEAD + (n - LEAD) * (k + 1) // SEGMENTS
-        parts = run(first, a) * np.uint64(0x9E3779B97F4A7C15) + run(b, first + n) * np.uint64(0xC2B2AE3D27D4EB4F)
-        forms.append(common.mix(parts + (n * (SEGMENTS + 1) + k + 1).astype(np.uint64)))
-        at.append(long_)
-        firm.append((sure == LONG) & (2 * (said[a] - said[first] + said[first + n] - said[b]) >= n))
+        firm.append(2 * without(long_, a, b, n * (SEGMENTS + 1) + k + 1) >= n)
+    for k in range(LEAD, MIN_SEGMENTED - 1):
+        short = np.flatnonzero((size >= MIN_SINGLE) & (size < MIN_SEGMENTED) & (size > k))
+        a = head[short] + k
+        without(short, a, a + 1, size[short] * 1024 + k)
+        firm.append(np.zeros(len(short), bool))
     at, forms = np.concatenate(at), np.concatenate(forms)
-    if sure:
-        forms = (forms & ~np.uint64(1)) | np.concatenate(firm).astype(np.uint64)
+    forms = (forms & ~np.uint64(1)) | np.concatenate(firm).astype(np.uint64)
     return forms, doc[head[at]], line[head[at]]
 
 
-def line_forms(docs: DataFrame, key: str, text: str, sure: str = LONG) -> DataFrame:
+def line_forms(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(form, _doc, line)`` of every line that has a form; ``line`` counts from 0."""
     rows = docs.where(F.col(key).isNotNull()).select(key, text)
 
@@ -112,7 +118,7 @@ def line_forms(docs: DataFrame, key: str, text: str, sure: str = LONG) -> DataFr
         for batch in batches:
             for first, last, data, offsets in common.text_slices(batch.column(1)):
                 if len(data):
-                    forms, doc, line = template_forms(data, offsets, sure)
+                    forms, doc, line = template_forms(data, offsets)
                     keys = batch.column(0).slice(first, last - first).take(pa.array(doc))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(forms.astype(np.int64)), keys, pa.array(line.astype(np.int32))], names=["form", "_doc", "line"]
@@ -121,21 +127,18 @@ def line_forms(docs: DataFrame, key: str, text: str, sure: str = LONG) -> DataFr
     return rows.mapInArrow(run, f"form long, _doc {rows.schema[key].dataType.simpleString()}, line int")
 
 
-def drop_recurring_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, sure: str = LONG
-) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``text`` less its recurring lines, and ``n_lines``, ``n_dropped`` added.
 
-    Documents are counted by key, and the first line of a form is the first one of the smallest key; rows
-    that repeat a key should repeat its text. A null key or text is left as it is; an empty text has one
-    line, which is kept. If all lines go, the text is empty. Columns named ``n_lines`` or ``n_dropped``
-    are replaced. ``SURE_DOCS`` documents are enough for exact and long forms. With ``sure=ONE_TOKEN`` they are for
-    lines of one token only, and any other form waits for ``min_docs``; with an empty ``sure`` all forms wait,
-    and a line of one token has none.
+    Documents are counted by key, and the first line of a form is the first one of the smallest key. Rows
+    that repeat a key are one document to that count; a line number that goes from one of them goes from all.
+    A null key or text is left as it is; an empty text has one line, which is kept. If all lines go, the
+    text is empty. Columns named ``n_lines`` or ``n_dropped`` are replaced. ``SURE_DOCS`` documents
+    are enough for sure forms, ``min_docs`` for others.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    forms = line_forms(docs, key, text, sure)
-    needed = F.when(F.col("form").bitwiseAND(1) == 1, min(SURE_DOCS, min_docs)).otherwise(min_docs) if sure else F.lit(min_docs)
+    forms = line_forms(docs, key, text)
+    needed = F.when(F.col("form").bitwiseAND(1) == 1, min(SURE_DOCS, min_docs)).otherwise(min_docs)
     # The line where a form first stands in a document; a partial aggregate, as the count of documents.
     seen = forms.groupBy("form", "_doc").agg(F.min("line").alias("_line"))
     recurring = (
@@ -147,15 +150,17 @@ def drop_recurring_lines(
     other = hits.where("_doc <> _first_doc").select("_doc", "line")
     later = hits.where("_doc = _first_doc").join(firsts, ["form", "_doc"]).where("line > _keep").select("_doc", "line")
     # A list holds lines of one document, as its text does.
-    dropped = other.union(later).groupBy("_doc").agg(F.collect_set("line").alias("_gone"))
-    parts = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_gone")
-    joined = docs.join(dropped, docs[key] == dropped["_doc"], "left").select(*[docs[c] for c in docs.columns], "_gone")
-    gone = F.col("_gone").isNotNull()
+    gone, parts = (common.fresh(docs, name) for name in ("_gone", "_parts"))
+    dropped = other.union(later).groupBy("_doc").agg(F.collect_set("line").alias(gone))
+    dropped = dropped.withColumnRenamed("_doc", owner := common.fresh(docs, "_doc"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    joined = docs.join(dropped, docs[key] == dropped[owner], "left")
+    found = F.col(gone).isNotNull()
     return (
-        joined.withColumn("_parts", parts)
-        .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("_parts")).cast("long"))
-        .withColumn("n_dropped", F.when(gone, F.size("_gone")).otherwise(0).cast("long"))
-        .withColumn(text, F.when(gone, F.concat_ws("\n", F.transform(kept, lambda i: F.col("_parts")[i]))).otherwise(F.col(text)))
+        joined.withColumn(parts, F.split(F.col(text), "\n"))
+        .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"))
+        # A row that repeats a key may have fewer lines.
+        .withColumn("n_dropped", F.when(found, F.size(parts) - F.size(kept)).otherwise(0).cast("long"))
+        .withColumn(text, F.when(found, F.concat_ws("\n", F.transform(kept, lambda i: F.col(parts)[i]))).otherwise(F.col(text)))
         .select(*docs.columns, "n_lines", "n_dropped")
     )
