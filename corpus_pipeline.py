@@ -20,27 +20,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; those that consisted of such lines only go.
-
-    Lines of more than one token wait for ``MIN_DOCS`` documents here.
-    """
-    lean = templates.drop_recurring_lines(docs, sure=templates.ONE_TOKEN)
+    """Documents without recurring lines; those that consisted of such lines only go."""
+    lean = templates.drop_recurring_lines(docs)
     left = F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_dropped") == 0)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return lean.where(left).withColumn("n_chars", n_chars.cast("long")).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies. Rows without an id stay."""
+    """One document, that of the smallest id, of each group of near copies. Rows without an id stay.
+
+    Rows that are equal in id and text are one; an id that stays keeps all its texts.
+    """
     found = near.near_components(docs.where("doc_id IS NOT NULL"))
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with validated numbers, dates and addresses replaced by pseudonyms."""
-    changed = pseudonyms.pseudonymize_documents(docs)
+    """Documents with validated numbers, dates and addresses replaced by pseudonyms; see ``pseudonyms.KEY_SETTING``."""
+    changed = pseudonyms.pseudonymize_documents(docs, pseudonyms.job_key(spark))
     n_chars = F.when(F.size("pii_spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return changed.withColumn("n_chars", n_chars.cast("long")).select(*docs.columns)
 
