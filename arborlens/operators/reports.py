@@ -16,9 +16,8 @@ REPORT = (
 )
 LISTS = ("files_referenced", "key_concerns", "key_strengths")
 
-# Names per block of the bundle, so that a run with any number of models can be assembled.
-NAMES_PER_BLOCK = 50_000
-TEXTS_PER_BLOCK = 200
+# A block of the bundle has less than twice so many characters, whatever the number and length of texts and names.
+BLOCK_CHARS = 4_000_000
 
 _BUNDLE_TAIL = f"""
 You are the editor of these reviews. Work claim by claim: note each claim with the file it is about and
@@ -43,6 +42,9 @@ A numbered list to work through: the change, the file, the claims behind it.
 """
 
 
+#: What stands before, between and after model, text and model again.
+_FRAME = ("=== CONSULTATION FROM: ", " ===\n\n", "\n\n=== END ", " ===\n")
+
 # The text is parsed inside ``{"d":[[ ... ]]}``: the parser stops at the end of the first value, and
 # the closing brackets, which no part of themselves can stand in for, make it see what follows.
 _PARSED = (
@@ -145,7 +147,9 @@ def matrix_column(model: str) -> str:
 
 
 def load_consultations(responses: DataFrame, completed_only: bool = False) -> DataFrame:
-    """Texts of a run in the order of their file names: ``(run_id, pos, model, text)``.
+    """Texts of a run in the order of their file names: ``(run_id, pos, model, text, before, before_names)``.
+
+    ``before`` and ``before_names`` are the characters that earlier framed texts and names take.
 
     Texts of failed models count unless ``completed_only``. Models whose file names coincide share
     one text, that of the last request (by ``pos``, if given). The order includes the ending of the
@@ -158,16 +162,22 @@ def load_consultations(responses: DataFrame, completed_only: bool = False) -> Da
     files = responses.groupBy("run_id", F.concat(key, F.lit(".md")).alias("file")).agg(
         F.max_by(F.col("raw_response"), rank).alias("text")
     )
-    numbered = number_rows(files.select("run_id", "file"), ["run_id"], ["file"])
     model = paths.model_from_key(F.regexp_replace("file", r"\.md\z", ""))
-    return numbered.join(files, ["run_id", "file"]).select("run_id", "pos", model.alias("model"), "text")
+    # Sizes are known before the texts move: a text with its frame, and a name with its comma.
+    sizes = files.select(
+        "run_id", "file",
+        (F.coalesce(F.length("text"), F.lit(0)) + 2 * F.length(model) + sum(map(len, _FRAME)) + 1).alias("size"),
+        (F.length(model) + 2).alias("name_size"),
+    )
+    numbered = number_rows(sizes, ["run_id"], ["file"], running={"before": "size", "before_names": "name_size"})
+    return numbered.join(files, ["run_id", "file"]).select("run_id", "pos", model.alias("model"), "text", "before", "before_names")
 
 
-def consultation_parts(consultations: DataFrame) -> DataFrame:
+def consultation_parts(consultations: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The bundle of a run as parts ``(run_id, section, block, item, text)``.
 
     Section 0 opens with the number of texts, section 1 lists the models, section 2 states the
-    task, section 3 frames each text.
+    task, section 3 frames each text. Blocks are cut by size, and a text longer than a block into pieces.
     """
     zero = F.lit(0).cast("bigint")
 
@@ -180,23 +190,28 @@ def consultation_parts(consultations: DataFrame) -> DataFrame:
     runs = consultations.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     opening = F.concat(F.lit("Synthesize "), F.col("n").cast("string"), F.lit(" code review consultations by: "))
     glue = F.when(F.col("pos") == 0, "").otherwise(", ")
-    names_block = F.expr(f"pos div {NAMES_PER_BLOCK}")
-    texts_block = F.expr(f"pos div {TEXTS_PER_BLOCK}")
-    frame = F.concat(
-        F.lit("=== CONSULTATION FROM: "), "model", F.lit(" ===\n\n"),
-        "text",
-        F.lit("\n\n=== END "), "model", F.lit(" ===\n"),
-    )
+    frame = F.concat(F.lit(_FRAME[0]), "model", F.lit(_FRAME[1]), "text", F.lit(_FRAME[2]), "model", F.lit(_FRAME[3]))
     # An empty line separates framed texts.
     newline = F.when(F.col("pos") == 0, "").otherwise("\n")
+
+    def cut(value: Column, before: str) -> DataFrame:
+        """Pieces of a value, none longer than a block, and the place where each begins."""
+        whole = consultations.select("run_id", before, value.alias("_value"))
+        start = F.explode(F.sequence(F.lit(0), F.greatest(F.length("_value") - 1, F.lit(0)), F.lit(block_chars)))
+        pieces = whole.select("run_id", before, "_value", start.alias("_start"))
+        return pieces.select(
+            "run_id", (F.col(before) + F.col("_start")).alias("_at"), F.substring("_value", F.col("_start") + 1, F.lit(block_chars)).alias("_piece")
+        )
+
+    place = F.expr(f"_at div {block_chars}")
     return (
         runs.select(*part(0, zero, zero, opening))
-        .unionByName(consultations.select(*part(1, names_block, F.col("pos"), F.concat(glue, "model"))))
+        .unionByName(cut(F.concat(glue, "model"), "before_names").select(*part(1, place, F.col("_at"), F.col("_piece"))))
         .unionByName(runs.select(*part(2, zero, zero, F.lit("\n" + _BUNDLE_TAIL))))
-        .unionByName(consultations.select(*part(3, texts_block, F.col("pos"), F.concat(newline, frame))))
+        .unionByName(cut(F.concat(newline, frame), "before").select(*part(3, place, F.col("_at"), F.col("_piece"))))
     )
 
 
-def consultation_bundle(consultations: DataFrame) -> DataFrame:
+def consultation_bundle(consultations: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Blocks of the bundle of each run; the bundle is their concatenation in order."""
-    return assemble(consultation_parts(consultations), ["run_id", "section", "block"])
+    return assemble(consultation_parts(consultations, block_chars), ["run_id", "section", "block"])

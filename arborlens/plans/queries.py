@@ -469,7 +469,7 @@ def run_cost(data):
 
 @query
 def load_consultations(data):
-    return reports.load_consultations(data.responses)
+    return reports.load_consultations(data.responses).select("run_id", "pos", "model", "text")
 
 
 @query

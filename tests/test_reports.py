@@ -74,17 +74,18 @@ def test_consultations(spark):
     assert [r.model for r in done] == ["a", "x/y"]
 
 
-def test_bundle(spark, monkeypatch):
+def test_bundle(spark):
     frame = responses(spark, [("r", "model-a", "complete", "Report A content"), ("r", "model-b", "complete", "Report B\n")])
     consulted = reports.load_consultations(frame)
 
-    def text():
-        blocks = reports.consultation_bundle(consulted).orderBy("section", "block").collect()
+    def text(*size):
+        blocks = reports.consultation_bundle(consulted, *size).orderBy("section", "block").collect()
+        assert not size or all(len(b.text) < 2 * size[0] for b in blocks if b.section in (1, 3))
         return "".join(b.text for b in blocks)
 
     whole = text()
     assert "2 code review consultations by: model-a, model-b\n" in whole
-    for title in ("High-Confidence Findings", "Unique Findings", "Prioritized Action Items"):
+    for title in ("High-Confidence Findings", "Disputed or Divergent Areas", "Unique Findings", "Prioritized Action Items"):
         assert title in whole
     frames = [
         line
@@ -92,9 +93,20 @@ def test_bundle(spark, monkeypatch):
         for line in (f"=== CONSULTATION FROM: {m} ===", "", t, "", f"=== END {m} ===", "")
     ]
     assert whole.endswith("---\n\n" + "\n".join(frames))
-    monkeypatch.setattr(reports, "TEXTS_PER_BLOCK", 1)
-    monkeypatch.setattr(reports, "NAMES_PER_BLOCK", 1)
-    assert text() == whole
+    for size in (1, 7, 60, 10_000):
+        assert text(size) == whole
+
+
+def test_bundle_of_long_and_many_texts(spark):
+    """A text of many blocks beside empty ones and a run of many models."""
+    rows = [("r", f"m{i:03}", "complete", "é" * (5000 if i == 7 else i % 3)) for i in range(200)] + [("s", "only", "complete", "")]
+    consulted = reports.load_consultations(responses(spark, rows))
+    whole = {r.run_id: r.text for r in reports.consultation_bundle(consulted).groupBy("run_id").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY section, block)").alias("text")).collect()}
+    blocks = reports.consultation_bundle(consulted, 1000).orderBy("section", "block").collect()
+    assert max(len(b.text) for b in blocks if b.section != 2) < 2000
+    for run in "rs":
+        assert "".join(b.text for b in blocks if b.run_id == run) == whole[run]
+    assert "é" * 5000 in whole["r"] and whole["r"].count("=== END m") == 200
 
 
 def test_findings(spark):
