@@ -5,9 +5,13 @@ words. Distinct words of a slice that have equal length advance together: for ev
 piece length, hashes of the substrings probe the sorted hashes of the pieces, and a maximum over the
 lengths stores the back pointers. Characters that no piece covers become byte pieces.
 
-The score of a piece falls with the logarithm of its rank in the model, so the result is the most
-probable segmentation of a unigram model with Zipf's frequencies. A model that was trained by merging
-pairs may cut some words elsewhere; every result decodes to the text.
+The model was trained by merging pairs. Under its merges every beginning of a word has one last piece: the one that
+would not have been merged with the piece before it. So a candidate scores 1 where the pair of the piece before
+and itself is stable and 0 elsewhere, and the maximum finds the segmentation of the model's own encoder. A pair is
+stable if no merge across its border comes before those that built its two pieces; the symbols at
+the border, from single characters to the pieces, are looked up in tables made once from the model.
+
+Words of many characters are cut where no piece of the model has the two characters side by side.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from arborlens.llm import common
 
 MARK = "▁"
 CACHE_ENTRIES = 400_000
-#: Score of a character in bytes, below that of any piece.
-BYTE_SCORE = -40.0
+#: Places of the memory of pairs, as a power of two.
+PAIR_BITS = 20
+#: Words from this length on are cut where no merge can cross.
+LONG_WORD = 48
 _HEAD = np.uint64(64 - 18)
 _WORD = re.compile(r" *[^ ]+| +")
 
@@ -40,41 +46,117 @@ class Pieces:
         self.text: list[bytes] = [b""] * self.size
         self.byte_id = np.full(256, -1, np.int64)
         self.unknown = model.unk_id()
-        words: dict[int, list[tuple[int, int]]] = {}
-        rank = 0
+        words: dict[int, list[int]] = {}
+        rank: dict[str, tuple[float, int]] = {}
         for i in range(self.size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.text[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                rank += 1
+                rank[piece] = (-model.get_score(i), i)
                 self.text[i] = piece.replace(MARK, " ").encode()
-                words.setdefault(len(piece), []).append((i, rank))
+                words.setdefault(len(piece), []).append(i)
         self.pool = np.frombuffer(b"".join(self.text), np.uint8)
         self.length = np.array([len(t) for t in self.text], np.int64)
         self.first = np.cumsum(self.length) - self.length
         self.longest = max(words)
-        self.keys, self.heads, self.ids, self.scores = {}, {}, {}, {}
+        self.keys, self.heads, self.ids = {}, {}, {}
+        self.value, self.chars = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int64)
         for length, found in words.items():
-            points = np.array([[ord(c) for c in model.id_to_piece(i)] for i, _ in found], np.uint32)
+            points = np.array([[ord(c) for c in model.id_to_piece(i)] for i in found], np.uint32)
             keys = _prefix(points)[:, -1]
             order = np.argsort(keys)
             self.keys[length] = keys[order]
             self.heads[length] = np.zeros(1 << 18, bool)
             self.heads[length][keys >> _HEAD] = True
-            self.ids[length] = np.array([i for i, _ in found], np.int64)[order]
-            self.scores[length] = -np.log(np.array([r for _, r in found], np.float64)[order] + 10.0)
-
-    def probe(self, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the keys that are pieces of ``length``, with the ids and scores of these."""
+            self.ids[length] = np.array(found, np.int64)[order]
+            self.value[found], self.chars[found] = keys, length
+        self._merges(rank)
+        self.seen = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.seen_answer = np.zeros(1 << PAIR_BITS, bool)
+
+    def _merges(self, rank: dict[str, tuple[float, int]]) -> None:
+        """Order of the merges, and the symbols at both ends of every piece while it is built."""
+        ordered = sorted(rank.values())
+        self.rank = np.full(self.size + 1, np.iinfo(np.int32).max, np.int32)
+        self.rank[[i for _, i in ordered]] = np.arange(len(ordered))
+        place = {piece: int(self.rank[i]) for piece, (_, i) in rank.items()}
+        number = {piece: i for piece, (_, i) in rank.items()}
+        depth = self.longest + 1
+        # Row ``size`` stands for no symbol.
+        self.head, self.tail = (np.full((self.size, depth), self.size, np.int32) for _ in range(2))
+        self.built = np.zeros(self.size, bool)
+        for piece in sorted(number, key=len):
+            i = number[piece]
+            if len(piece) == 1:
+                self.head[i, 0] = self.tail[i, 0] = i
+                self.built[i] = True
+                continue
+            halves = last_merge(piece, place)
+            if halves:
+                left, right = (number[h] for h in halves)
+                for table, part in ((self.head, left), (self.tail, right)):
+                    n = int((table[part] < self.size).sum())
+                    table[i, :n], table[i, n] = table[part, :n], i
+                self.built[i] = True
+        every = np.array([i for i in number.values() if self.chars[i] > 1], np.int64)
+        order = np.argsort(self.value[every])
+        self.merged, self.merged_id = self.value[every][order], every[order]
+        codes = {(ord(x) << 21) | ord(y) for piece in number for x, y in zip(piece, piece[1:])}
+        self.side_by_side = np.array(sorted(codes), np.int64)
+
+    def stable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether two pieces that stand side by side stay apart under the merges of the model.
+
+        Pairs recur, so a table keeps the answers; a later pair may take the place of an earlier one.
+        """
+        pairs = left * self.size + right
+        at = (common.mix(pairs.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        answer = self.seen_answer[at]
+        new = np.flatnonzero(self.seen[at] != pairs)
+        if len(new):
+            answer[new] = self._stable(left[new], right[new])
+            # Of pairs for one place any may stay, if its answer stays with it.
+            self.seen[at[new]] = pairs[new]
+            kept = self.seen[at[new]] == pairs[new]
+            self.seen_answer[at[new][kept]] = answer[new][kept]
+        return answer
+
+    def _stable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = np.ones(len(left), bool)
+        a, b = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+        open_ = np.arange(len(left))
+        _, depth = self.tail.shape
+        up, _ = common.powers(self.longest + 1)
+        none = np.iinfo(np.int32).max
+        while len(open_):
+            l, r, i, j = left[open_], right[open_], a[open_], b[open_]
+            x, y = self.tail[l, i], self.head[r, j]
+            key = self.value[x] + self.value[y] * up[self.chars[x]]
+            at = np.minimum(np.searchsorted(self.merged, key), len(self.merged) - 1)
+            across = np.where(self.merged[at] == key, self.rank[self.merged_id[at]], none)
+            # The next merges that take the symbols away from the border; of equal ones the left goes first.
+            next_x = self.rank[self.tail[l, np.minimum(i + 1, depth - 1)]]
+            next_y = self.rank[self.head[r, np.minimum(j + 1, depth - 1)]]
+            joined = (across < none) & (across < next_x) & (across <= next_y)
+            done = joined | ((next_x == none) & (next_y == none))
+            out[open_[joined]] = False
+            grow_x = next_x <= next_y
+            a[open_[~done & grow_x]] += 1
+            b[open_[~done & ~grow_x]] += 1
+            open_ = open_[~done]
+        return out
+
+    def probe(self, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys that are pieces of ``length``, with the ids of these."""
         table = self.keys[length]
         # Most substrings are no piece: a table of leading bits turns them away before the search.
         rows = np.flatnonzero(self.heads[length][keys >> _HEAD])
         at = np.minimum(np.searchsorted(table, keys[rows]), len(table) - 1)
         hit = table[at] == keys[rows]
         rows, at = rows[hit], at[hit]
-        return rows, self.ids[length][at], self.scores[length][at]
+        return rows, self.ids[length][at]
 
     def spell(self, point: int) -> list[int]:
         """Byte pieces of a character."""
@@ -82,6 +164,18 @@ class Pieces:
         return [int(self.byte_id[b]) if self.byte_id[b] >= 0 else self.unknown for b in raw]
 
 
+def last_merge(piece: str, place: dict[str, int]) -> tuple[str, str] | None:
+    """The two symbols that are merged to ``piece`` at last; none if the merges never build it."""
+    symbols = list(piece)
+    while len(symbols) > 2:
+        found = min(((place[x + y], k) for k, (x, y) in enumerate(zip(symbols, symbols[1:])) if x + y in place), default=None)
+        if found is None:
+            return None
+        k = found[1]
+        symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+    return (symbols[0], symbols[1]) if all(x in place for x in symbols) else None
+
+
 def _prefix(points: np.ndarray) -> np.ndarray:
     """Hashes of all prefixes of each row of code points; the empty one first."""
     n, length = points.shape
@@ -97,23 +191,25 @@ def viterbi(points: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]
     n, length = points.shape
     total = np.ascontiguousarray(_prefix(points).T)
     _, down = common.powers(length + 1)
-    best = np.zeros((length + 1, n))
     back = np.ones((length + 1, n), np.int64)
     piece = np.full((length + 1, n), -1, np.int64)
     for end in range(1, length + 1):
-        # A character in bytes is always possible.
-        top, size_of, id_of = best[end - 1] + BYTE_SCORE, back[end], piece[end]
+        # A character that is no piece stands in bytes, and nothing is merged with it.
+        met = []
         for size in range(1, min(end, pieces.longest) + 1):
-            if size not in pieces.keys:
-                continue
-            keys = (total[end] - total[end - size]) * down[end - size]
-            rows, ids, scores = pieces.probe(keys, size)
-            scores = scores + best[end - size][rows]
-            # Ties go to the longer piece.
-            better = scores >= top[rows]
-            rows = rows[better]
-            top[rows], size_of[rows], id_of[rows] = scores[better], size, ids[better]
-        best[end] = top
+            if size in pieces.keys:
+                keys = (total[end] - total[end - size]) * down[end - size]
+                rows, ids = pieces.probe(keys, size)
+                met.append((rows, ids, np.full(len(rows), size), piece[end - size][rows] if end > size else np.full(len(rows), -1)))
+        rows, ids, sizes, before = (np.concatenate(c) for c in zip(*met, strict=True))
+        score = pieces.built[ids].copy()
+        pair = np.flatnonzero(score & (before >= 0))
+        score[pair] = pieces.stable(before[pair], ids[pair])
+        top = np.zeros(n, np.int64)
+        # The maximum over the lengths; ties go to the longer piece.
+        np.maximum.at(top, rows, score * (sizes + 1))
+        best = score & (sizes + 1 == top[rows])
+        back[end, rows[best]], piece[end, rows[best]] = sizes[best], ids[best]
     # Back pointers of all rows together, from the last piece to the first.
     at = np.full(n, length)
     rows = np.arange(n)
@@ -162,7 +258,7 @@ class Segmenter:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers. An empty text has none."""
-        split = [cut_words(t.replace(MARK, " ")) for t in texts]
+        split = [self._parts(cut_words(t.replace(MARK, " "))) for t in texts]
         missing = {w for words in split for w in words} - self.known.keys()
         known = self.known
         if missing:
@@ -174,6 +270,22 @@ class Segmenter:
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _parts(self, words: list[str]) -> list[str]:
+        """Words, long ones cut where no merge can cross."""
+        if max(map(len, words), default=0) < LONG_WORD:
+            return words
+        out = []
+        for w in words:
+            if len(w) < LONG_WORD:
+                out.append(w)
+                continue
+            points = np.frombuffer(w.replace(" ", MARK).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            codes, known = (points[:-1] << 21) | points[1:], self.pieces.side_by_side
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            cuts = (np.flatnonzero(known[at] != codes) + 1).tolist()
+            out += [w[a:b] for a, b in zip([0, *cuts], [*cuts, len(w)], strict=True)]
+        return out
+
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The UTF-8 text of each list of ids: blanks for U+2581, without the first one."""
         ids = np.frombuffer(b"".join(coded), "<u4")

@@ -266,31 +266,45 @@ def test_packing_is_optimal_on_small_instances():
     assert over <= 1
 
 
-def test_pieces_are_the_best_segmentation(docs):
+def test_ids_are_those_of_the_encoder(docs):
+    """Whole texts, and odd ones: ties of merges, blanks, characters without a piece, long words without blanks."""
+    import time
+
+    import sentencepiece
+
     path = public_tokenizers.path("piece_bpe_32k.model")
-    pieces = segmentation.Pieces(path)
-    table = {}
-    for size, keys in pieces.keys.items():
-        for k, s in zip(keys.tolist(), pieces.scores[size].tolist()):
-            table[size, k] = s
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(6)
-    words = ["▁" + "".join(rng.choice("theandrsé中") for _ in range(5)) for _ in range(40)]
-    points = np.array([[ord(c) for c in w] for w in words], np.uint32)
-    ids, counts = segmentation.viterbi(points, pieces)
-    scores = {int(i): s for size in pieces.keys for i, s in zip(pieces.ids[size], pieces.scores[size])}
-    for w, own in zip(words, np.split(ids, np.cumsum(counts)[:-1])):
-        best = [0.0] + [-np.inf] * len(w)
-        for end in range(1, len(w) + 1):
-            best[end] = best[end - 1] + segmentation.BYTE_SCORE
-            for a in range(end):
-                spelled = w[a:end].replace("▁", " ").encode()
-                for i in [i for i in scores if pieces.text[i] == spelled]:
-                    best[end] = max(best[end], best[a] + scores[i])
-        raw = [i for i in own.tolist() if i not in scores]
-        characters = len(b"".join(pieces.text[i] for i in raw).decode())
-        assert sum(scores.get(i, 0) for i in own.tolist()) + characters * segmentation.BYTE_SCORE == pytest.approx(best[-1])
+    texts = [t or "" for _, t in corpus()] + ["aaaaaaa aaaa aaaaaaaaa", "  a   b  ", "\n\n a", "\t", " ", "a ", "🙂é" + "abcdefghij" * 40, "x" * 700]
+    texts += ["".join(rng.choice("aabbehnt  .,é中") for _ in range(rng.randint(1, 90))) for _ in range(600)]
+    segmenter = segmentation.Segmenter(path)
+    assert [np.frombuffer(c, "<u4").tolist() for c in segmenter.encode(texts)] == own.encode(texts)
+    long_ = "中文文本没有空格也很长，" * 6000
+    started = time.monotonic()
+    assert np.frombuffer(segmenter.encode([long_])[0], "<u4").tolist() == own.encode(long_) and time.monotonic() - started < 4
     rows = segmentation.segment_documents(docs, path).collect()
     assert all(r.same for r in rows) and len(rows) == docs.count() and all(r.ids == [] for r in rows if r.doc_id in (40, 41))
+    assert all(r.ids == own.encode(dict(corpus())[r.doc_id] or "") for r in rows if r.doc_id is not None)
+
+
+def test_stable_pairs_against_plain_merges():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = segmentation.Pieces(path)
+    place = {pieces.text[i].decode().replace(" ", "▁"): int(pieces.rank[i]) for i in np.flatnonzero(pieces.chars)}
+
+    def merged(symbols):
+        while True:
+            found = min(((place[x + y], k) for k, (x, y) in enumerate(zip(symbols, symbols[1:])) if x + y in place), default=None)
+            if found is None:
+                return symbols
+            symbols = [*symbols[: found[1]], symbols[found[1]] + symbols[found[1] + 1], *symbols[found[1] + 2 :]]
+
+    rng = np.random.default_rng(3)
+    known = np.flatnonzero(pieces.built)
+    left, right = rng.choice(known, 4000), rng.choice(known[pieces.chars[known] < 4], 4000)
+    words = [[pieces.text[i].decode().replace(" ", "▁") for i in pair] for pair in zip(left, right)]
+    want = [merged(list(a + b)) == [a, b] for a, b in words]
+    assert pieces.stable(left, right).tolist() == want and pieces.stable(left, right).tolist() == want and 0 < sum(want) < 4000
 
 
 def test_pseudonyms(docs):
