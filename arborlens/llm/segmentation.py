@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from arborlens.llm import common
 
 MARK = "▁"
-CACHE_ENTRIES = 400_000
+#: Words that a task remembers, about 200 bytes each.
+CACHE_ENTRIES = 1_000_000
 #: Places of the memory of pairs, as a power of two.
 PAIR_BITS = 20
 #: Words from this length on are cut where no merge can cross.
