@@ -30,16 +30,18 @@ from arborlens.llm import common
 MARK = "▁"
 #: Words that a task remembers, about 200 bytes each.
 CACHE_ENTRIES = 1_000_000
+#: Bytes of text worked off at once: the more words, the more of them have one length.
+SLICE = 16 << 20
 #: Places of the memory of pairs, as a power of two.
 PAIR_BITS = 20
 #: Words from this length on are cut where no merge can cross.
 LONG_WORD = 48
-_HEAD = np.uint64(64 - 18)
+_HEAD = np.uint64(64 - 20)
 _WORD = re.compile(r" *[^ ]+| +")
 
 
 class Pieces:
-    """The pieces of a model as sorted hash keys, by length in characters."""
+    """The pieces of a model as sorted hash keys."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,17 +64,15 @@ class Pieces:
         self.length = np.array([len(t) for t in self.text], np.int64)
         self.first = np.cumsum(self.length) - self.length
         self.longest = max(words)
-        self.keys, self.heads, self.ids = {}, {}, {}
         self.value, self.chars = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int64)
         for length, found in words.items():
             points = np.array([[ord(c) for c in model.id_to_piece(i)] for i in found], np.uint32)
-            keys = _prefix(points)[:, -1]
-            order = np.argsort(keys)
-            self.keys[length] = keys[order]
-            self.heads[length] = np.zeros(1 << 18, bool)
-            self.heads[length][keys >> _HEAD] = True
-            self.ids[length] = np.array(found, np.int64)[order]
-            self.value[found], self.chars[found] = keys, length
+            self.value[found], self.chars[found] = _prefix(points)[:, -1], length
+        self.ids = np.flatnonzero(self.chars)
+        self.ids = self.ids[np.argsort(self.value[self.ids])]
+        self.keys = self.value[self.ids]
+        self.heads = np.zeros(1 << 20, bool)
+        self.heads[(self.keys >> _HEAD).astype(np.int64)] = True
         self._merges(rank)
         self.seen = np.full(1 << PAIR_BITS, -1, np.int64)
         self.seen_answer = np.zeros(1 << PAIR_BITS, bool)
@@ -101,9 +101,8 @@ class Pieces:
                     n = int((table[part] < self.size).sum())
                     table[i, :n], table[i, n] = table[part, :n], i
                 self.built[i] = True
-        every = np.array([i for i in number.values() if self.chars[i] > 1], np.int64)
-        order = np.argsort(self.value[every])
-        self.merged, self.merged_id = self.value[every][order], every[order]
+        several = self.chars[self.ids] > 1
+        self.merged, self.merged_id = self.keys[several], self.ids[several]
         codes = {(ord(x) << 21) | ord(y) for piece in number for x, y in zip(piece, piece[1:])}
         self.side_by_side = np.array(sorted(codes), np.int64)
 
@@ -149,15 +148,13 @@ class Pieces:
             open_ = open_[~done]
         return out
 
-    def probe(self, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the keys that are pieces of ``length``, with the ids of these."""
-        table = self.keys[length]
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys that are pieces, with the ids of these."""
         # Most substrings are no piece: a table of leading bits turns them away before the search.
-        rows = np.flatnonzero(self.heads[length][keys >> _HEAD])
-        at = np.minimum(np.searchsorted(table, keys[rows]), len(table) - 1)
-        hit = table[at] == keys[rows]
-        rows, at = rows[hit], at[hit]
-        return rows, self.ids[length][at]
+        rows = np.flatnonzero(self.heads[(keys >> _HEAD).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, keys[rows]), len(self.keys) - 1)
+        hit = self.keys[at] == keys[rows]
+        return rows[hit], self.ids[at[hit]]
 
     def spell(self, point: int) -> list[int]:
         """Byte pieces of a character."""
@@ -196,13 +193,11 @@ def viterbi(points: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]
     piece = np.full((length + 1, n), -1, np.int64)
     for end in range(1, length + 1):
         # A character that is no piece stands in bytes, and nothing is merged with it.
-        met = []
-        for size in range(1, min(end, pieces.longest) + 1):
-            if size in pieces.keys:
-                keys = (total[end] - total[end - size]) * down[end - size]
-                rows, ids = pieces.probe(keys, size)
-                met.append((rows, ids, np.full(len(rows), size), piece[end - size][rows] if end > size else np.full(len(rows), -1)))
-        rows, ids, sizes, before = (np.concatenate(c) for c in zip(*met, strict=True))
+        begin = max(0, end - pieces.longest)
+        keys = (total[end] - total[begin:end]) * down[begin:end, None]
+        place, ids = pieces.probe(keys.ravel())
+        start, rows = place // n + begin, place % n
+        sizes, before = end - start, piece[start, rows]
         score = pieces.built[ids].copy()
         pair = np.flatnonzero(score & (before >= 0))
         score[pair] = pieces.stable(before[pair], ids[pair])
@@ -327,7 +322,7 @@ def _encoded(docs: DataFrame, model: str, key: str, text: str, whole: bool) -> D
             segmenter = segmenter or Segmenter(model)
             is_byte = np.zeros(segmenter.pieces.size, bool)
             is_byte[segmenter.pieces.byte_id[segmenter.pieces.byte_id >= 0]] = True
-            for first, last, data, offsets in common.text_slices(batch.column(1)):
+            for first, last, data, offsets in common.text_slices(batch.column(1), SLICE):
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 coded = segmenter.encode([t.decode("utf-8", "replace") for t in texts])
