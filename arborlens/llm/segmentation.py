@@ -29,9 +29,7 @@ from arborlens.llm import common
 
 MARK = "▁"
 #: Words that a task remembers, about 200 bytes each.
-CACHE_ENTRIES = 1_000_000
-#: Bytes of text worked off at once: the more words, the more of them have one length.
-SLICE = 16 << 20
+CACHE_ENTRIES = 600_000
 #: Places of the memory of pairs, as a power of two.
 PAIR_BITS = 20
 #: Words from this length on are cut where no merge can cross.
@@ -201,11 +199,12 @@ def viterbi(points: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]
         score = pieces.built[ids].copy()
         pair = np.flatnonzero(score & (before >= 0))
         score[pair] = pieces.stable(before[pair], ids[pair])
-        top = np.zeros(n, np.int64)
         # The maximum over the lengths; ties go to the longer piece.
-        np.maximum.at(top, rows, score * (sizes + 1))
-        best = score & (sizes + 1 == top[rows])
-        back[end, rows[best]], piece[end, rows[best]] = sizes[best], ids[best]
+        fits = np.flatnonzero(score)
+        rows, sizes, ids = rows[fits], sizes[fits], ids[fits]
+        np.maximum.at(back[end], rows, sizes)
+        best = back[end, rows] == sizes
+        piece[end, rows[best]] = ids[best]
     # Back pointers of all rows together, from the last piece to the first.
     at = np.full(n, length)
     rows = np.arange(n)
@@ -322,7 +321,7 @@ def _encoded(docs: DataFrame, model: str, key: str, text: str, whole: bool) -> D
             segmenter = segmenter or Segmenter(model)
             is_byte = np.zeros(segmenter.pieces.size, bool)
             is_byte[segmenter.pieces.byte_id[segmenter.pieces.byte_id >= 0]] = True
-            for first, last, data, offsets in common.text_slices(batch.column(1), SLICE):
+            for first, last, data, offsets in common.text_slices(batch.column(1)):
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 coded = segmenter.encode([t.decode("utf-8", "replace") for t in texts])
