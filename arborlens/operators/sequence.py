@@ -18,37 +18,44 @@ from arborlens.session import hand_over
 
 LEAF = ["project", "major", "minor", "by_path", "path"]
 
+# A tree deeper than this is taken for one whose nodes repeat an id and name each other; the job then fails.
+MOST_LEVELS = 10_000
+
+_TREE = """
+WITH RECURSIVE tree AS (
+  SELECT project, node_id, path, name, ord, array(pos) AS major, false AS by_path FROM {nodes} WHERE parent_id IS NULL
+  UNION ALL
+  SELECT n.project, n.node_id, n.path, n.name, n.ord,
+         CASE WHEN g.by_path OR g.ord = 'alphabetical' THEN g.major ELSE concat(g.major, array(n.pos)) END,
+         g.by_path OR g.ord = 'alphabetical'
+  FROM tree g JOIN {nodes} n ON n.project = g.project AND n.parent_id = g.node_id
+  WHERE g.path IS NULL AND g.name IS NOT NULL
+)
+SELECT project, major, '' AS minor, by_path, path FROM tree WHERE path IS NOT NULL
+"""
+
 
 def tree_leaves(nodes: DataFrame) -> DataFrame:
-    """Leaves in depth-first order, one join per level of the tree.
+    """Leaves in depth-first order, by one recursive query for trees of any depth.
 
     ``major`` is the list of sibling positions down to the leaf, or down to the outermost
-    alphabetical group above it; ``by_path`` tells which.
+    alphabetical group above it; ``by_path`` tells which. The nodes are written once, so a level does
+    not work them out again; Spark's own limit of rows is lifted while the leaves are found.
     """
-    columns = ["project", "node_id", "parent_id", "pos", "path", "name", "ord"]
-    nodes = nodes.select(columns).withColumn("path", paths.normalise(F.col("path")))
-    level = nodes.where("parent_id IS NULL").select(
-        *columns, F.array(F.col("pos").cast("bigint")).alias("major"), F.lit(False).alias("by_path")
+    spark = nodes.sparkSession
+    narrow = nodes.select(
+        "project", "node_id", "parent_id", F.col("pos").cast("bigint").alias("pos"),
+        paths.normalise(F.col("path")).alias("path"), "name", F.coalesce("ord", F.lit("")).alias("ord"),
     )
-    leaves = None
-    while True:
-        level = hand_over(level, "level")
-        found = level.where("path IS NOT NULL").withColumn("minor", F.lit("")).select(*LEAF)
-        leaves = found if leaves is None else leaves.unionByName(found)
-        groups = level.where("path IS NULL AND name IS NOT NULL").select(
-            "project",
-            F.col("node_id").alias("parent_id"),
-            F.col("major").alias("_major"),
-            (F.col("by_path") | (F.coalesce("ord", F.lit("")) == "alphabetical")).alias("_by_path"),
-        )
-        if groups.isEmpty():
-            return leaves
-        down = F.when(F.col("_by_path"), F.col("_major")).otherwise(
-            F.concat("_major", F.array(F.col("pos").cast("bigint")))
-        )
-        level = nodes.join(groups, ["project", "parent_id"]).select(
-            *columns, down.alias("major"), F.col("_by_path").alias("by_path")
-        )
+    limits = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": str(MOST_LEVELS)}
+    before = {name: spark.conf.get(name) for name in limits}
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        return hand_over(spark.sql(_TREE, nodes=hand_over(narrow, "nodes")), "leaves")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def is_glob(path: Column) -> Column:

@@ -70,3 +70,21 @@ def test_globs_against_every_pair(spark):
     assert got == sorted((r.g, r.f) for r in tests.where(F.expr("f RLIKE x")).collect())
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "_head" in plan and "_tail" in plan and "_length" in plan
+
+
+def test_deep_trees_and_settings(spark):
+    # Deeper than Spark's own limit of 100 levels; the settings are as before afterwards.
+    names = ["spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit"]
+    before = [spark.conf.get(n) for n in names]
+    depth = 110
+    nodes = [(f"g{i}", f"g{i - 1}" if i else None, 1, None, f"group {i}", None) for i in range(depth)]
+    nodes += [(f"l{i}", f"g{i}", i % 2 * 2, f"f{i:03}.py", None, None) for i in range(depth)]
+    # Leaves before the next group come first, those after it when all deeper ones are done.
+    want = [f"f{i:03}.py" for i in [*range(0, depth, 2), *range(depth - 1, 0, -2)]]
+    assert resolve(spark, nodes, [f"f{i:03}.py" for i in range(depth)]) == want
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_nodes_that_no_root_reaches_are_left_out(spark):
+    nodes = [("1", None, 0, "a.py", None, None), ("2", "3", 0, None, "x", None), ("3", "2", 0, None, "y", None), ("4", "3", 1, "b.py", None, None)]
+    assert resolve(spark, nodes, ["a.py", "b.py"]) == ["a.py"]
