@@ -22,6 +22,9 @@ from arborlens.operators.sequence import UNKNOWN_CHARS
 HEADER, ENTRYPOINTS, TREE, DOCS, SOURCE = range(5)
 PART = ["project", "section", "block", "item", "text"]
 
+# The line above a text of documentation, as a separator.
+DOCS_LINE = "--- {filepath} [tokens: ~{tokens}, chars: {chars}] ---"
+
 
 @dataclass(frozen=True)
 class SnapshotOptions:
@@ -185,6 +188,42 @@ def _placed(order: DataFrame, block_chars: int) -> DataFrame:
     return order.select("project", "path", block, F.col("pos").alias("item"))
 
 
+def _bodies(placed: DataFrame, files: DataFrame, token_counter: tokens.TokenCounter) -> DataFrame:
+    """Line and cleaned text of each file of ``placed(project, path, section, block, item, …settings)``."""
+    cleaned = clean_files(placed.join(files, ["project", "path"]), token_counter)
+    text_ = F.concat(F.lit("\n"), "line", F.lit("\n"), "content", F.lit("\n")).alias("text")
+    return cleaned.select("project", "section", "block", "item", text_)
+
+
+def _place_docs(docs: DataFrame, projects: DataFrame, block_chars: int) -> DataFrame:
+    """Places of documentation, with settings that leave the texts as they are."""
+    shown = projects.where("include_docs").select("project")
+    return _placed(docs.join(shown, "project", "left_semi"), block_chars).withColumns(
+        {
+            "section": F.lit(DOCS),
+            "strip_comments": F.lit(False),
+            "whitespace": F.lit("none"),
+            "separator": F.lit(DOCS_LINE),
+        }
+    )
+
+
+def _place_sources(positions: DataFrame, projects: DataFrame, block_chars: int) -> DataFrame:
+    settings = projects.select("project", "strip_comments", "whitespace", "separator")
+    return _placed(positions, block_chars).join(settings, "project").withColumn("section", F.lit(SOURCE))
+
+
+def _docs_title(docs: DataFrame, projects: DataFrame) -> DataFrame:
+    shown = projects.where("include_docs").join(docs.select("project").distinct(), "project", "left_semi")
+    title = F.when(F.col("trust_level") == "unverified", "\n".join(fixed.DOCS_TITLE_UNVERIFIED))
+    return _title(shown, DOCS, title.otherwise(fixed.DOCS_TITLE_TRUSTED))
+
+
+def _source_title(projects: DataFrame) -> DataFrame:
+    """The empty line after the title belongs to the first file; an empty project has none."""
+    return _title(projects, SOURCE, F.lit(fixed.SOURCE_TITLE))
+
+
 def flat_docs(
     docs: DataFrame,
     files: DataFrame,
@@ -194,25 +233,10 @@ def flat_docs(
 ) -> DataFrame:
     """Documentation section. The texts are taken as they are. ``docs`` is an order of
     files that documentation patterns find."""
-    shown = projects.where("include_docs").join(docs.select("project").distinct(), "project", "left_semi")
-    title = F.when(F.col("trust_level") == "unverified", "\n".join(fixed.DOCS_TITLE_UNVERIFIED))
-    placed = _placed(docs.join(shown.select("project"), "project", "left_semi"), block_chars)
-    content = F.col("content")
-    line = F.concat(
-        F.lit("--- "), "path",
-        F.lit(" [tokens: ~"), text.thousands(token_counter(content)),
-        F.lit(", chars: "), text.thousands(F.length(content)), F.lit("] ---"),
-    )
     # Documentation is a small part of the files, so other texts are not shuffled to be matched.
     texts = files.where(classify.doc_rank(F.col("path")).isNotNull())
-    body = placed.join(texts, ["project", "path"]).select(
-        "project",
-        F.lit(DOCS).alias("section"),
-        "block",
-        "item",
-        F.concat(F.lit("\n"), line, F.lit("\n"), content, F.lit("\n")).alias("text"),
-    )
-    return _title(shown, DOCS, title.otherwise(fixed.DOCS_TITLE_TRUSTED)).unionByName(body)
+    body = _bodies(_place_docs(docs, projects, block_chars), texts, token_counter)
+    return _docs_title(docs, projects).unionByName(body)
 
 
 def flat_sources(
@@ -223,18 +247,8 @@ def flat_sources(
     token_counter: tokens.TokenCounter = tokens.estimate,
 ) -> DataFrame:
     """Source section: separator and cleaned text of each file."""
-    settings = projects.select("project", "strip_comments", "whitespace", "separator")
-    placed = _placed(positions, block_chars).join(settings, "project")
-    cleaned = clean_files(placed.join(files, ["project", "path"]), token_counter)
-    body = cleaned.select(
-        "project",
-        F.lit(SOURCE).alias("section"),
-        "block",
-        "item",
-        F.concat(F.lit("\n"), "line", F.lit("\n"), "content", F.lit("\n")).alias("text"),
-    )
-    # The empty line after the title belongs to the first file; an empty project has none.
-    return _title(projects, SOURCE, F.lit(fixed.SOURCE_TITLE)).unionByName(body)
+    body = _bodies(_place_sources(positions, projects, block_chars), files, token_counter)
+    return _source_title(projects).unionByName(body)
 
 
 def flat_header(
@@ -262,11 +276,15 @@ def flat_parts(
         }
     )
     size = options.block_chars
+    # Sources and documentation meet the texts in one join: a text is shuffled to its places once, or not
+    # at all where ``files`` is bucketed by project and path.
+    placed = _place_docs(docs, projects, size).unionByName(_place_sources(positions, projects, size))
     return (
         flat_header(manifest, positions, projects, options)
         .unionByName(_tree(positions, projects))
-        .unionByName(flat_docs(docs, files, projects, size, token_counter))
-        .unionByName(flat_sources(positions, files, projects, size, token_counter))
+        .unionByName(_docs_title(docs, projects))
+        .unionByName(_source_title(projects))
+        .unionByName(_bodies(placed, files, token_counter))
         .select(*PART)
     )
 

@@ -1,4 +1,4 @@
-"""Writing: tables by run, flat texts, responses as JSON and as text."""
+"""Writing: tables by run, bucketed source files, flat texts, responses as JSON and as text."""
 
 from __future__ import annotations
 
@@ -16,6 +16,19 @@ def write_table(rows: DataFrame, path: str, mode: str = "overwrite", by: tuple[s
     rows.write.mode(mode).partitionBy(*by).parquet(path)
 
 
+def write_source_table(files: DataFrame, table: str, buckets: int | None = None, path: str | None = None) -> None:
+    """Source files as a table bucketed by project and path, so that joins on them leave the texts in place.
+
+    Buckets hash the path as well, so a project of any size is spread over all of them. Without
+    ``buckets`` there are as many as shuffle partitions, which makes the other side of a join follow the buckets. The
+    rows are brought together first: a bucket is one file. ``path`` puts the table elsewhere than the warehouse.
+    """
+    buckets = buckets or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ("project", "path")
+    dealt = files.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table, path=path)
+
+
 def write_flat_text(blocks: DataFrame, path: str) -> None:
     """Flat texts as text files under ``project=<name>``; see ``flattext.py``.
 

@@ -9,6 +9,7 @@ from arborlens import schemas
 from arborlens.functions import fixed
 from arborlens.operators import classify, flatten, sequence
 from arborlens.operators import manifest as mf
+from arborlens.session import hand_over
 from arborlens.sources import flattext, sinks, tables
 
 TREE = {
@@ -110,6 +111,39 @@ def test_separator_template(spark):
         joined(snapshot(spark, TREE, separator="{name}"))
 
 
+def exchanges_above_texts(frame):
+    """For every scan of a plan that reads contents, how many exchanges its rows pass."""
+    found, above = [], []
+    for line in frame._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = re.search(r"[A-Za-z(*]", line)
+        if not depth:
+            continue
+        above = [(d, op) for d, op in above if d < depth.start()] + [(depth.start(), line[depth.start():])]
+        if "FileScan" in line and "content" in line.split("ReadSchema")[-1]:
+            found.append(sum(op.startswith(("Exchange", "BroadcastExchange")) for _, op in above))
+    return found
+
+
+def test_a_text_is_shuffled_once_or_not_at_all(spark, tmp_path):
+    files = spark.createDataFrame([("p", *item) for item in TREE.items()], schemas.SOURCE_FILES)
+    options = flatten.SnapshotOptions(generated="now")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    files.write.parquet(str(tmp_path / "plain"))
+    sinks.write_source_table(files, "bucketed_files", path=str(tmp_path / "bucketed"))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for stored, most in ((spark.read.parquet(str(tmp_path / "plain")), 1), (spark.table("bucketed_files"), 0)):
+            manifest = hand_over(classify.scan_files(stored), "manifest")
+            positions = hand_over(sequence.default_positions(mf.sequence_leaves(manifest), stored), "positions")
+            docs = hand_over(sequence.number_files(sequence.add_sizes(classify.find_docs(stored), manifest)), "docs")
+            parts = flatten.flat_parts(manifest, stored, positions, docs, flatten.default_projects(manifest), options)
+            assert exchanges_above_texts(parts) == [most]
+            assert joined(parts) == expected(ORDER, DOCS)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE IF EXISTS bucketed_files")
+
+
 def test_text_files_round_trip(spark, tmp_path):
     options = flatten.SnapshotOptions(generated="now", block_chars=30)
     sinks.write_flat_text(flatten.flat_blocks(snapshot(spark, TREE, options)), str(tmp_path / "flat"))
