@@ -118,6 +118,55 @@ def test_passages(docs):
         assert len(a) == len(b) == r.n_words and sum(x == y for x, y in zip(a, b)) >= 0.8 * len(a)
 
 
+def exact_repeats(rows, width=50):
+    """Documents that have a run of ``width`` words of another document, and which documents have that run."""
+    seen = defaultdict(set)
+    for i, t in rows:
+        w = WORD.findall(fold(t))
+        for k in range(len(w) - width + 1):
+            seen[tuple(w[k : k + width])].add(i)
+    return [who for who in seen.values() if len(who) > 1]
+
+
+def test_run_pairs_connect_what_shares_a_run(spark):
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in corpus(seed=8) if t] + [(500 + k, prose(rng, 49)) for k in range(2)]
+    rows += [(600, rows[3][1] + " tail"), (601, prose(rng, 50, 10**6)), (-4, rows[0][1])]
+    codes = defaultdict(lambda: len(codes))
+    packed = [(i, np.array([codes[w] for w in WORD.findall(fold(t))], "<u4").tobytes()) for i, t in rows if t.split()]
+    words = spark.createDataFrame(packed, "id long, words binary").repartition(3)
+    pairs = {(r.doc, r.first) for r in passages.run_pairs(words, 50, 7).collect()}
+    groups = exact_repeats(rows)
+    assert groups and all(a > b and any({a, b} <= who for who in groups) for a, b in pairs)
+    for who in groups:
+        # Every document with a run is linked to the first one, directly or through the first one of its slice.
+        reached = {min(who)}
+        while more := {a for a, b in pairs if a in who and b in reached} - reached:
+            reached |= more
+        assert reached == who
+
+
+def test_a_first_document_that_only_shares_keys_hides_nothing(spark, monkeypatch):
+    """One document has pieces of all passages, too short to count, so that keys name it first."""
+    rng = random.Random(21)
+    rows, want = [], []
+    for g in range(25):
+        passage = prose(rng, 56, 10**6).split()
+        loose = [w if k % 11 < 8 else f"z{rng.randrange(10**6)}" for k, w in enumerate(passage)]
+        for k, words in enumerate((loose, passage, passage)):
+            rows.append((3 * g + k, " ".join([prose(rng, 60, 10**6), *words, prose(rng, 60, 10**6)])))
+        want.append((3 * g + 2, 3 * g + 1))
+
+    def first_only(found, functions, need):
+        # All documents of a group have one key and no other: the worst that chance can do.
+        doc = np.unique(found["doc"].to_numpy(np.int64))
+        return doc // 3, doc
+
+    monkeypatch.setattr(passages, "interval_keys", first_only)
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert {(r.doc_id, r.other) for r in found.where("NOT first").collect()} == set(want)
+
+
 def edited(rng, words, edits):
     """Words put in (+), left out (-) or replaced (=) at even distances."""
     out = list(words)
