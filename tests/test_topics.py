@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from arborlens.operators import topics
@@ -71,3 +72,35 @@ def test_disputed_areas(spark):
     ]
     frame = spark.createDataFrame(rows, f"run_id long, model string, report {report}")
     assert [tuple(r) for r in topics.disputed_areas(frame).collect()] == [(1, "x.py", 2, 2)]
+
+
+def test_slots_leave_out_no_pair_and_few_others_come_through():
+    """Sets of common and rare words: every alike pair is found, of the pairs that only share a first word hardly any."""
+    draw = random.Random(5)
+    sets = []
+    for k in range(400):
+        base = draw.sample(range(60), 30) + [1000 + k // 2] + draw.sample(range(2000, 9000), 9)
+        sets.append(set(base) if k % 2 == 0 or k % 5 == 0 else {*sorted(sets[-1])[: 32 + k % 7], *draw.sample(range(10_000, 20_000), k % 7)})
+    hashes = [topics._mix(np.array(sorted(s), np.uint64)) for s in sets]
+    ends = np.cumsum([0, *map(len, hashes)])
+    everything = np.concatenate(hashes)
+    times = np.bincount((everything % np.uint64(topics.COUNTERS)).astype(np.int64), minlength=topics.COUNTERS)
+    at, owner, maps = topics.first_words(everything, ends, times, 60)
+    entries = np.zeros(len(at), topics._ENTRY)
+    entries["word"], entries["n"], entries["id"], entries["map"] = everything[at] & np.uint64(0xFFFFFFFF), np.diff(ends)[owner], owner, maps[owner]
+    found = set(zip(*(x.tolist() for x in topics.slot_pairs(entries, 60))))
+    alike = {(a, b) for b in range(400) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
+    assert len(alike) > 100 and alike <= found and len(found) < 3 * len(alike)
+
+
+def test_texts_do_not_go_with_every_word(spark):
+    """What goes to the slots is as large for long concerns as for short ones of as many words."""
+    sizes = []
+    for letters in (1, 60):
+        rows = [(1, k, " ".join(f"{'x' * letters}{k}y{j}" for j in range(20))) for k in range(300)]
+        sets = spark.createDataFrame(rows, "run_id long, id long, text string")
+        plan = topics.alike_pairs(sets)
+        sizes.append(plan.count())
+        assert "text" not in [f.name for f in topics.sent_words(sets, 60, 8).schema.fields]
+        sizes.append(topics.sent_words(sets, 60, 8).agg(F.sum(F.length("entries"))).first()[0])
+    assert sizes[0] == sizes[2] == 0 and sizes[1] == sizes[3] > 0
