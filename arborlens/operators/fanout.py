@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlens.functions import fixed, paths, text
+from arborlens.operators.ordering import number_rows
 from arborlens.operators.reports import parse_reports
 from arborlens.session import hand_over
 from arborlens.sources.ledger import OUTCOME, Ledger
@@ -183,7 +184,8 @@ def dispatch(
     a dict and returns a dict with ``content``, ``finish_reason``, ``id``, ``prompt_tokens`` and
     ``completion_tokens``, or raises. The ``payload`` of a request is an iterator of text blocks to
     stream or join. A call that takes longer than ``timeout`` is given up and becomes a ``timeout``
-    row. At most ``max_concurrent`` calls run at once, as many as the cluster has cores by default.
+    row. At most ``max_concurrent`` calls run at once, as many as the cluster has cores by default;
+    then each request of a payload above ``split_chars`` is a task that reads no other payload.
 
     ``ledger`` is the folder of this run's answers (see ``sources/ledger.py``). What is in it is not
     asked again, neither by a retried task nor by a rerun after the job was killed; calls that
@@ -221,11 +223,14 @@ def dispatch(
     large = payload_sizes(payloads).where(F.col("payload_chars") > split_chars).select("project", F.lit(True).alias("_large"))
     # The requests of a project are as many as the models of a job. Those of a large one get a row each.
     placed = requests.join(large, "project", "left").withColumn("_place", F.when(F.col("_large"), F.col("pos")).otherwise(F.lit(0)))
-    asked = placed.groupBy("project", "_place").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_requests"))
+    # Large requests are dealt in turn: no task gets a second one before all have one.
+    counted = number_rows(placed.where("_large").select("project", "pos"), [], ["project", "pos"], out="_turn")
+    counted = hand_over(counted, "turns")
+    tasks = max_concurrent or max(spark.sparkContext.defaultParallelism, counted.count())
+    placed = placed.join(counted, ["project", "pos"], "left")
+    asked = placed.groupBy("project", "_place", "_turn").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_requests"))
     blocks = payloads.select("project", "section", "block", F.col("text").alias("_text"))
-    tasks = max_concurrent or spark.sparkContext.defaultParallelism
-    # Requests of one project lie in neighbouring tasks, so as many as there are tasks never share one.
-    task = F.pmod(F.pmod(F.xxhash64("project"), F.lit(tasks)) + F.col("_place"), F.lit(tasks)).cast("int")
+    task = F.pmod(F.coalesce("_turn", F.xxhash64("project")), F.lit(tasks)).cast("int")
     sent = (
         asked.join(blocks, "project", "left")
         .repartitionById(tasks, task)

@@ -188,3 +188,22 @@ def test_requests_of_a_large_payload_are_tasks_of_their_own(spark, tmp_path):
         found = fanout.dispatch(requests, blocks, make, max_concurrent=8, split_chars=limit).collect()
         assert len(found) == 126 and {r.tokens_prompt for r in found if r.project == "hot"} == {5000}
         assert len({r.raw_response for r in found if r.project == "hot"}) == tasks
+
+
+def test_a_task_reads_one_large_payload_only(spark):
+    """Large payloads of several projects, more requests than cores: none shares a task with another one."""
+    blocks = spark.createDataFrame([(f"p{i}", 4, b, "x" * 100) for i in range(5) for b in range(20)], BLOCKS)
+    requests = fanout.fan_out(fanout.payload_sizes(blocks), [f"m{i}" for i in range(6)])
+
+    def make():
+        from pyspark import TaskContext
+
+        return lambda request: {"content": str(TaskContext.get().partitionId()), "prompt_tokens": sum(map(len, request["payload"]))}
+
+    found = fanout.dispatch(requests, blocks, make, split_chars=1000).collect()
+    assert {r.tokens_prompt for r in found} == {2000} and len({r.raw_response for r in found}) == len(found) == 30
+    # A limit on the calls holds, and its tasks have equal shares.
+    shares = {}
+    for r in fanout.dispatch(requests, blocks, make, max_concurrent=3, split_chars=1000).collect():
+        shares[r.raw_response] = shares.get(r.raw_response, 0) + 1
+    assert sorted(shares.values()) == [10, 10, 10]
