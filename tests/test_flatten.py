@@ -202,3 +202,11 @@ def test_tree_of_a_project_without_files(spark):
         ["═══ CODEBASE SNAPSHOT ═══", "generated: now", "root: r", "total_files: 0", "total_tokens: ~0",
          "total_chars: 0", "", fixed.TREE_TITLE, "", "", fixed.SOURCE_TITLE, ""]
     )
+
+
+def test_files_and_batches_of_flat_texts_are_small():
+    """What a Python task holds at once follows these two sizes, times four cores and a few copies."""
+    from arborlens.session import SETTINGS
+    from arborlens.sources import flattext
+
+    assert max(flattext.FILE_BYTES, int(SETTINGS["spark.sql.execution.arrow.maxBytesPerBatch"])) <= 8 << 20
