@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.session import hand_over
+from arborlens.session import hand_over, scratch_path
 
 SLICE_BYTES = 4 << 20
 #: For work that takes a hundred times the room of the text.
@@ -97,6 +97,21 @@ def n_slots(df: DataFrame) -> int:
     return 4 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many partitions as shuffles have, by the hash that joins on ``key`` use."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def bucketed(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``hand_over`` as a table in buckets of ``key``: joins on it leave the rows in place. ``rows`` come dealt by ``key``."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, key).sortBy(key).saveAsTable(table, path=path)
+    return spark.table(table)
+
+
 def spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links from an id to a smaller one that connect what the links ``ids[i] - ids[j]`` connect."""
     names, place = np.unique(ids, return_inverse=True)

@@ -466,28 +466,32 @@ def repeated_passages(
     keys = hand_over(windows.groupBy("part").applyInPandas(within, "slot long, keys binary, doc long, first long"), "keys")
     met = keys.where("slot IS NOT NULL").select("slot", "keys").groupBy("slot").applyInPandas(across, "doc long, first long")
     compared = hand_over(keys.where("slot IS NULL").select("doc", "first").union(met).distinct(), "compared")
-    named = compared.select("doc").union(compared.select("first")).distinct().withColumnRenamed("doc", key)
+    named = compared.select("doc").union(compared.select("first")).distinct().withColumnRenamed("doc", "id")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in common.text_slices(batch.column(1)):
                 words, _, counts = tokens_of(data, offsets)
                 parts = np.split(words, np.cumsum(counts)[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], names=["id", "words"]
-                )
+                columns = [batch.column(0).slice(first, last - first), pa.array(counts, pa.int64()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "words"])
+
+    # Words move to the buckets of their documents once, and no text moves for them.
+    spelled = common.dealt(unique.mapInArrow(spell, "id long, n long, words binary"), "id")
+    words = common.bucketed(spelled.join(named, "id", "left_semi").dropDuplicates(["id"]), "id", "words")
 
-    words = hand_over(unique.join(named, key, "left_semi").mapInArrow(spell, "id long, words binary").dropDuplicates(["id"]), "words")
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last first document: its pairs mostly stand together.
+        # The last document that stayed: its pairs mostly stand together.
         kept: tuple = (None, None)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc, other, x, y in zip(*(batch.column(k) for k in range(4))):
-                doc, other = doc.as_py(), other.as_py()
-                if kept[0] != other:
-                    kept = (other, shingled(np.frombuffer(y.as_py(), "<u4")))
-                for a, b, c, d in near_passages(shingled(np.frombuffer(x.as_py(), "<u4")), kept[1], passage, similarity):
+            for mover, at, moved, here in zip(*(batch.column(k) for k in range(4))):
+                mover, at = mover.as_py(), at.as_py()
+                if kept[0] != at:
+                    kept = (at, shingled(np.frombuffer(here.as_py(), "<u4")))
+                sides = {mover: shingled(np.frombuffer(moved.as_py(), "<u4")), at: kept[1]}
+                doc, other = max(sides), min(sides)
+                for a, b, c, d in near_passages(sides[doc], sides[other], passage, similarity):
                     for row in ((doc, a, b - a, other, c, False), (other, c, d - c, doc, a, True)):
                         for column, v in zip(out, row):
                             column.append(v)
@@ -495,10 +499,14 @@ def repeated_passages(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[key, "start", "n_words", "other", "other_start", "first"])
 
     def checked(pairs: DataFrame) -> DataFrame:
-        with_words = pairs.join(words.select(F.col("id").alias("doc"), F.col("words").alias("x")), "doc").join(
-            words.select(F.col("id").alias("first"), F.col("words").alias("y")), "first"
-        )
-        spans = with_words.select("doc", "first", "x", "y").mapInArrow(
+        # The shorter text of a pair moves to the longer one.
+        size = words.select("id", "n")
+        sized = pairs.join(size.toDF("doc", "n_doc"), "doc").join(size.toDF("first", "n_first"), "first")
+        shorter = F.col("n_doc") <= F.col("n_first")
+        sized = sized.select(F.when(shorter, F.col("doc")).otherwise(F.col("first")).alias("mover"), F.when(shorter, F.col("first")).otherwise(F.col("doc")).alias("at"))
+        moved = sized.join(words.select(F.col("id").alias("mover"), F.col("words").alias("moved")), "mover")
+        met = moved.join(words.select(F.col("id").alias("at"), F.col("words").alias("here")), "at")
+        spans = met.select("mover", "at", "moved", "here").mapInArrow(
             verify, f"{key} long, start long, n_words long, other long, other_start long, first boolean"
         )
         return hand_over(spans, "passages")
