@@ -12,12 +12,13 @@ whose subtree is as wide as a passage; they are few, about two per passage lengt
    document and the first one of a key are compared as a whole: runs of equal shingles are chained, and the
    parts of a chain that agree in enough shingles are reported.
 
-4. A first document may share a key by chance and hide what the others have in common. So the documents that
-   were compared with one in vain meet once more, by their runs of a passage's length as such: each run names its
-   first document among them in the same way. Such a pair has the run, so nothing hides it.
+4. A first document may share a key by chance and hide what the others have in common. So all documents that
+   were compared meet once more, by exact runs that two copies of a passage must have: long ones, which are a passage
+   by themselves, and short ones, which any near copy keeps somewhere. What lies in a passage found before goes back to
+   that passage's first document; a run pairs one document of each such origin with its own first document.
 
-A document is compared with first documents only, not with all that share a key. Windows, keys and runs move as
-packed bytes, and what a third of all documents have moves once for each slice.
+A document is compared with first documents only, not with all that share a key: what repeats is linked through
+them. Windows, keys and runs move as packed bytes, and what a third of all documents have moves once for each slice.
 """
 
 from __future__ import annotations
@@ -43,8 +44,10 @@ SIMILARITY = 0.8
 #: A window as the runs that it holds: the start of the first one, and how many more there are.
 _ENTRY = np.dtype([("value", "<u4"), ("index", "<u4"), ("first", "<u4"), ("more", "<u2")])
 _KEY = np.dtype([("key", "<i8"), ("doc", "<i8")])
-#: A document of a row of runs, and how many of the row's runs it has.
-_OWNER = np.dtype([("doc", "<i8"), ("runs", "<u4")])
+#: A document of a row of runs, the document that they go back to, and how many of the row's runs it has so.
+_OWNER = np.dtype([("doc", "<i8"), ("origin", "<i8"), ("runs", "<u4")])
+#: Of so many neighbouring runs one is met.
+SPREAD = 6
 #: Words of a slice whose runs are hashed at once.
 _SLICE_WORDS = 1 << 18
 
@@ -261,12 +264,48 @@ def run_hashes(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarr
     return common.mix((total[width:] - total[:n]) * down[:n])[whole], doc[:n][whole]
 
 
-def run_pairs(words: DataFrame, passage: int, slots: int) -> DataFrame:
+def least_shared(passage: int, similarity: float) -> int:
+    """Shingles that two near copies of a passage have in common at least."""
+    return int(np.ceil(2 * (passage - SHINGLE + 1) * similarity / (1 + similarity) - 1e-9))
+
+
+def near_run(passage: int, similarity: float) -> int:
+    """Words of the longest exact run that two near copies of a passage have at least.
+
+    A place where they differ costs nine shingles of both sides together (a word put in), and not more than
+    ``1 / similarity - 1`` of the shared ones may be lost. Texts that repeat four words at once can differ for less.
+    """
+    least = least_shared(passage, similarity)
+    return SHINGLE - 1 + min(-(-k // (int((1 / similarity - 1) * k / (2 * SHINGLE - 1) + 1e-9) + 1)) for k in range(least, 20 * least))
+
+
+def first_origins(run: np.ndarray, doc: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each run begins in rows sorted by run and document, and distinct ``(document, first document)``.
+
+    Of the documents of a run that go back to one origin the smallest is paired; none whose origin is that of the first.
+    """
+    at = np.flatnonzero(np.r_[True, run[1:] != run[:-1]][: len(run)])
+    first, home = (np.repeat(x[at], np.diff(np.r_[at, len(run)])) for x in (doc, origin))
+    other = np.flatnonzero((origin != home) & (doc != first))
+    other = other[np.lexsort((doc[other], origin[other], run[other]))]
+    r, o = run[other], origin[other]
+    other = other[np.r_[True, (r[1:] != r[:-1]) | (o[1:] != o[:-1])][: len(other)]]
+    pairs = np.unique(np.stack([doc[other], first[other]], 1), axis=0)
+    return at, pairs[:, 0], pairs[:, 1]
+
+
+def run_pairs(words: DataFrame, passage: int | tuple[int, ...], slots: int, spread: int = 1) -> DataFrame:
     """``(doc, first)`` of the documents of ``words(id, words)`` that have a run of ``passage`` words in common.
 
     ``first`` is the smallest document of a slice that has the run; the first ones of all slices are paired
-    with the smallest of all. A run that several texts of a slice have moves once.
+    with the smallest of all. A run that several texts of a slice have moves once. ``passage`` may name several lengths.
+    Of ``spread`` neighbouring runs the one with the smallest hash is met, so what has a run of ``passage + spread - 1``
+    words in common is sure to meet. A column ``spans`` holds ``(start, n_words, other)`` of the passages of a document
+    that are known from an earlier one: a run inside goes back to it, and only runs of different origin are paired.
     """
+    widths = np.atleast_1d(passage).tolist()
+    kind = "array<struct<start:long,n_words:long,other:long>>"
+    spans = F.col("spans") if "spans" in words.columns else F.lit(None).cast(kind).alias("spans")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,27 +314,45 @@ def run_pairs(words: DataFrame, passage: int, slots: int) -> DataFrame:
             _, places, data = column.buffers()
             places = np.frombuffer(places, np.int64)[column.offset : column.offset + len(ids) + 1]
             data = np.frombuffer(data, np.uint8)
+            known = batch.column(2).offsets.to_numpy()
+            start, n_words, other = (batch.column(2).values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             a = 0
             while a < len(ids):
                 b = int(np.searchsorted(places, places[a] + 4 * _SLICE_WORDS, "right")) - 1
                 b = min(max(b, a + 1), len(ids))
                 names = ids[a:b]
+                text = data[places[a] : places[b]].view("<u4")
                 doc = np.repeat(np.arange(b - a), np.diff(places[a : b + 1]) // 4)
-                run, who = run_hashes(data[places[a] : places[b]].view("<u4"), doc, passage)
+                found = []
+                for width in widths:
+                    run, who = run_hashes(text, doc, width)
+                    met = window_minima(run, who, spread)
+                    heads = np.searchsorted(who, np.arange(b - a))
+                    run, who = run[met], who[met]
+                    place, origin = met - heads[who], names[who]
+                    edges = np.searchsorted(who, np.arange(b - a + 1))
+                    for k in np.flatnonzero(np.diff(known[a : b + 1])).tolist():
+                        here, goes = place[edges[k] : edges[k + 1]], origin[edges[k] : edges[k + 1]]
+                        for s in range(known[a + k], known[a + k + 1]):
+                            x, y = np.searchsorted(here, start[s]), np.searchsorted(here, start[s] + n_words[s] - width, "right")
+                            goes[x:y] = np.minimum(goes[x:y], other[s])
+                    found.append((run, names[who], origin))
                 a = b
-                order = np.lexsort((names[who], run))
-                run, who = run[order], who[order]
-                at, later, first = first_documents(run, names[who])
+                run, who, origin = (np.concatenate([x[k] for x in found]) for k in range(3))
+                order = np.lexsort((origin, who, run))
+                run, who, origin = run[order], who[order], origin[order]
+                at, later, first = first_origins(run, who, origin)
+                run, who, origin = run[at], who[at], origin[at]
                 # By document within a slot, so that a document is named once for all its runs there.
-                back = np.argsort(who[at], kind="stable")
-                run, who = run[at][back], who[at][back]
+                back = np.lexsort((origin, who))
+                run, who, origin = run[back], who[back], origin[back]
                 order, used, edges = common.by_slot(run, slots)
-                run, who = run[order], who[order]
+                run, who, origin = run[order], who[order], origin[order]
                 packed, owners = [], []
                 for x, y in zip(edges[: len(used)], edges[1:]):
-                    here, counts = np.unique(who[x:y], return_counts=True)
-                    owner = np.zeros(len(here), _OWNER)
-                    owner["doc"], owner["runs"] = names[here], counts
+                    heads = np.flatnonzero(np.r_[True, (who[x + 1 : y] != who[x : y - 1]) | (origin[x + 1 : y] != origin[x : y - 1])])
+                    owner = np.zeros(len(heads), _OWNER)
+                    owner["doc"], owner["origin"], owner["runs"] = who[x:y][heads], origin[x:y][heads], np.diff(np.r_[heads, y - x])
                     # 40 bits beside the slot: its number came from the leading half, the quotient is left of that.
                     high = (run[x:y] >> np.uint64(32)) // np.uint64(slots)
                     packed.append((run[x:y] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (high & np.uint64(0xFF)).astype("u1").tobytes())
@@ -314,15 +371,15 @@ def run_pairs(words: DataFrame, passage: int, slots: int) -> DataFrame:
             later, first = (np.frombuffer(b"".join(rows[c]), "<i8") for c in ("runs", "owners"))
             return pd.DataFrame({"doc": later, "first": first}).drop_duplicates()
         owner = np.frombuffer(b"".join(rows["owners"]), _OWNER)
-        doc = np.repeat(owner["doc"], owner["runs"])
+        doc, origin = (np.repeat(owner[c], owner["runs"]) for c in ("doc", "origin"))
         low = np.frombuffer(b"".join(r[: len(r) // 5 * 4] for r in rows["runs"]), "<u4")
         high = np.frombuffer(b"".join(r[len(r) // 5 * 4 :] for r in rows["runs"]), "u1")
         run = high.astype(np.int64) << 32 | low
         order = np.lexsort((doc, run))
-        _, later, first = first_documents(run[order], doc[order])
+        _, later, first = first_origins(run[order], doc[order], origin[order])
         return pd.DataFrame({"doc": later, "first": first})
 
-    sent = words.select("id", "words").mapInArrow(send, "slot long, runs binary, owners binary")
+    sent = words.select("id", "words", spans).mapInArrow(send, "slot long, runs binary, owners binary")
     return sent.groupBy("slot").applyInPandas(across, "doc long, first long").distinct()
 
 
@@ -377,7 +434,7 @@ def near_passages(
     shingles are the asked share of all shingles between its ends and as many as two passages must have in common.
     """
     width = passage - SHINGLE + 1
-    least = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
+    least = least_shared(passage, similarity)
     chains: list[list[tuple[int, int, int]]] = []
     live: list[int] = []
     # What stands between two runs must not outweigh all that could be shared.
@@ -512,9 +569,13 @@ def repeated_passages(
         return hand_over(spans, "passages")
 
     found = checked(compared)
-    near = found.where("NOT first").select(F.col(key).alias("doc"), F.col("other").alias("first")).distinct()
-    vain = compared.join(near, ["doc", "first"], "left_anti").select(F.col("doc").alias("id")).distinct()
-    hidden = run_pairs(words.join(vain, "id", "left_semi"), passage, slots)
+    # Every compared document meets the others by runs; passages found so far only tell where a run comes from.
+    spans = found.where("NOT first").groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct("start", "n_words", "other")).alias("spans"))
+    # A long run of this length is found as a passage by itself, whichever document it is met in.
+    long_run = least_shared(passage, similarity) + SHINGLE - 1
+    spread = min(SPREAD, passage - long_run + 1)
+    short_run = max(SHINGLE, near_run(passage, similarity) - spread + 1)
+    hidden = run_pairs(words.join(spans, "id", "left"), (long_run, short_run), slots, spread)
     found = found.union(checked(hidden.join(compared, ["doc", "first"], "left_anti")))
     # The earlier side once per passage, with its first repeat.
     earlier = found.where("first").groupBy(key, "start", "n_words").agg(F.min(F.struct("other", "other_start")).alias("o"))

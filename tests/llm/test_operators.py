@@ -167,6 +167,62 @@ def test_a_first_document_that_only_shares_keys_hides_nothing(spark, monkeypatch
     assert {(r.doc_id, r.other) for r in found.where("NOT first").collect()} == set(want)
 
 
+def test_a_first_document_hides_no_near_copy(spark, monkeypatch):
+    """As above, but the two others are near copies without a whole passage in common, one of each in another partition."""
+    rng = random.Random(22)
+    rows, want = [], []
+    for g in range(12):
+        passage = prose(rng, 60, 10**6).split()
+        loose = [w if k % 11 < 8 else f"z{rng.randrange(10**6)}" for k, w in enumerate(passage)]
+        for k, words in enumerate((loose, passage, edited(rng, passage, "+-="[g % 3]))):
+            rows.append((3 * g + k, " ".join([prose(rng, 60, 10**6), *words, prose(rng, 60, 10**6)])))
+        want.append((3 * g + 2, 3 * g + 1))
+    monkeypatch.setattr(passages, "interval_keys", group_keys())
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert {(r.doc_id, r.other) for r in found.where("NOT first").collect()} == set(want)
+
+
+def test_a_first_document_with_one_passage_hides_no_other(spark, monkeypatch):
+    """All three share a passage; the first one has the other passage in loose words only."""
+    rng = random.Random(23)
+    rows = []
+    for g in range(12):
+        one, two = (prose(rng, 60, 10**6).split() for _ in range(2))
+        loose = [w if k % 11 < 8 else f"z{rng.randrange(10**6)}" for k, w in enumerate(two)]
+        for k, words in enumerate((loose, two, two)):
+            rows.append((3 * g + k, " ".join([prose(rng, 40, 10**6), *one, prose(rng, 30 + 7 * k, 10**6), *words, prose(rng, 40, 10**6)])))
+    monkeypatch.setattr(passages, "interval_keys", group_keys())
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).where("NOT first").collect()
+    for g in range(12):
+        assert {(r.other, r.start, r.n_words) for r in found if r.doc_id == 3 * g + 2} >= {(3 * g, 40, 60), (3 * g + 1, 144, 60)}
+
+
+def group_keys():
+    """Three documents of a group have one key and no other. Defined here, so that it travels with the job."""
+
+    def keys(found, functions, need):
+        doc = np.unique(found["doc"].to_numpy(np.int64))
+        return doc // 3, doc
+
+    return keys
+
+
+def test_runs_of_one_origin_are_not_paired(spark):
+    rng = random.Random(24)
+    shared = prose(rng, 60, 10**6).split()
+    codes = defaultdict(lambda: len(codes))
+    rows = []
+    for i in range(6):
+        text = prose(rng, 20, 10**6).split() + shared
+        # 1 to 3 go back to document 0, which is not there itself; 4 and 5 are known from nowhere.
+        rows.append((i + 1, np.array([codes[w] for w in text], "<u4").tobytes(), [(20, 60, 0)] if i < 3 else None))
+    words = spark.createDataFrame(rows, "id long, words binary, spans array<struct<start:long,n_words:long,other:long>>")
+    for spread in (1, 6):
+        pairs = {(r.doc, r.first) for r in passages.run_pairs(words.coalesce(1), (45, 20), 7, spread).collect()}
+        assert pairs == {(4, 1), (5, 1), (6, 1)}
+    assert passages.near_run(50, 0.8) == 25
+
+
 def edited(rng, words, edits):
     """Words put in (+), left out (-) or replaced (=) at even distances."""
     out = list(words)
