@@ -524,7 +524,7 @@ def worded(data: views.Inputs) -> DataFrame:
 
 @query
 def concern_topics(data):
-    return topics.concern_topics(hand_over(worded(data), "raised")).select(
+    return topics.concern_topics(worded(data)).select(
         "run_id", F.md5("concern").alias("concern"), F.md5("topic").alias("topic")
     )
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from arborlens.operators import topics
@@ -104,3 +105,53 @@ def test_texts_do_not_go_with_every_word(spark):
         assert "text" not in [f.name for f in topics.sent_words(sets, 60, 8).schema.fields]
         sizes.append(topics.sent_words(sets, 60, 8).agg(F.sum(F.length("entries"))).first()[0])
     assert sizes[0] == sizes[2] == 0 and sizes[1] == sizes[3] > 0
+
+
+def coded(texts):
+    """Word sets of texts of words and blanks, with the counters of their words."""
+    hashes, ends = topics.word_sets(pa.array(texts))
+    return hashes, ends, np.bincount((hashes % np.uint64(topics.COUNTERS)).astype(np.int64), minlength=topics.COUNTERS)
+
+
+def test_word_sets():
+    texts = ["b a b", "", "über x", "a b", "ab", "ba", "a " + "x" * 5000, "\U0001f600a"]
+    hashes, ends = topics.word_sets(pa.array(texts))
+    found = [hashes[a:b].tolist() for a, b in zip(ends, ends[1:])]
+    assert [len(x) for x in found] == [2, 0, 2, 2, 1, 1, 2, 1] and all(x == sorted(x) for x in found)
+    assert found[0] == found[3] and len({h for x in found for h in x}) == len({w for t in texts for w in t.split()})
+    assert topics.word_sets(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_places_and_maps_from_a_word_on_rule_pairs_out_before_they_meet():
+    """Sets of common words: most pairs that share one of their first words need not be looked at, and none that is alike is lost."""
+    draw = random.Random(7)
+    texts = [" ".join(f"w{int(draw.paretovariate(0.7)) % 700}" for _ in range(draw.randint(1, 60))) for _ in range(600)]
+    texts += [" ".join([*t.split()[: 1 + len(t.split()) * 4 // 5], f"new{k}"]) for k, t in enumerate(texts[:150])]
+    for percent in (60, 85, 100):
+        hashes, ends, times = coded(texts)
+        at, owner, maps = topics.first_words(hashes, ends, times, percent, onward=True)
+        entries = np.zeros(len(at), topics._ENTRY)
+        entries["word"], entries["n"], entries["id"], entries["map"] = hashes[at] & np.uint64(0xFFFFFFFF), np.diff(ends)[owner], owner, maps
+        entries["place"] = np.arange(len(at)) - np.searchsorted(owner, owner)
+        found = set(zip(*(x.tolist() for x in topics.slot_pairs(entries, percent))))
+        sets = [set(hashes[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+        alike = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert alike and alike <= found and len(found) < 1.5 * len(alike)
+        whole = topics.first_words(hashes, ends, times, percent)[2]
+        assert (whole == maps[entries["place"] == 0]).all()
+
+
+def test_pairs_looked_at_stay_few(monkeypatch):
+    """Sets that share common words only, far behind in one of them: no pair of them is looked at."""
+    texts = [" ".join([f"a{k}", f"b{k}", f"c{k}", "the", "of"]) for k in range(3000)]
+    hashes, ends, times = coded(texts)
+    times[(hashes % np.uint64(topics.COUNTERS)).astype(np.int64)] = 1
+    at, owner, maps = topics.first_words(hashes, ends, times, 60, onward=True)
+    entries = np.zeros(len(at), topics._ENTRY)
+    entries["word"], entries["n"], entries["id"], entries["map"] = 1, 5, owner, maps
+    entries["place"] = np.arange(len(at)) - np.searchsorted(owner, owner)
+    seen = []
+    monkeypatch.setattr(topics, "PAIRS", 1000)
+    monkeypatch.setattr(topics.np, "bitwise_count", lambda x, f=np.bitwise_count: (seen.append(len(x)), f(x))[1])
+    last = entries[entries["place"] == 2]
+    assert len(last) == 3000 and len(topics.slot_pairs(last, 60)[0]) == 0 and sum(seen) == 0
