@@ -324,9 +324,19 @@ def concern_topics(raised: DataFrame, percent: int = ALIKE) -> DataFrame:
 
 def topic_findings(raised: DataFrame, percent: int = ALIKE) -> DataFrame:
     """Topics of ``raised(run_id, concern, model)`` by the number of models that raise them, in whatever words."""
-    found = raised.join(concern_topics(raised, percent), ["run_id", "concern"]).groupBy("run_id", "topic").agg(
-        F.count_distinct("concern").alias("n_concerns"), F.count_distinct("model").alias("n_models")
+    sets = _by_set(raised.select("run_id", "concern", "model"))
+    topics = hand_over(_set_topics(sets, percent), "topics")
+    # Concerns are counted by hashes inside their set, so their texts stay where they are.
+    counted = sets.select("run_id", "key", "model", F.xxhash64("concern").alias("concern"))
+    counted = counted.join(topics.select("run_id", "key", "component"), ["run_id", "key"], "left")
+    counted = counted.groupBy("run_id", "component", F.when(F.col("component").isNull(), F.col("key")).alias("key")).agg(
+        F.count_distinct("key", "concern").alias("n_concerns"), F.count_distinct("model").alias("n_models")
     )
+    linked = counted.where("component IS NOT NULL").drop("key").join(topics.select("component", "topic").distinct(), "component")
+    names = sets.where("name IS NULL").select("run_id", "key", F.col("concern").alias("topic"))
+    alone = counted.where("component IS NULL").join(names, ["run_id", "key"])
+    found = ["run_id", "topic", "n_concerns", "n_models"]
+    found = linked.select(found).unionByName(alone.select(found))
     converges = F.col("n_models") >= 2
     return found.withColumns(
         {

@@ -531,7 +531,7 @@ def concern_topics(data):
 
 @query
 def topic_findings(data):
-    found = topics.topic_findings(hand_over(worded(data), "raised"))
+    found = topics.topic_findings(worded(data))
     return found.withColumn("topic", F.md5("topic"))
 
 
