@@ -259,7 +259,7 @@ def flat_text_files(data):
     files = tables.read_flat_text(data.spark, folder)
     sent = files.select("project", F.lit(0).alias("section"), F.col("part").alias("block"), "text")
     requests = fanout.fan_out(fanout.payload_sizes(sent), ["local"])
-    answers = fanout.dispatch(requests, sent, digest_client)
+    answers = whole(fanout.dispatch(requests, sent, digest_client))
     return answers.select("project", F.col("tokens_prompt").alias("chars"), F.col("raw_response").alias("md5"))
 
 
@@ -363,6 +363,13 @@ def digest_client() -> fanout.Client:
     return answer
 
 
+def whole(answers: DataFrame) -> DataFrame:
+    """Answers of ``digest_client``, of which none may have failed, run out of time or read less than its payload."""
+    found = (F.col("status") == "complete") & F.col("tokens_prompt").eqNullSafe(F.coalesce("payload_chars", F.lit(0)))
+    said = F.concat_ws(" ", F.lit("no digest of all of project"), "project", F.lit("-"), "status", "error")
+    return answers.where(F.when(found, True).otherwise(F.raise_error(said).cast("boolean")))
+
+
 @query
 def payload_build(data):
     sent = payloads(data)

@@ -1,5 +1,6 @@
 import glob
 import re
+import sys
 
 import pytest
 from pyspark import cloudpickle
@@ -9,6 +10,7 @@ from arborlens import schemas
 from arborlens.functions import fixed
 from arborlens.operators import classify, flatten, sequence
 from arborlens.operators import manifest as mf
+from arborlens.plans import queries
 from arborlens.session import hand_over
 from arborlens.sources import flattext, sinks, tables
 
@@ -210,3 +212,27 @@ def test_files_and_batches_of_flat_texts_are_small():
     from arborlens.sources import flattext
 
     assert max(flattext.FILE_BYTES, int(SETTINGS["spark.sql.execution.arrow.maxBytesPerBatch"])) <= 8 << 20
+
+
+# The clients below travel to the tasks with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def broken_client():
+    def answer(request):
+        raise RuntimeError("boom")
+
+    return answer
+
+
+def hasty_client():
+    return lambda request: {"content": "d41d8cd98f00b204e9800998ecf8427e", "prompt_tokens": len(next(request["payload"])) - 1}
+
+
+def test_a_failed_digest_is_no_result(spark, tmp_path, monkeypatch):
+    rows = [(k, f"text {k}\nof it", "en") for k in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    for client, said in ((broken_client, "failed boom"), (hasty_client, "no digest of all of project")):
+        monkeypatch.setattr(queries, "digest_client", client)
+        with pytest.raises(Exception, match=said):
+            queries.REGISTERED["flat_text_files"](spark, str(tmp_path)).collect()
