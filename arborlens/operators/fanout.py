@@ -223,16 +223,23 @@ def dispatch(
     large = payload_sizes(payloads).where(F.col("payload_chars") > split_chars).select("project", F.lit(True).alias("_large"))
     # The requests of a project are as many as the models of a job. Those of a large one get a row each.
     placed = requests.join(large, "project", "left").withColumn("_place", F.when(F.col("_large"), F.col("pos")).otherwise(F.lit(0)))
+    placed = hand_over(placed, "placed")
     # Large requests are dealt in turn: no task gets a second one before all have one.
     counted = number_rows(placed.where("_large").select("project", "pos"), [], ["project", "pos"], out="_turn")
     counted = hand_over(counted, "turns")
     tasks = max_concurrent or max(spark.sparkContext.defaultParallelism, counted.count())
     placed = placed.join(counted, ["project", "pos"], "left")
     asked = placed.groupBy("project", "_place", "_turn").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_requests"))
+    asked = hand_over(asked, "asked")
     blocks = payloads.select("project", "section", "block", F.col("text").alias("_text"))
+    # Every request is opened by a row without text, so the texts need no outer join: one would hold all texts of a project at
+    # once. Here the few requests of a project wait for its texts, which stream by.
+    none = [F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in ("section", "block", "_text")]
+    opened = asked.select("project", *none, "_turn", "_requests")
+    filled = blocks.join(asked, "project").select(*opened.columns)
     task = F.pmod(F.coalesce("_turn", F.xxhash64("project")), F.lit(tasks)).cast("int")
     sent = (
-        asked.join(blocks, "project", "left")
+        filled.unionByName(opened)
         .repartitionById(tasks, task)
         .select("section", "block", "_text", F.posexplode("_requests").alias("_n", "_request"))
         .sortWithinPartitions("_request.project", "_request.pos", "_n", "section", "block")

@@ -18,6 +18,7 @@ from arborlens.operators import classify
 from arborlens.operators import manifest as mf
 from arborlens.operators.ordering import assemble
 from arborlens.operators.sequence import UNKNOWN_CHARS
+from arborlens.session import hand_over
 
 HEADER, ENTRYPOINTS, TREE, DOCS, SOURCE = range(5)
 PART = ["project", "section", "block", "item", "text"]
@@ -279,14 +280,17 @@ def flat_parts(
     # Sources and documentation meet the texts in one join: a text is shuffled to its places once, or not
     # at all where ``files`` is bucketed by project and path.
     placed = _place_docs(docs, projects, size).unionByName(_place_sources(positions, projects, size))
-    return (
-        flat_header(manifest, positions, projects, options)
-        .unionByName(_tree(positions, projects))
-        .unionByName(_docs_title(docs, projects))
-        .unionByName(_source_title(projects))
-        .unionByName(_bodies(placed, files, token_counter))
-        .select(*PART)
-    )
+    fronts = [
+        _header(manifest, positions, projects, options),
+        _entrypoints(manifest),
+        _tree(positions, projects),
+        _docs_title(docs, projects).unionByName(_source_title(projects)),
+    ]
+    parts = _bodies(placed, files, token_counter).select(*PART)
+    # What stands before the texts is written first, in small jobs: one plan of everything takes the driver too much memory.
+    for front in fronts:
+        parts = parts.unionByName(hand_over(front.select(*PART), "front"))
+    return parts
 
 
 def flat_blocks(parts: DataFrame) -> DataFrame:

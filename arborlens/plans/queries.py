@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,13 +189,14 @@ class Snapshot:
         self.manifest = hand_over(classify.scan_files(data.files), "manifest")
         self.projects = flatten.default_projects(self.manifest)
 
-    @property
+    @cached_property
     def positions(self) -> DataFrame:
-        return sequence.default_positions(mf.sequence_leaves(self.manifest), self.files)
+        """Written down, as parts use it many times over."""
+        return hand_over(sequence.default_positions(mf.sequence_leaves(self.manifest), self.files), "positions")
 
-    @property
+    @cached_property
     def docs(self) -> DataFrame:
-        return sequence.number_files(sequence.add_sizes(classify.find_docs(self.files), self.manifest))
+        return hand_over(sequence.number_files(sequence.add_sizes(classify.find_docs(self.files), self.manifest)), "docs")
 
     def parts(self) -> DataFrame:
         return flatten.flat_parts(

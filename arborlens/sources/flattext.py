@@ -23,8 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from arborlens.sources.files import locate
 
-#: A task goes on in a new file from here, so no file needs one large row to be read.
-FILE_BYTES = 8 * 1024 * 1024
+#: A task goes on in a new file from here, so no file needs one large row to be read. Rows of a file are copied and sorted whole.
+FILE_BYTES = 1024 * 1024
 # Fixed value: the folder that Spark reads as a null partition value.
 NO_PROJECT = "__HIVE_DEFAULT_PARTITION__"
 

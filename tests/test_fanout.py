@@ -207,3 +207,23 @@ def test_a_task_reads_one_large_payload_only(spark):
     for r in fanout.dispatch(requests, blocks, make, max_concurrent=3, split_chars=1000).collect():
         shares[r.raw_response] = shares.get(r.raw_response, 0) + 1
     assert sorted(shares.values()) == [10, 10, 10]
+
+
+def test_texts_of_a_payload_are_no_side_that_a_join_holds(spark, tmp_path):
+    """An outer join by project would keep all texts of a project in memory at once."""
+    rows = [("p", 4, b, "x" * 100) for b in range(50)] + [("q", 0, 0, "y"), ("gone", 0, 0, "z")]
+    spark.createDataFrame(rows, BLOCKS).write.parquet(str(tmp_path / "blocks"))
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    projects = spark.createDataFrame([("p", 5000), ("q", 1), ("none", 0)], "project string, payload_chars bigint")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for most in ("-1", threshold):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            answers = fanout.dispatch(fanout.fan_out(projects, ["ok", "digest"]), blocks, client, split_chars=1000)
+            plan = answers._jdf.queryExecution().executedPlan().toString()
+            assert "Outer" not in plan and plan.count("blocks]") == 1 and ("SortMergeJoin" in plan) == (most == "-1")
+            found = {(r.project, r.model): r.raw_response for r in answers.collect()}
+            assert len(found) == 6 and (found["p", "ok"], found["q", "ok"], found["none", "ok"]) == ("X" * 5000, "Y", "")
+            assert found["none", "digest"] == hashlib.md5(b"").hexdigest()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
